@@ -111,24 +111,27 @@ def balanced_labels(labels: Column, symmetry: Column) -> Column:
     return (F.size(classes("R")) > 0) & (classes("R") == classes("S"))
 
 
-def label_configurations(positions: Column, max_sites: int = 8) -> Column:
-    """Every assignment of R and S to ``positions``, as an array of label maps.
+def label_configurations(labels: Column, max_sites: int = 8) -> Column:
+    """Every assignment of R and S to the labelled positions, as an array of label maps.
 
-    An array over ``max_sites`` gives null: the caller decides what to do with it.
+    With more than ``max_sites`` positions the first ones vary and the others keep
+    their own label.
     """
-    n = F.size(positions)
-    numbers = F.sequence(F.lit(0), F.pow(F.lit(2.0), F.least(n, F.lit(max_sites))).cast("int") - 1)
-    maps = F.transform(
-        numbers,
-        lambda c: F.transform(
-            positions,
-            lambda p, i: F.struct(
-                p.alias("pos"),
-                F.when(F.floor(c / F.pow(F.lit(2.0), i)) % 2 == 1, "R").otherwise("S").alias("label"),
+    ordered = F.array_sort(labels)
+    varied = F.least(F.size(labels), F.lit(max_sites))
+    numbers = F.sequence(F.lit(0), F.pow(F.lit(2.0), varied).cast("int") - 1)
+
+    def assign(c: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda x, i: F.struct(
+                x["pos"].alias("pos"),
+                F.when(i >= varied, x["label"])
+                .when(F.floor(c / F.pow(F.lit(2.0), i)) % 2 == 1, "R").otherwise("S").alias("label"),
             ),
-        ),
-    )
-    return F.when(n <= max_sites, maps)
+        )
+
+    return F.transform(numbers, assign)
 
 
 def transition_text(labels_a: Column, labels_b: Column) -> Column:

@@ -185,7 +185,7 @@ def single_flip_pairs(entities: DataFrame) -> DataFrame:
 
 def label_variants(entities: DataFrame, max_sites: int = 8) -> DataFrame:
     """One row per possible label map of each entity, marking its own."""
-    maps = L.label_configurations(L.site_list(F.col("labels")), max_sites)
+    maps = L.label_configurations(F.col("labels"), max_sites)
     return entities.select("id", "class_key", "labels", F.explode(maps).alias("variant")).select(
         "id", "class_key", L.label_code(F.col("variant")).alias("variant_code"),
         (L.label_code(F.col("variant")) == L.label_code(F.col("labels"))).alias("is_original"),

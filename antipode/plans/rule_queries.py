@@ -1 +1,513 @@
-"""Queries of this section."""
+"""Rule tables, profiles, candidate ranking and text patterns on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from antipode.functions import rules as R
+from antipode.functions import text as X
+from antipode.operators import profiles as P
+from antipode.plans.pair_queries import supplier_pairs
+from antipode.plans.registry import query
+from antipode.plans.standins import (
+    CUSTOMER_FORMS_SQL, OUT_SQL, PAIRS_SQL, STRUCT_CTE, customer_entities, outcomes, structures, supplier_entities,
+    table,
+)
+
+
+def like_any(col, words):
+    return "(" + " OR ".join("contains({}, '{}')".format(col, w.replace("'", "''")) for w in words) + ")"
+
+
+# ---------------------------------------------------------------- filters
+
+@query("valid_outcomes", f"SELECT id, ee FROM ({OUT_SQL}) WHERE ee BETWEEN 0 AND 100")
+def valid_outcomes(spark, d):
+    return P.valid_outcomes(outcomes(spark, d)).select("id", "ee")
+
+
+@query("training_pairs", f"""
+SELECT id, catalyst, substrate, abs(ee) AS ee, CASE WHEN ee >= 0 THEN 'R' ELSE 'S' END AS major FROM ({OUT_SQL}) WHERE catalyst <> ''""")
+def training_pairs(spark, d):
+    return P.training_pairs(outcomes(spark, d))
+
+
+@query("size_gate", """
+SELECT doc_id, length(text)::INT AS length, CASE WHEN length(text) > 300 THEN 'too_long' END AS reason FROM documents""")
+def size_gate(spark, d):
+    now, later = P.size_gate(table(spark, d, "documents"), "text")
+    return now.select("doc_id", F.length("text").alias("length"), F.lit(None).cast("string").alias("reason")).unionByName(
+        later.select("doc_id", "length", "reason"))
+
+
+@query("threshold_screen", f"""
+WITH {STRUCT_CTE} SELECT id, 'high_activity' AS hit_type, activity AS priority FROM st WHERE error IS NULL AND activity >= 0.3""")
+def threshold_screen(spark, d):
+    return P.threshold_screen(structures(spark, d), "activity", 0.3, "high_activity")
+
+
+PEROVSKITE_SQL = f"""is_chiral AND error IS NULL AND (sg IN {R.PEROVSKITE_GROUPS} OR contains(formula, '3'))"""
+
+
+@query("member_or_pattern_screen", f"""
+WITH {STRUCT_CTE} SELECT id, 'perovskite' AS hit_type, saturation + activity AS priority FROM st WHERE {PEROVSKITE_SQL}""")
+def member_or_pattern_screen(spark, d):
+    return P.member_or_pattern_screen(structures(spark, d))
+
+
+@query("best_per_id", f"""
+WITH {STRUCT_CTE}, s AS (
+  SELECT id, 'high_activity' AS hit_type, activity AS priority, 0 AS o FROM st WHERE error IS NULL AND activity >= 0.3
+  UNION ALL SELECT id, 'saturated', saturation, 1 FROM st WHERE error IS NULL AND saturation >= 0.5
+  UNION ALL SELECT id, 'perovskite', saturation + activity, 2 FROM st WHERE {PEROVSKITE_SQL})
+SELECT id, hit_type, priority FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority DESC, o) = 1""")
+def best_per_id(spark, d):
+    from antipode.operators.screening import best_per_id as best, union_screens
+    st = structures(spark, d)
+    screens = [P.threshold_screen(st, "activity", 0.3, "high_activity"),
+               P.threshold_screen(st, "saturation", 0.5, "saturated"), P.member_or_pattern_screen(st)]
+    hits = union_screens(*[s.withColumn("o", F.lit(i)) for i, s in enumerate(screens)])
+    return best(hits, "id", "o").select("id", "hit_type", "priority")
+
+
+FLAG_SQL = """
+  SELECT p_partkey AS id, (p_size % 10) / 10 AS div, (p_partkey % 30)::DOUBLE AS fc, (p_partkey % 9) / 9 AS qed,
+         (p_size * 20 > 500)::INT + (p_partkey % 8 > 5)::INT + (p_partkey % 14 > 10)::INT + (p_size % 8 > 5)::INT AS violations
+  FROM part"""
+
+
+def flag_rows(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        key.alias("id"), ((size % 10) / 10).alias("div"), (key % 30).cast("double").alias("fc"), ((key % 9) / 9).alias("qed"),
+        R.rule_violations(size * 20, key % 8, key % 14, size % 8).alias("violations"))
+
+
+@query("rule_violations", f"SELECT id, violations FROM ({FLAG_SQL})")
+def rule_violations(spark, d):
+    return flag_rows(spark, d).select("id", "violations")
+
+
+@query("strong_and_selected_flags", f"""
+SELECT count_if(div > 0.7 AND fc > 10)::BIGINT AS n_strong,
+       count_if(div > 0.7 AND fc > 10 AND violations <= 1 AND qed > 0.3)::BIGINT AS n_selected FROM ({FLAG_SQL})""")
+def strong_and_selected_flags(spark, d):
+    strong = R.strong_flag(F.col("div"), F.col("fc"))
+    chosen = R.selected_flag(F.col("div"), F.col("fc"), F.col("violations"), F.col("qed"))
+    return flag_rows(spark, d).agg(F.count_if(strong).alias("n_strong"), F.count_if(chosen).alias("n_selected"))
+
+
+@query("selected_report", f"""
+WITH f AS ({FLAG_SQL})
+SELECT id, fc AS actual_fc, round(log10(fc), 9) AS actual_log_fc, div, qed, CASE WHEN id % 4 <> 0 THEN id / 100 END AS predicted_log_fc,
+       CASE WHEN id % 3 <> 0 THEN (id % 100) / 100 END AS high_probability, CASE WHEN id % 2 = 0 AND id % 5 <> 0 THEN id / 50 END AS global_log_fc
+FROM f WHERE div > 0.7 AND fc > 10 AND violations <= 1 AND qed > 0.3""")
+def selected_report(spark, d):
+    rows = flag_rows(spark, d)
+    key = F.col("id")
+    local = rows.where(key % 4 != 0).select("id", (key / 100).alias("predicted_log_fc"))
+    prob = rows.where(key % 3 != 0).select("id", ((key % 100) / 100).alias("high_probability"))
+    general = rows.where(key % 2 == 0).select(
+        "id", F.when(key % 5 == 0, float("nan")).otherwise(key / 50).alias("global_log_fc"))
+    return P.selected_report(rows, local, prob, general).withColumn("actual_log_fc", F.round("actual_log_fc", 9))
+
+
+@query("label_from_note", """
+WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'R=active; ' WHEN 1 THEN 'S-active, ' ELSE '' END || p_name AS note FROM part)
+SELECT id, 'R' AS side, CASE WHEN contains(note, 'R=active') THEN 1.0::DOUBLE WHEN contains(note, 'S-active') THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS activity FROM n
+UNION ALL SELECT id, 'S', CASE WHEN contains(note, 'R=active') THEN 0.2::DOUBLE WHEN contains(note, 'S-active') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END FROM n""")
+def label_from_note(spark, d):
+    key = F.col("p_partkey")
+    note = F.concat(F.when(key % 3 == 0, "R=active; ").when(key % 3 == 1, "S-active, ").otherwise(""), F.col("p_name"))
+    return table(spark, d, "part").select(key.alias("id"), F.explode(R.label_from_note(note)).alias("x")).select(
+        "id", "x.side", "x.activity")
+
+
+# ------------------------------------------------------------- rule tables
+
+# Words of the given documents, as a tag table.
+DOCUMENT_TAGS = {"license": ("license", "copyright"), "contact": ("@", "http"), "secret": ("key", "token"),
+                 "german": (" der ", " und "), "english": (" the ", " and ")}
+
+
+@query("first_keyword_tag", "SELECT doc_id, CASE " + " ".join(
+    f"WHEN {like_any('lower(text)', w)} THEN '{t}'" for t, w in DOCUMENT_TAGS.items()) + " END AS tag FROM documents")
+def first_keyword_tag(spark, d):
+    return table(spark, d, "documents").select("doc_id", R.first_keyword_tag(F.col("text"), DOCUMENT_TAGS).alias("tag"))
+
+
+PATHWAY_NAME_SQL = """CASE p_partkey % 5 WHEN 0 THEN 'Frizzled ' WHEN 1 THEN 'FGFR ' WHEN 2 THEN 'BCL-2 ' WHEN 3 THEN 'hERG potassium channel ' ELSE '' END || p_name"""
+
+
+def pathway_name():
+    key = F.col("p_partkey")
+    return F.concat(F.when(key % 5 == 0, "Frizzled ").when(key % 5 == 1, "FGFR ").when(key % 5 == 2, "BCL-2 ")
+                    .when(key % 5 == 3, "hERG potassium channel ").otherwise(""), F.col("p_name"))
+
+
+@query("pathway_tags", f"""
+WITH n AS (SELECT lower({PATHWAY_NAME_SQL}) AS t FROM part)
+SELECT coalesce(CASE """ + " ".join(f"WHEN {like_any('t', w)} THEN '{k}'" for k, w in R.PATHWAY_KEYWORDS.items()) +
+       """ END, 'none') AS tag, count(*) AS n FROM n GROUP BY 1""")
+def pathway_tags(spark, d):
+    tag = F.coalesce(R.first_keyword_tag(pathway_name()), F.lit("none")).alias("tag")
+    return table(spark, d, "part").groupBy(tag).agg(F.count(F.lit(1)).alias("n"))
+
+
+def property_sql(kind, assay, name):
+    parts = []
+    for prop, kinds, words, both in R.PROPERTY_RULES:
+        of_kind = f"{kind} IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+        worded = like_any(f"lower({name})", words)
+        parts.append(f"WHEN ({of_kind}{' AND ' + worded if both else ''}) OR (NOT {of_kind} AND {assay} = 'A' AND {worded}) THEN '{prop}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+KIND_SQL = "CASE l_linenumber WHEN 1 THEN 'IC50' WHEN 2 THEN 'fu' WHEN 3 THEN 'EC50' WHEN 4 THEN 'Solubility' ELSE 'Ki' END"
+
+
+def property_rows(spark, d):
+    """Every line item as a measurement on its part."""
+    n = F.col("l_linenumber")
+    kind = F.when(n == 1, "IC50").when(n == 2, "fu").when(n == 3, "EC50").when(n == 4, "Solubility").otherwise("Ki")
+    part = table(spark, d, "part").select("p_partkey", pathway_name().alias("target_name"))
+    return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("entity_id"), kind.alias("kind"), F.col("l_returnflag").alias("assay_type"), "target_name",
+        F.col("l_quantity").alias("value"), "l_orderkey", n.alias("l_linenumber"), "l_partkey", "l_extendedprice", "l_quantity")
+
+
+PROP_SQL = f"""
+  SELECT l_suppkey AS entity_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_quantity AS value,
+         {property_sql(KIND_SQL, 'l_returnflag', PATHWAY_NAME_SQL)} AS property
+  FROM lineitem JOIN part ON p_partkey = l_partkey"""
+
+
+@query("property_datasets", f"""
+SELECT property, count(*) AS n_records, round(avg(value), 9) AS mean FROM ({PROP_SQL}) WHERE property IS NOT NULL
+GROUP BY 1 HAVING count(*) >= 10""")
+def property_datasets(spark, d):
+    return P.property_datasets(property_rows(spark, d)).withColumn("mean", F.round("mean", 9))
+
+
+@query("property_class", f"""
+SELECT l_partkey, kind, l_returnflag AS assay_type, {property_sql('kind', 'l_returnflag', 'nm')} AS property, count(*) AS n
+FROM (SELECT l_partkey, {KIND_SQL} AS kind, l_returnflag, {PATHWAY_NAME_SQL} AS nm FROM lineitem JOIN part ON p_partkey = l_partkey)
+GROUP BY ALL""")
+def property_class(spark, d):
+    prop = R.property_class(F.col("kind"), F.col("assay_type"), F.col("target_name"))
+    return property_rows(spark, d).groupBy("l_partkey", "kind", "assay_type", prop.alias("property")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def risk_sql(prop, value):
+    out = []
+    for name, high, moderate, lower in R.RISK_THRESHOLDS:
+        op = "<" if lower else ">"
+        out.append(f"WHEN {prop} = '{name}' THEN CASE WHEN {value} {op} {high} THEN 'high_risk' "
+                   f"WHEN {value} {op} {moderate} THEN 'moderate_risk' ELSE 'low_risk' END")
+    return "CASE " + " ".join(out) + " ELSE 'low_risk' END"
+
+
+def property_means(spark, d):
+    """Mean value per (supplier, property): one prediction per property and entity."""
+    prop = R.property_class(F.col("kind"), F.col("assay_type"), F.col("target_name"))
+    return property_rows(spark, d).select("entity_id", prop.alias("property"), "value").where(
+        F.col("property").isNotNull()).groupBy("entity_id", "property").agg((F.avg("value") - 20).alias("value"))
+
+
+PROP_MEAN_CTE = f"""
+  pm AS (SELECT entity_id, property, avg(value) - 20 AS value FROM ({PROP_SQL}) WHERE property IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("risk_level", f"WITH {PROP_MEAN_CTE} SELECT entity_id, property, {risk_sql('property', 'value')} AS risk FROM pm")
+def risk_level(spark, d):
+    return property_means(spark, d).select("entity_id", "property",
+                                           R.risk_level(F.col("property"), F.col("value")).alias("risk"))
+
+
+@query("risk_rollup", f"""
+WITH {PROP_MEAN_CTE}, r AS (SELECT entity_id, {risk_sql('property', 'value')} AS risk FROM pm),
+ c AS (SELECT entity_id, count_if(risk = 'high_risk')::BIGINT AS n_high, count_if(risk = 'moderate_risk')::BIGINT AS n_moderate FROM r GROUP BY 1)
+SELECT *, CASE WHEN n_high > 0 THEN 'high_risk' WHEN n_moderate > 0 THEN 'moderate_risk' ELSE 'low_risk' END AS overall FROM c""")
+def risk_rollup(spark, d):
+    return P.risk_rollup(risk_level(spark, d))
+
+
+COMPARED_CTE = f"""{PROP_MEAN_CTE}, pairs AS ({PAIRS_SQL}),
+ cmp AS (SELECT a_id, b_id, x.property, x.value AS value_a, y.value AS value_b,
+                greatest(abs(x.value), abs(y.value)) / greatest(least(abs(x.value), abs(y.value)), 1e-10) AS fold_difference,
+                {risk_sql('x.property', 'x.value')} AS risk_a, {risk_sql('x.property', 'y.value')} AS risk_b
+         FROM pairs JOIN pm x ON x.entity_id = a_id JOIN pm y ON y.entity_id = b_id AND y.property = x.property)"""
+
+
+def compared(spark, d):
+    return P.compare_profiles(supplier_pairs(spark, d), property_means(spark, d))
+
+
+@query("compare_profiles", f"""
+WITH {COMPARED_CTE}
+SELECT a_id, b_id, property, risk_a, risk_b, risk_a <> risk_b AS risk_divergent, round(fold_difference, 5) AS fold_difference FROM cmp""")
+def compare_profiles(spark, d):
+    return compared(spark, d).select("a_id", "b_id", "property", "risk_a", "risk_b", "risk_divergent",
+                                     F.round("fold_difference", 5).alias("fold_difference"))
+
+
+DIVERGENCE_CTE = COMPARED_CTE + """, ds AS (
+  SELECT a_id, b_id, count_if(fold_difference >= 2 OR risk_a <> risk_b)::BIGINT AS n_divergent, max(fold_difference) AS worst_divergence
+  FROM cmp GROUP BY 1, 2)"""
+
+
+@query("divergence_summary", f"""
+WITH {DIVERGENCE_CTE} SELECT a_id, b_id, n_divergent, round(worst_divergence, 5) AS worst_divergence,
+  CASE WHEN n_divergent > 0 THEN 'chirality_matters' ELSE 'chirality_neutral' END AS recommendation FROM ds""")
+def divergence_summary(spark, d):
+    return P.divergence_summary(compared(spark, d)).withColumn("worst_divergence", F.round("worst_divergence", 5))
+
+
+@query("flag_top_n", f"""
+WITH {DIVERGENCE_CTE} SELECT a_id, b_id, 'admet_divergence' AS hit_type, round(worst_divergence * n_divergent, 4) AS priority
+FROM ds WHERE n_divergent > 0 ORDER BY worst_divergence * n_divergent DESC, a_id, b_id LIMIT 50""")
+def flag_top_n(spark, d):
+    s = P.divergence_summary(compared(spark, d))
+    return P.flag_top_n(s, "worst_divergence", "n_divergent", "admet_divergence").select(
+        "a_id", "b_id", "hit_type", F.round("priority", 4).alias("priority"))
+
+
+@query("both_sides_measured", f"""
+WITH pr AS ({PROP_SQL}), pairs AS ({PAIRS_SQL}),
+ last AS (SELECT entity_id, property, value FROM pr WHERE property IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY entity_id, property ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_quantity DESC) = 1)
+SELECT a_id, b_id, x.property, x.value AS value_a, y.value AS value_b FROM pairs
+JOIN last x ON x.entity_id = a_id JOIN last y ON y.entity_id = b_id AND y.property = x.property""")
+def both_sides_measured(spark, d):
+    prop = R.property_class(F.col("kind"), F.col("assay_type"), F.col("target_name"))
+    rec = property_rows(spark, d).withColumn("property", prop).where(F.col("property").isNotNull())
+    return P.both_sides_measured(supplier_pairs(spark, d), rec,
+                                 ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"])
+
+
+@query("last_record", """
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def last_record(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return P.last_record(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+# --------------------------------------------------- predictions and scores
+
+LOCAL_CTE = """
+  preds AS (SELECT l_suppkey AS a_id, l_orderkey AS b_id, l_partkey AS target_id, max(l_quantity) / 5 AS predicted FROM lineitem GROUP BY 1, 2, 3),
+  loc AS (SELECT * FROM preds WHERE target_id % 3 = 0 AND b_id % 2 = 0),
+  prof AS (SELECT *, 'per_target' AS source FROM loc
+           UNION ALL SELECT *, 'global' FROM preds WHERE target_id NOT IN (SELECT target_id FROM loc))"""
+
+
+def predictions(spark, d):
+    """A general prediction per (supplier, order, part); local models exist for a third of the parts."""
+    p = table(spark, d, "lineitem").groupBy(
+        F.col("l_suppkey").alias("a_id"), F.col("l_orderkey").alias("b_id"), F.col("l_partkey").alias("target_id")
+    ).agg((F.max("l_quantity") / 5).alias("predicted"))
+    local = p.where((F.col("target_id") % 3 == 0) & (F.col("b_id") % 2 == 0))
+    return P.profile_with_fallback(local, p)
+
+
+@query("profile_with_fallback", f"WITH {LOCAL_CTE} SELECT a_id, b_id, target_id, predicted, source FROM prof")
+def profile_with_fallback(spark, d):
+    return predictions(spark, d)
+
+
+@query("top_target", f"""
+WITH {LOCAL_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY predicted DESC, target_id) AS rn FROM prof)
+SELECT a_id, b_id, count_if(predicted >= 3)::BIGINT AS n_sensitive, max(target_id) FILTER (rn = 1) AS top_target,
+       max(predicted) AS top_fold FROM r GROUP BY 1, 2""")
+def top_target(spark, d):
+    return P.profile_summary(predictions(spark, d))
+
+
+@query("confidence", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_quantity / 5 - 1, 1.0) AS fold FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, fold, round(least(fold / 6, 1.0), 9) AS confidence, fold >= 3 AS sensitive FROM p""")
+def confidence(spark, d):
+    fold, conf, flag = R.sensitivity(F.col("l_quantity") / 5 - 1)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fold.alias("fold"),
+                                              F.round(conf, 9).alias("confidence"), flag.alias("sensitive"))
+
+
+@query("clamp_outcome", """
+WITH p AS (SELECT o_orderkey AS id, o_totalprice / 2000 - 100 AS x FROM orders)
+SELECT id, least(abs(x), 100.0) AS size, CASE WHEN x >= 0 THEN 'R' ELSE 'S' END AS side, round(least(abs(x), 100.0) / 100, 9) AS confidence FROM p""")
+def clamp_outcome(spark, d):
+    size, side, conf = R.clamp_outcome(F.col("o_totalprice") / 2000 - 100)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), size.alias("size"), side.alias("side"),
+                                            F.round(conf, 9).alias("confidence"))
+
+
+SCORE_SQL = """
+  SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 4 <> 0 THEN p_size / 50 END, 0.0) * 0.4::DOUBLE
+         + coalesce(CASE WHEN p_size % 5 <> 0 THEN (p_partkey % 10) / 10 END, 1.0) * 0.3::DOUBLE
+         + coalesce(CASE WHEN p_size % 7 <> 0 THEN (p_partkey % 17) / 17 END, 0.5) * 0.3::DOUBLE AS score, p_name
+  FROM part"""
+
+
+def part_scores(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    s = R.combined_score(F.when(size % 4 != 0, size / 50), F.when(size % 5 != 0, (key % 10) / 10),
+                         F.when(size % 7 != 0, (key % 17) / 17))
+    return table(spark, d, "part").select(key.alias("id"), s.alias("score"), "p_name")
+
+
+@query("combined_score", f"SELECT id, round(score, 9) AS score FROM ({SCORE_SQL})")
+def combined_score(spark, d):
+    return part_scores(spark, d).select("id", F.round("score", 9).alias("score"))
+
+
+CANDIDATE_CTE = f"""
+  c AS (SELECT id, score, p_name || ':' || (id % 200) AS canonical FROM ({SCORE_SQL})),
+  f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY id) = 1)"""
+
+
+def candidates(spark, d):
+    return part_scores(spark, d).select("id", "score", F.concat_ws(":", "p_name", (F.col("id") % 200).cast("string")).alias("canonical"))
+
+
+@query("canonical_dedup", f"WITH {CANDIDATE_CTE} SELECT id, canonical, round(score, 9) AS score FROM f WHERE score >= 0.4")
+def canonical_dedup(spark, d):
+    return P.canonical_dedup(candidates(spark, d), 0.4)[0].select("id", "canonical", F.round("score", 9).alias("score"))
+
+
+@query("canonical_dedup_counts", f"""
+WITH {CANDIDATE_CTE} SELECT (SELECT count(*) FROM c) AS input_count, count(*) AS output_count,
+  (SELECT count(*) FROM c) - count(*) AS filtered_count FROM f WHERE score >= 0.4""")
+def canonical_dedup_counts(spark, d):
+    return P.canonical_dedup(candidates(spark, d), 0.4)[1]
+
+
+@query("merge_manifests", """
+SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F'""")
+def merge_manifests(spark, d):
+    li = table(spark, d, "lineitem")
+    return P.merge_manifests(li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id")),
+                             li.where("l_linestatus = 'F'").select(F.col("l_partkey").alias("id")))
+
+
+@query("delta_rank", f"""
+WITH pairs AS ({PAIRS_SQL})
+SELECT a_id, b_id, round(y.s_acctbal - x.s_acctbal, 6) AS delta FROM pairs JOIN supplier x ON x.s_suppkey = a_id JOIN supplier y ON y.s_suppkey = b_id""")
+def delta_rank(spark, d):
+    scores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_acctbal").alias("score"))
+    return P.delta_rank(supplier_pairs(spark, d), scores).select("a_id", "b_id", F.round("delta", 6).alias("delta"))
+
+
+@query("improving_flips", f"""
+WITH forms AS ({CUSTOMER_FORMS_SQL}),
+ p AS (SELECT x.class_key, x.id AS from_id, y.id AS to_id, log2(xor(x.code, y.code))::INT AS site, x.code AS cx, cy.c_acctbal - cx.c_acctbal AS delta
+       FROM forms x JOIN forms y ON x.class_key = y.class_key AND bit_count(xor(x.code, y.code)) = 1
+       JOIN customer cx ON cx.c_custkey = x.id JOIN customer cy ON cy.c_custkey = y.id)
+SELECT class_key, from_id, to_id, round(delta, 6) AS delta,
+       'C' || site || CASE WHEN (cx >> site) & 1 = 1 THEN ': R->S' ELSE ': S->R' END AS transition FROM p WHERE delta > 0""")
+def improving_flips(spark, d):
+    scores = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("score"))
+    return P.improving_flips(customer_entities(spark, d), scores).withColumn("delta", F.round("delta", 6))
+
+
+@query("hill_climb")
+def hill_climb(spark, d):
+    scores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_acctbal").alias("score"))
+    return P.hill_climb(supplier_entities(spark, d), scores)
+
+
+@query("assign_rank", """
+SELECT l_returnflag, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY q DESC, l_partkey) AS rank
+FROM (SELECT l_returnflag, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)""")
+def assign_rank(spark, d):
+    q = table(spark, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    return P.assign_rank(q, ["l_returnflag"], "q", "l_partkey").select("l_returnflag", "l_partkey", "rank")
+
+
+@query("prediction_gap_screen", f"""
+WITH p AS (SELECT id, ee, (id % 100)::DOUBLE AS predicted FROM ({OUT_SQL}))
+SELECT id, 'prediction_gap' AS hit_type, abs(predicted - ee) AS priority FROM p WHERE abs(predicted - ee) > 20""")
+def prediction_gap_screen(spark, d):
+    return P.prediction_gap_screen(outcomes(spark, d).withColumn("predicted", (F.col("id") % 100).cast("double")))
+
+
+@query("label_fate", """
+WITH b AS (SELECT o_orderkey AS record_id, o_orderkey % 4 AS pos, CASE WHEN o_custkey % 2 = 0 THEN 'R' ELSE 'S' END AS label FROM orders WHERE o_orderstatus <> 'P'),
+ a AS (SELECT o_orderkey AS record_id, o_orderkey % 4 AS pos, CASE WHEN o_custkey % 3 = 0 THEN 'R' ELSE 'S' END AS label FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT record_id, pos, b.label AS label_before, a.label AS label_after,
+       CASE WHEN b.label IS NULL THEN 'new' WHEN a.label IS NULL THEN 'lost' WHEN a.label = b.label THEN 'retained' ELSE 'inverted' END AS fate
+FROM b FULL JOIN a USING (record_id, pos)""")
+def label_fate(spark, d):
+    o = table(spark, d, "orders")
+    side = lambda n: F.when(F.col("o_custkey") % n == 0, "R").otherwise("S").alias("label")
+    keys = [F.col("o_orderkey").alias("record_id"), (F.col("o_orderkey") % 4).alias("pos")]
+    return P.label_fate(o.where("o_orderstatus <> 'P'").select(*keys, side(2)),
+                        o.where("o_orderpriority <> '5-LOW'").select(*keys, side(3)))
+
+
+@query("strategy_lookup", """
+WITH s AS (SELECT n_name AS strategy, CASE n_regionkey WHEN 0 THEN 'generic' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'MACHINERY' ELSE 'unused' END AS environment FROM nation),
+ e AS (SELECT c_custkey, c_mktsegment AS environment FROM customer)
+SELECT c_custkey, e.environment, strategy, CASE WHEN e.environment = 'generic' THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END AS confidence
+FROM e JOIN s ON s.environment = CASE WHEN e.environment IN (SELECT environment FROM s) THEN e.environment ELSE 'generic' END""")
+def strategy_lookup(spark, d):
+    key = F.col("n_regionkey")
+    env = F.when(key == 0, "generic").when(key == 1, "BUILDING").when(key == 2, "MACHINERY").otherwise("unused")
+    strategies = table(spark, d, "nation").select(env.alias("environment"), F.col("n_name").alias("strategy"))
+    envs = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("environment"))
+    return P.strategy_lookup(envs, strategies)
+
+
+# ----------------------------------------------------------- text patterns
+
+@query("reaction_types", f"""
+SELECT CASE WHEN contains(lower(reaction), '[h]') THEN 'hydrogenation' WHEN contains(lower(reaction), 'o=o') OR contains(lower(reaction), '[o]') THEN 'oxidation'
+            WHEN contains(reaction, '>>') THEN 'transformation' ELSE 'other' END AS reaction_type, count(*) AS n
+FROM (SELECT CASE id % 5 WHEN 0 THEN '[H][H]>>' WHEN 1 THEN 'O=O.' WHEN 2 THEN '' ELSE NULL END || reaction AS reaction FROM ({OUT_SQL})) GROUP BY 1""")
+def reaction_types(spark, d):
+    key = F.col("id") % 5
+    text = F.concat(F.when(key == 0, "[H][H]>>").when(key == 1, "O=O.").when(key == 2, ""), F.col("reaction"))
+    return outcomes(spark, d).groupBy(R.pattern_type(text).alias("reaction_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("parse_entries", """
+SELECT l_orderkey AS id, p_name AS name, 'CHEMBL' || l_partkey AS entry_id, l_quantity AS fold_change
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey""")
+def parse_entries(spark, d):
+    """Each line item written as a two-line description and read back."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(
+        table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    text = F.concat(F.lit("1 sensitive target(s):\n  "), "p_name", F.lit(" (CHEMBL"), F.col("l_partkey").cast("string"),
+                    F.lit("): "), F.col("l_quantity").cast("string"), F.lit("x differential\n"))
+    return li.select(F.col("l_orderkey").alias("id"), F.explode(X.parse_entries(text)).alias("e")).select(
+        "id", "e.name", F.col("e.id").alias("entry_id"), "e.fold_change")
+
+
+@query("formula_tokens", """
+WITH w AS (SELECT doc_id, regexp_extract_all(trim(text), '([A-Z][a-z]?)(\\d*)', 1) AS e, regexp_extract_all(trim(text), '([A-Z][a-z]?)(\\d*)', 2) AS n FROM documents),
+ x AS (SELECT doc_id, unnest(e) AS element, unnest(n) AS c FROM w)
+SELECT doc_id, element, sum(CASE WHEN c = '' THEN 1 ELSE TRY_CAST(c AS INT) END)::BIGINT AS n FROM x GROUP BY 1, 2""")
+def formula_tokens(spark, d):
+    """Capital tokens of whole document texts, with counts."""
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(X.formula_tokens(F.col("text"))).alias("element"))
+    return tokens.groupBy("doc_id", "element").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("key_values_from_text", r"""
+SELECT page_id, coalesce(TRY_CAST(regexp_extract(html, 'page=(\d+)', 1) AS DOUBLE), 1.0::DOUBLE) AS page,
+       coalesce(TRY_CAST(regexp_extract(html, 'margin:([\d.]+)', 1) AS DOUBLE), 90.0::DOUBLE) AS margin,
+       regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages""")
+def key_values_from_text(spark, d):
+    html = F.col("html")
+    return table(spark, d, "pages").select(
+        "page_id", X.number_after(html, r"page=(\d+)", 1.0).alias("page"),
+        X.number_after(html, r"margin:([\d.]+)", 90.0).alias("margin"),
+        F.regexp_extract(html, r'lang="([a-z]+)"', 1).alias("lang"))
+
+
+@query("strip_uncertainty", """
+SELECT p_partkey AS id, TRY_CAST(regexp_replace(p_retailprice || CASE WHEN p_size % 2 = 0 THEN '(' || p_size || ')' ELSE '' END, '\\(.*', '') AS DOUBLE) AS value FROM part""")
+def strip_uncertainty(spark, d):
+    text = F.concat(F.col("p_retailprice").cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).otherwise(""))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.strip_uncertainty(text).try_cast("double").alias("value"))

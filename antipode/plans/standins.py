@@ -139,3 +139,62 @@ PROFILE_CTE = f"""
            printf('%d sensitive target(s)', n_differential) AS description
     FROM summary WHERE n_differential > 0),
   hits AS (SELECT * FROM gap_hits UNION ALL SELECT * FROM diff_hits)"""
+
+
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure records from ``part``, with the mean line discount as saturation score."""
+    cents = F.round(F.col("l_discount") * 100).cast("long")
+    discount = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(
+        (F.sum(cents) / F.count(F.lit(1)) / 10.0).alias("saturation"))
+    words = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), ((F.col("p_size") * 37) % 230 + 1).alias("sg"),
+        F.format_string("%s%d", F.col("p_name"), F.col("p_size")).alias("formula"),
+        F.array_compact(F.array(words[0], F.when(F.col("p_size") % 2 == 1, words[1]),
+                                F.when(F.col("p_size") % 3 != 0, F.col("p_type")))).alias("labels"), F.col("p_size").alias("n_atoms"),
+        ((F.col("p_retailprice") % 150) / 100).alias("activity"),
+        (F.col("p_partkey") % 3 - 1).cast("double").alias("sign"), (F.col("p_size") != 7).alias("is_chiral"),
+        F.when(F.col("p_size") == 13, "failed").alias("error"),
+    ).join(discount, "id", "left")
+
+
+STRUCT_CTE = """
+  disc AS (SELECT l_partkey AS id, sum(round(l_discount * 100)::BIGINT) / count(*) / 10.0::DOUBLE AS saturation
+           FROM lineitem GROUP BY 1),
+  st AS (SELECT p_partkey AS id, (p_size * 37) % 230 + 1 AS sg, p_name || p_size AS formula,
+                list_filter([string_split(p_name, ' ')[1], CASE WHEN p_size % 2 = 1 THEN string_split(p_name, ' ')[2] END,
+                             CASE WHEN p_size % 3 <> 0 THEN p_type END], lambda x: x IS NOT NULL) AS labels, p_size AS n_atoms,
+                (p_retailprice % 150) / 100 AS activity, (p_partkey % 3 - 1)::DOUBLE AS sign,
+                p_size <> 7 AS is_chiral, CASE WHEN p_size = 13 THEN 'failed' END AS error, saturation
+         FROM part LEFT JOIN disc ON disc.id = p_partkey)"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome records from ``orders``."""
+    cust = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 5000 - 5).alias("ee"),
+        cust.cast("string").alias("catalyst"), F.col("o_orderpriority").alias("substrate"),
+        F.concat_ws(">>", "o_orderpriority", "o_orderstatus").alias("reaction"),
+    )
+
+
+OUT_SQL = """
+  SELECT o_orderkey AS id, o_totalprice / 5000 - 5 AS ee,
+         CASE WHEN o_custkey % 10 <> 0 THEN o_custkey::VARCHAR END AS catalyst, o_orderpriority AS substrate,
+         o_orderpriority || '>>' || o_orderstatus AS reaction
+  FROM orders"""
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a quality label, a length score in (0, 1) and a fold."""
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", "lang", "quality", "toxic", n.cast("double").alias("n_chars"),
+        (n / (n + 2000)).alias("score"), (F.col("doc_id") % 5).cast("int").alias("fold"))
+
+
+FOLD_SQL = """
+  SELECT d.doc_id, lang, quality, toxic, n_chars::DOUBLE AS n_chars, n_chars / (n_chars + 2000) AS score,
+         (d.doc_id % 5)::INT AS fold
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
