@@ -256,15 +256,23 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
         F.when(chiral, F.col("s")).otherwise(0.0).alias("sign"))
 
 
-def graph_scores(centers: DataFrame, labels: DataFrame, threshold: float = CHIRAL_THRESHOLD) -> DataFrame:
-    """Best center per graph; the sign tells which label is in the majority."""
+def graph_scores(sizes: DataFrame, centers: DataFrame, labels: DataFrame, threshold: float = CHIRAL_THRESHOLD,
+                 max_nodes: int = MAX_NODES) -> DataFrame:
+    """Best center of every graph; the sign tells which label is in the majority.
+
+    A graph without a scored center has score 0. One above ``max_nodes`` has no
+    score and an error text.
+    """
     majority = labels.groupBy("graph_id").agg(
         F.signum((F.count_if(F.col("label") == "R") - F.count_if(F.col("label") == "S")).cast("double")).alias("s"))
-    best = centers.groupBy("graph_id").agg(F.max("score").alias("score"))
-    chiral = F.col("score") > threshold
-    return majority.join(best, "graph_id", "left").fillna(0.0, ["score"]).select(
-        "graph_id", "score", chiral.alias("is_chiral"), (F.col("score") / threshold - 1).alias("confidence"),
-        F.when(chiral, F.col("s")).otherwise(0.0).alias("sign"))
+    best = centers.groupBy("graph_id").agg(F.max("score").alias("best"))
+    fits = F.col("n_nodes") <= max_nodes
+    score = F.when(fits, F.coalesce("best", F.lit(0.0)))
+    chiral = score > threshold
+    return sizes.join(majority, "graph_id", "left").join(best, "graph_id", "left").select(
+        "graph_id", score.alias("score"), chiral.alias("is_chiral"), (score / threshold - 1).alias("confidence"),
+        F.when(chiral, F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("sign"),
+        F.when(~fits, "too_large").alias("error"))
 
 
 def compare_graphs(pairs: DataFrame, scores: DataFrame, sizes: DataFrame) -> DataFrame:

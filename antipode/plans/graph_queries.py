@@ -256,7 +256,7 @@ def scored(spark, d):
     n = nodes(spark, d)
     e, sizes, labels = edges_of(n), G.graph_sizes(n), labels_of(n)
     centers = G.center_scores(sizes, e, G.canonical_order(n, e), labels)
-    return centers, G.graph_scores(centers, labels), sizes
+    return centers, G.graph_scores(sizes, centers, labels), sizes
 
 
 @query("differential_score")
@@ -269,5 +269,5 @@ def differential_score(spark, d):
 def compare_graphs(spark, d):
     _, scores, sizes = scored(spark, d)
     key = F.col("graph_id")
-    pairs = sizes.where(key % 2 == 0).select(key.alias("a_id"), (key + 1).alias("b_id"))
+    pairs = sizes.select(key.alias("a_id"), (key + 1).alias("b_id"))
     return G.compare_graphs(pairs, scores, sizes)

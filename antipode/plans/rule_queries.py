@@ -99,16 +99,16 @@ def strong_and_selected_flags(spark, d):
 
 @query("selected_report", f"""
 WITH f AS ({FLAG_SQL})
-SELECT id, fc AS actual_fc, round(log10(fc), 9) AS actual_log_fc, div, qed, CASE WHEN id % 4 <> 0 THEN id / 100 END AS predicted_log_fc,
-       CASE WHEN id % 3 <> 0 THEN (id % 100) / 100 END AS high_probability, CASE WHEN id % 2 = 0 AND id % 5 <> 0 THEN id / 50 END AS global_log_fc
+SELECT id, fc AS actual_fc, round(log10(fc), 9) AS actual_log_fc, div, qed, CASE WHEN qed < 0.8 THEN id / 100 END AS predicted_log_fc,
+       CASE WHEN fc < 25 THEN (id % 100) / 100 END AS high_probability, CASE WHEN violations = 0 AND fc > 15 THEN id / 50 END AS global_log_fc
 FROM f WHERE div > 0.7 AND fc > 10 AND violations <= 1 AND qed > 0.3""")
 def selected_report(spark, d):
     rows = flag_rows(spark, d)
     key = F.col("id")
-    local = rows.where(key % 4 != 0).select("id", (key / 100).alias("predicted_log_fc"))
-    prob = rows.where(key % 3 != 0).select("id", ((key % 100) / 100).alias("high_probability"))
-    general = rows.where(key % 2 == 0).select(
-        "id", F.when(key % 5 == 0, float("nan")).otherwise(key / 50).alias("global_log_fc"))
+    local = rows.where("qed < 0.8").select("id", (key / 100).alias("predicted_log_fc"))
+    prob = rows.where("fc < 25").select("id", ((key % 100) / 100).alias("high_probability"))
+    general = rows.where("violations = 0").select(
+        "id", F.when(F.col("fc") <= 15, float("nan")).otherwise(key / 50).alias("global_log_fc"))
     return P.selected_report(rows, local, prob, general).withColumn("actual_log_fc", F.round("actual_log_fc", 9))
 
 
@@ -298,17 +298,18 @@ def last_record(spark, d):
 
 LOCAL_CTE = """
   preds AS (SELECT l_suppkey AS a_id, l_orderkey AS b_id, l_partkey AS target_id, max(l_quantity) / 5 AS predicted FROM lineitem GROUP BY 1, 2, 3),
-  loc AS (SELECT * FROM preds WHERE target_id % 3 = 0 AND b_id % 2 = 0),
+  loc AS (SELECT preds.* FROM preds JOIN part ON p_partkey = target_id WHERE p_type = 'ECONOMY'),
   prof AS (SELECT *, 'per_target' AS source FROM loc
            UNION ALL SELECT *, 'global' FROM preds WHERE target_id NOT IN (SELECT target_id FROM loc))"""
 
 
 def predictions(spark, d):
-    """A general prediction per (supplier, order, part); local models exist for a third of the parts."""
+    """A general prediction per (supplier, order, part); parts of one type have their own model."""
     p = table(spark, d, "lineitem").groupBy(
         F.col("l_suppkey").alias("a_id"), F.col("l_orderkey").alias("b_id"), F.col("l_partkey").alias("target_id")
     ).agg((F.max("l_quantity") / 5).alias("predicted"))
-    local = p.where((F.col("target_id") % 3 == 0) & (F.col("b_id") % 2 == 0))
+    modelled = table(spark, d, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("target_id"))
+    local = p.join(modelled, "target_id")
     return P.profile_with_fallback(local, p)
 
 
