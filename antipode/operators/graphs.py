@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from antipode.functions import spectra as Z
 from antipode.functions.vectors import pad
 from antipode.operators.search import random_project
-from antipode.scale import group_row_number
+from antipode.scale import group_row_number, materialize
 
 # Weights per bond type, other types weigh 1.
 BOND_WEIGHTS = (("SINGLE", 1.0), ("AROMATIC", 1.5), ("DOUBLE", 2.0), ("TRIPLE", 3.0))
@@ -209,17 +209,18 @@ def shifted_order_per_center(edges: DataFrame, positions: DataFrame, centers: Da
     """Cyclic shift of the neighbours' positions of each center, in both directions.
 
     ``centers``: graph_id, center. Centers with fewer than two neighbours give no
-    row. Output: graph_id, center, shift, node, pos (moved nodes only).
+    row. Output: graph_id, center, shift, node, pos (moved nodes only), and the
+    number ``k`` of neighbours.
     """
     around = both_directions(edges).select("graph_id", F.col("node").alias("center"), F.col("neighbour").alias("node")).join(
         centers, ["graph_id", "center"]).join(positions, ["graph_id", "node"])
     placed = group_row_number(around.select("graph_id", "center", "node", "pos"), ["graph_id", "center"], [F.asc("pos")], "i")
     size = placed.groupBy("graph_id", "center").agg(F.count(F.lit(1)).alias("k"))
     asked = placed.join(size.where(F.col("k") >= 2), ["graph_id", "center"]).select(
-        "graph_id", "center", "node", "i", "k", F.explode(F.array(F.lit(1), F.lit(-1))).alias("shift")).select(
-        "graph_id", "center", "shift", "node", (F.pmod(F.col("i") - 1 - F.col("shift"), F.col("k")) + 1).alias("i"))
+        "graph_id", "center", "node", "i", F.col("k"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("shift")).select(
+        "graph_id", "center", "shift", "node", "k", (F.pmod(F.col("i") - 1 - F.col("shift"), F.col("k")) + 1).alias("i"))
     slots = placed.select("graph_id", "center", "i", "pos")
-    return asked.join(slots, ["graph_id", "center", "i"]).select("graph_id", "center", "shift", "node", "pos")
+    return asked.join(slots, ["graph_id", "center", "i"]).select("graph_id", "center", "shift", "node", "pos", "k")
 
 
 def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame, labels: DataFrame,
@@ -230,9 +231,11 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
     confidence, sign.
     """
     small = nodes_sizes.where(F.col("n_nodes") <= max_nodes)
-    moved = shifted_order_per_center(
+    shifted_nodes = shifted_order_per_center(
         edges.join(small.select("graph_id"), "graph_id", "left_semi"), positions,
         labels.select("graph_id", F.col("node").alias("center")))
+    # two neighbours swap either way, so one direction is enough; the table is read three times below
+    moved = materialize(shifted_nodes.where((F.col("shift") == 1) | (F.col("k") > 2)), "moved")
     variants = moved.select("graph_id", "center", "shift").distinct()
     keys = ["graph_id", "center", "shift"]
     at = lambda end: moved.select(*keys, F.col("node").alias(end), F.col("pos").alias(f"m_{end}"))
@@ -245,6 +248,7 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
     asym = lambda df: df.withColumn("asym", Z.spectral_asymmetry(F.col("ev_cos"), F.col("ev_sin"))[0])
     base = asym(spectra(reorder_edges(edges, positions), small, k=k)).select("graph_id", F.col("asym").alias("base_asym"))
     shifted = asym(spectra(shifted_edges, variants.join(small, "graph_id"), keys, k))
+    # both spectra are solved once: the join needs their asymmetry only
     best = shifted.join(base, "graph_id").groupBy("graph_id", "center").agg(
         F.max(F.abs(F.col("asym") - F.col("base_asym"))).alias("score"))
     signs = labels.select("graph_id", F.col("node").alias("center"),

@@ -88,10 +88,10 @@ def fit_global(df: DataFrame, vec: str, target: str, label: str, trees: int = 20
 
 
 def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: float = 1.0,
-                  min_records: int = 20, held: int = 256) -> DataFrame:
+                  min_records: int = 20, held: int = 4096) -> DataFrame:
     """Ridge regression per group: group, n, intercept, coefficients.
 
-    Each task keeps at most ``held`` partial matrices before it passes them on.
+    Each task passes its partial sums on once it holds ``held`` groups.
     """
     g_type = df.schema[group].dataType.simpleString()
 
@@ -104,13 +104,22 @@ def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: f
             return out
 
         for pdf in batches:
-            for key, part in pdf.groupby("g", sort=False):
-                x = np.column_stack([np.ones(len(part)), np.stack([np.asarray(v, dtype=float) for v in part["x"]])])
-                y = part["y"].to_numpy(dtype=float)
-                s = np.concatenate([(x.T @ x).ravel(), x.T @ y])
-                sums[key] = sums[key] + s if key in sums else s
-                if len(sums) >= held:
-                    yield flush()
+            if not len(pdf):
+                continue
+            x = np.column_stack([np.ones(len(pdf)), np.stack([np.asarray(v, dtype=float) for v in pdf["x"]])])
+            codes, keys = pd.factorize(pdf["g"])
+            order = np.argsort(codes, kind="stable")
+            x, y, codes = x[order], pdf["y"].to_numpy(dtype=float)[order], codes[order]
+            step = max(1, 2_000_000 // (x.shape[1] ** 2))  # rows whose products fit in memory at once
+            for i in range(0, len(x), step):
+                a, b, c = x[i:i + step], y[i:i + step], codes[i:i + step]
+                products = np.hstack([(a[:, :, None] * a[:, None, :]).reshape(len(a), -1), a * b[:, None]])
+                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                for code, s in zip(c[starts], np.add.reduceat(products, starts, axis=0)):
+                    key = keys[code]
+                    sums[key] = sums[key] + s if key in sums else s
+            if len(sums) >= held:
+                yield flush()
         if sums:
             yield flush()
 

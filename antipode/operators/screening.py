@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antipode.scale import top_per_group
+from antipode.scale import broadcast_if_small, top_per_group
 
 # Fallback order of measurement kinds and smallest divisor of a ratio.
 FALLBACK_KINDS = ("IC50", "Ki", "EC50")
@@ -62,7 +62,7 @@ def attach_measurements(pairs: DataFrame, means: DataFrame) -> DataFrame:
         F.struct(F.col("b_id").alias("entity_id"), F.lit("b").alias("side")),
     )).alias("s")
     sides = pairs.select("class_key", *PAIR, side).select("class_key", *PAIR, "s.entity_id", "s.side")
-    return means.join(sides, "entity_id")
+    return means.join(broadcast_if_small(sides), "entity_id")
 
 
 def pair_target_profile(pairs: DataFrame, meas: DataFrame, kinds: Sequence[str] = FALLBACK_KINDS) -> DataFrame:
@@ -143,25 +143,32 @@ def pair_summary(pairs: DataFrame, profile: DataFrame, min_fold: float = 3.0) ->
     )
 
 
-def gap_hits(summary: DataFrame) -> DataFrame:
-    """Pairs with a target measured on one side only; priority = gaps * (1 + 0.1 * measurements)."""
+def _gap_text() -> Column:
     a, b = F.col("a_id").cast("string"), F.col("b_id").cast("string")
 
     def one_sided(tested: Column, untested: Column, n: str) -> Column:
         return F.format_string("%s tested on %d targets, %s untested. Recommend testing %s.",
                                tested, F.col(n), untested, untested)
 
-    text = (
+    return (
         F.when(F.col("n_gap_b") == 0, one_sided(a, b, "n_gap_a"))
         .when(F.col("n_gap_a") == 0, one_sided(b, a, "n_gap_b"))
         .otherwise(F.format_string("Activity gaps in both directions: %s unique targets=%d, %s unique targets=%d.",
                                    a, F.col("n_gap_a"), b, F.col("n_gap_b")))
     )
+
+
+def _differential_text() -> Column:
+    return F.format_string("%d sensitive target(s)", F.col("n_differential"))
+
+
+def gap_hits(summary: DataFrame) -> DataFrame:
+    """Pairs with a target measured on one side only; priority = gaps * (1 + 0.1 * measurements)."""
     gaps = F.col("n_gap_a") + F.col("n_gap_b")
     return summary.where(gaps > 0).select(
         F.lit("activity_gap").alias("hit_type"), "class_key", *PAIR,
         (gaps * (1 + F.lit(0.1) * F.col("n_measurements"))).alias("priority"),
-        text.alias("description"),
+        _gap_text().alias("description"),
     )
 
 
@@ -170,10 +177,25 @@ def differential_hits(summary: DataFrame) -> DataFrame:
     return summary.where(F.col("n_differential") > 0).select(
         F.lit("differential").alias("hit_type"), "class_key", *PAIR,
         (F.col("max_fold") * F.col("n_differential")).alias("priority"),
-        F.format_string("%d sensitive target(s)", F.col("n_differential")).alias("description"),
+        _differential_text().alias("description"),
     )
 
 
+def pair_hits(summary: DataFrame) -> DataFrame:
+    """Gap hits and differential hits of a summary in one pass over it."""
+    gaps = F.col("n_gap_a") + F.col("n_gap_b")
+    both = F.array_compact(F.array(
+        F.when(gaps > 0, F.struct(
+            F.lit("activity_gap").alias("hit_type"),
+            (gaps * (1 + F.lit(0.1) * F.col("n_measurements"))).alias("priority"), _gap_text().alias("description"))),
+        F.when(F.col("n_differential") > 0, F.struct(
+            F.lit("differential").alias("hit_type"),
+            (F.col("max_fold") * F.col("n_differential")).alias("priority"), _differential_text().alias("description"))),
+    ))
+    rows = summary.select("class_key", *PAIR, F.explode(both).alias("h"))
+    return rows.select("h.hit_type", "class_key", *PAIR, "h.priority", "h.description")
+
+
 def differential_lines(profile: DataFrame, names: DataFrame | None = None, min_fold: float = 3.0) -> DataFrame:
     """The text line of every differential target: one row each, never gathered per pair."""
     rows = profile.where(F.col("fold_change") >= min_fold)

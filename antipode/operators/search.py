@@ -27,7 +27,7 @@ from antipode.scale import first_per_group, materialize, top_per_group
 
 SMALL_BYTES = 32 << 20  # largest vector set sent to every task
 SMALL_ROWS = 2000
-PIVOTS = 128
+MAX_PIVOTS = 1024
 BLOCK_ROWS = 20_000
 ANGLE_SLACK = 1e-6
 
@@ -204,7 +204,7 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, schema,
 
 
 def _without_copies(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, schema,
-                    pivots: int, block: int) -> DataFrame:
+                    pivots: int | None, block: int) -> DataFrame:
     """Cell search over distinct vectors.
 
     Equal queries share one search, and of equal corpus rows only the smallest
@@ -213,6 +213,9 @@ def _without_copies(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bo
     need = k + (1 if skip_self else 0)
     few = top_per_group(corpus.select("entity_id", "vec"), ["vec"], [F.asc("entity_id")], need).drop("rank")
     asked = queries.groupBy("vec").agg(F.min("query_id").alias("rep"))
+    if pivots is None:
+        # about sqrt(n) / 2 cells, so that cells grow no faster than their number
+        pivots = int(min(MAX_PIVOTS, max(8, few.count() ** 0.5 / 2)))
     found = _by_cells(asked.select(F.col("rep").alias("query_id"), "vec"), few, need, schema, pivots, block)
     best = top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("entity_id")], need).select(
         F.col("query_id").alias("rep"), "entity_id", "similarity")
@@ -222,7 +225,7 @@ def _without_copies(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bo
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False, way: str = "auto",
-                pivots: int = PIVOTS, block: int = BLOCK_ROWS) -> DataFrame:
+                pivots: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar corpus rows per query, zero vectors on either side left out.
 
     ``queries``: query_id, vec. ``corpus``: entity_id, vec. Output: query_id,

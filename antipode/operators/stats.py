@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from antipode.functions.text import TOKEN_PATTERN
 from antipode.scale import average_ranks, exact_quantiles, one_value, top_per_group
 
 # The seven lattice classes by group number.
@@ -93,6 +94,19 @@ def label_shares(df: DataFrame, labels: str, k: int = 15) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / total).orderBy(F.desc("n"), "label").limit(k)
 
 
+def formula_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Element counts per record for texts of any length: n per (key, element).
+
+    Equal tokens of a text are counted before their numbers are read, so the
+    patterns run once over the text and then on short distinct tokens only.
+    """
+    tokens = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("t"))
+    counted = tokens.groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
+    times = F.coalesce(F.nullif(F.regexp_extract("t", TOKEN_PATTERN, 2), F.lit("")).cast("int"), F.lit(1))
+    return counted.groupBy(key, F.regexp_extract("t", TOKEN_PATTERN, 1).alias("element")).agg(
+        F.sum(F.col("n") * times).alias("n"))
+
+
 def group_mean_topn(df: DataFrame, group: str, value: str, min_n: int = 10, top: int = 5) -> DataFrame:
     """Groups with at least ``min_n`` rows, by highest mean."""
     means = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))

@@ -8,7 +8,7 @@ from antipode.functions import spectra as Z
 from antipode.operators import graphs as G
 from antipode.plans.registry import query
 from antipode.plans.standins import table
-from antipode.scale import group_row_number
+from antipode.scale import group_row_number, materialize, spread
 
 NODE_KEYS = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
              "l_returnflag", "l_linestatus")
@@ -87,7 +87,7 @@ def shifted_order_per_center(spark, d):
     n = nodes(spark, d)
     e = edges_of(n)
     centers = labels_of(n).select("graph_id", F.col("node").alias("center"))
-    return G.shifted_order_per_center(e, G.canonical_order(n, e), centers)
+    return G.shifted_order_per_center(e, G.canonical_order(n, e), centers).drop("k")
 
 
 @query("reorder_edges", f"WITH {POS_CTE} SELECT graph_id, u, v, w FROM ord")
@@ -153,7 +153,8 @@ def line_spectra(spark, d):
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
     ec = F.array(q / 10, q / 7, (q % 5) / 3)
     es = F.array(p / 20000, p / 15000)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", ec.alias("ec"), es.alias("es"))
+    rows = spread(table(spark, d, "lineitem").select(*KEY_COLS, "l_quantity", "l_extendedprice"))
+    return rows.select(*KEY_COLS, ec.alias("ec"), es.alias("es"))
 
 
 KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
@@ -230,9 +231,9 @@ def spectrum(spark, d):
 
 
 def raw(spark, d):
-    n = nodes(spark, d)
-    e, sizes = edges_of(n), G.graph_sizes(n)
-    pos = G.canonical_order(n, e)
+    n = materialize(nodes(spark, d).select("graph_id", "node", "atomic", "rank", "l_quantity", "l_returnflag", "label"), "nodes")
+    e, sizes = materialize(edges_of(n), "edges"), G.graph_sizes(n)
+    pos = materialize(G.canonical_order(n, e), "positions")
     plain = G.spectra(G.reorder_edges(e, pos), sizes)
     modulated = G.spectra(G.reorder_edges(G.label_modulated_weights(e, labels_of(n)), pos), sizes)
     return G.raw_vectors(plain, modulated)
@@ -253,9 +254,9 @@ def difference_vector(spark, d):
 
 
 def scored(spark, d):
-    n = nodes(spark, d)
-    e, sizes, labels = edges_of(n), G.graph_sizes(n), labels_of(n)
-    centers = G.center_scores(sizes, e, G.canonical_order(n, e), labels)
+    n = materialize(nodes(spark, d).select("graph_id", "node", "atomic", "rank", "l_quantity", "l_returnflag", "label"), "nodes")
+    e, sizes, labels = materialize(edges_of(n), "edges"), G.graph_sizes(n), labels_of(n)
+    centers = G.center_scores(sizes, e, materialize(G.canonical_order(n, e), "positions"), labels)
     return centers, G.graph_scores(sizes, centers, labels), sizes
 
 

@@ -12,6 +12,7 @@ from antipode.plans.rule_queries import property_rows
 from antipode.functions.rules import property_class, risk_level
 from antipode.plans.search_queries import DIM, vectors, with_centroid
 from antipode.plans.standins import labelled_documents, table
+from antipode.scale import spread
 
 
 def document_rows(spark, d):
@@ -19,7 +20,7 @@ def document_rows(spark, d):
     text = F.col("text")
     counts = [F.length(F.regexp_replace(text, p, "")).cast("double") / F.greatest(F.length(text), F.lit(1))
               for p in ("[^a-z]", "[^A-Z]", "[^0-9]", "[^ ]", "[^.]")]
-    docs = table(spark, d, "documents").select("doc_id", F.array(*counts).alias("x"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array(*counts).alias("x"))
     return labelled_documents(spark, d).join(docs, "doc_id").select(
         "doc_id", "lang", "quality", "x", array_to_vector(F.col("x")).alias("features"), F.col("score").alias("label"))
 
@@ -28,7 +29,7 @@ def document_rows(spark, d):
 SELECT l_suppkey, count(*) AS n, round(regr_intercept(l_extendedprice / 1000, l_quantity), 6) AS intercept,
        round(regr_slope(l_extendedprice / 1000, l_quantity), 6) AS slope FROM lineitem GROUP BY 1 HAVING count(*) >= 20""")
 def fit_per_group(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", F.array("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    rows = spread(table(spark, d, "lineitem")).select("l_suppkey", F.array("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     m = M.fit_per_group(rows, "l_suppkey", "x", "y", ridge=0.0)
     return m.select("l_suppkey", "n", F.round("intercept", 6).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope"))
 
@@ -38,7 +39,7 @@ WITH m AS (SELECT l_suppkey, regr_intercept(l_extendedprice / 1000, l_quantity)
            FROM lineitem GROUP BY 1 HAVING count(*) >= 20)
 SELECT l_suppkey, count(*) AS n, round(sqrt(avg(pow(l_extendedprice / 1000 - a - b * l_quantity, 2))), 6) AS rmse FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1""")
 def score_per_group(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", F.array("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    rows = spread(table(spark, d, "lineitem")).select("l_suppkey", F.array("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     scored = M.score_per_group(rows, M.fit_per_group(rows, "l_suppkey", "x", "y", ridge=0.0), "l_suppkey", "x")
     return T.regression_metrics(scored, "y", "predicted", ["l_suppkey"]).select("l_suppkey", "n", F.round("rmse", 6).alias("rmse"))
 
@@ -46,7 +47,7 @@ def score_per_group(spark, d):
 @query("fit_per_group_ridge")
 def fit_per_group_ridge(spark, d):
     """Ridge models per supplier over three features, most groups far above the minimum."""
-    rows = table(spark, d, "lineitem").select("l_suppkey", F.array("l_quantity", "l_discount", "l_tax").alias("x"), "l_extendedprice")
+    rows = spread(table(spark, d, "lineitem")).select("l_suppkey", F.array("l_quantity", "l_discount", "l_tax").alias("x"), "l_extendedprice")
     m = M.fit_per_group(rows, "l_suppkey", "x", "l_extendedprice")
     return m.select("l_suppkey", "n", F.round("intercept", 3).alias("intercept"),
                     F.array_join(F.transform("coefficients", lambda c: F.format_string("%.3f", c)), ",").alias("coefficients"))

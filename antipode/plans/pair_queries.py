@@ -9,6 +9,7 @@ from antipode.functions import labels as L
 from antipode.operators import pairs as P
 from antipode.operators import screening as S
 from antipode.plans.registry import query
+from antipode.scale import materialize
 from antipode.plans.standins import (
     CUSTOMER_FORMS_SQL, KINDS, MEAS_SQL, PROFILE_CTE, bit_labels, customer_entities, lineitem_measurements,
     supplier_entities, table,
@@ -18,20 +19,22 @@ MIN_FOLD = 1.2
 
 
 def supplier_pairs(spark, d) -> DataFrame:
-    return P.related_pairs(supplier_entities(spark, d), max_flips=1)
+    """The pair stage, written once: every supplier labels the same two sites."""
+    return materialize(P.related_pairs(supplier_entities(spark, d), max_flips=1, uneven_sites=False), "pairs")
 
 
-def profile(spark, d) -> DataFrame:
-    return S.pair_target_profile(supplier_pairs(spark, d), lineitem_measurements(spark, d), KINDS)
+def profile(spark, d, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = supplier_pairs(spark, d) if pairs is None else pairs
+    return S.pair_target_profile(pairs, lineitem_measurements(spark, d), KINDS)
 
 
 def summary(spark, d) -> DataFrame:
-    return S.pair_summary(supplier_pairs(spark, d), profile(spark, d), MIN_FOLD)
+    pairs = supplier_pairs(spark, d)
+    return S.pair_summary(pairs, profile(spark, d, pairs), MIN_FOLD)
 
 
 def hits(spark, d) -> DataFrame:
-    s = summary(spark, d)
-    return S.union_screens(S.gap_hits(s), S.differential_hits(s))
+    return S.pair_hits(summary(spark, d))
 
 
 def r6(name: str):
@@ -201,7 +204,8 @@ def gap_summary(spark, d):
 @query("union_screens", f"""
 WITH {PROFILE_CTE} SELECT hit_type, class_key, a_id, b_id, round(priority, 6) AS priority, description FROM hits""")
 def union_screens(spark, d):
-    return S.hits_flat(S.rank_hits(hits(spark, d)))
+    s = summary(spark, d)
+    return S.hits_flat(S.rank_hits(S.union_screens(S.gap_hits(s), S.differential_hits(s))))
 
 
 @query("best_per_type_and_class", f"""

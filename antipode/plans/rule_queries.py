@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from antipode.functions import rules as R
 from antipode.functions import text as X
 from antipode.operators import profiles as P
+from antipode.operators import stats as T
 from antipode.plans.pair_queries import supplier_pairs
 from antipode.plans.registry import query
+from antipode.scale import spread
 from antipode.plans.standins import (
     CUSTOMER_FORMS_SQL, OUT_SQL, PAIRS_SQL, STRUCT_CTE, customer_entities, outcomes, structures, supplier_entities,
     table,
@@ -133,7 +135,7 @@ DOCUMENT_TAGS = {"license": ("license", "copyright"), "contact": ("@", "http"),
 @query("first_keyword_tag", "SELECT doc_id, CASE " + " ".join(
     f"WHEN {like_any('lower(text)', w)} THEN '{t}'" for t, w in DOCUMENT_TAGS.items()) + " END AS tag FROM documents")
 def first_keyword_tag(spark, d):
-    return table(spark, d, "documents").select("doc_id", R.first_keyword_tag(F.col("text"), DOCUMENT_TAGS).alias("tag"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", R.first_keyword_tag(F.col("text"), DOCUMENT_TAGS).alias("tag"))
 
 
 PATHWAY_NAME_SQL = """CASE p_partkey % 5 WHEN 0 THEN 'Frizzled ' WHEN 1 THEN 'FGFR ' WHEN 2 THEN 'BCL-2 ' WHEN 3 THEN 'hERG potassium channel ' ELSE '' END || p_name"""
@@ -491,8 +493,19 @@ WITH w AS (SELECT doc_id, regexp_extract_all(trim(text), '([A-Z][a-z]?)(\\d*)',
 SELECT doc_id, element, sum(CASE WHEN c = '' THEN 1 ELSE TRY_CAST(c AS INT) END)::BIGINT AS n FROM x GROUP BY 1, 2""")
 def formula_tokens(spark, d):
     """Capital tokens of whole document texts, with counts."""
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(X.formula_tokens(F.col("text"))).alias("element"))
-    return tokens.groupBy("doc_id", "element").agg(F.count(F.lit(1)).alias("n"))
+    return T.formula_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+@query("formula_elements", """
+WITH w AS (SELECT p_partkey AS id, upper(p_name[1]) || p_name[2] || p_size || 'O' || (p_size % 3 + 1) AS f, p_size, p_name FROM part)
+SELECT id, upper(p_name[1]) || p_name[2] AS element, p_size::BIGINT AS n FROM w UNION ALL SELECT id, 'O', (p_size % 3 + 1)::BIGINT FROM w""")
+def formula_elements(spark, d):
+    """Formula texts of the parts as element arrays, counted again after exploding."""
+    name, size = F.col("p_name"), F.col("p_size")
+    formula = F.concat(F.lit("- "), F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1), size.cast("string"), F.lit("O"),
+                       F.when(size % 3 > 0, (size % 3 + 1).cast("string")).otherwise(""), F.lit(" -"))
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(X.formula_tokens(formula)).alias("element"))
+    return e.groupBy("id", "element").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("key_values_from_text", r"""

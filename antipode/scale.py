@@ -50,6 +50,24 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the input has fewer splits than cores.
+
+    Meant for costly per-row work on a table stored in a few row groups. A table
+    of many splits passes unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow frame for broadcast once a count has shown that it is small; else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # ------------------------------------------------------------- value ranges
 
 def range_count(spark: SparkSession) -> int:
@@ -204,14 +222,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups:
 
 # -------------------------------------------------------------- row numbers
 
-def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """1-based position in each group, for groups of any size.
+LARGE_GROUP = 1_000_000  # rows of a group that one task may sort
+
+
+def _same_keys(groups: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
+    return cond
 
-    One range shuffle on (groups, order) spreads a large group over many sorted
-    partitions; the sorted rows are written once, and the counts per (group,
-    partition) give each piece its offset. ``order`` must be a total order.
+
+def _number_sorted(df: DataFrame, groups: list[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Row numbers from one range shuffle on (groups, order).
+
+    A large group spreads over many sorted pieces. The sorted rows are written
+    once, and the counts per (group, piece) give each piece its offset.
     """
-    groups = list(groups)
     ordered = df.orderBy(*[F.col(g) for g in groups], *order)
     stored = materialize(
         ordered.withColumn("_mid", F.monotonically_increasing_id()), "ordered"
@@ -222,14 +248,34 @@ def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Colum
     pieces = pieces.withColumn("_offset", F.sum("_n").over(w.orderBy("_piece")) - F.col("_n")).select(
         *[F.col(g).alias(f"_p_{g}") for g in groups], F.col("_piece").alias("_p_piece"), "_start", "_offset"
     )
-    cond = F.col("_piece") == F.col("_p_piece")
-    for g in groups:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_p_{g}"))
+    cond = (F.col("_piece") == F.col("_p_piece")) & _same_keys(groups, "_p_")
     return stored.join(pieces, cond).select(
         *df.columns, (F.col("_mid") - F.col("_start") + F.col("_offset") + 1).cast("long").alias(out)
     )
 
 
+def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str,
+                     large: int = LARGE_GROUP) -> DataFrame:
+    """1-based position in each group, for groups of any size.
+
+    Groups of up to ``large`` rows are numbered in one window. Larger ones, found
+    by a count, take the range shuffle of ``_number_sorted``. ``order`` must be a
+    total order.
+    """
+    groups = list(groups)
+    if not groups:
+        return _number_sorted(df, groups, order, out)
+    w = Window.partitionBy(*groups).orderBy(*order)
+    plain = lambda rows: rows.withColumn(out, F.row_number().over(w).cast("long"))
+    crowded = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large)
+    if crowded.isEmpty():
+        return plain(df)
+    keys = materialize(crowded.select(*[F.col(g).alias(f"_k_{g}") for g in groups]), "crowded")
+    rest = df.join(keys, _same_keys(groups, "_k_"), "left_anti")
+    big = df.join(keys, _same_keys(groups, "_k_"), "left_semi")
+    return plain(rest).unionByName(_number_sorted(big, groups, order, out))
+
+
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int,
                   out: str = "rank") -> DataFrame:
     """First ``k`` rows per group with their rank.
