@@ -167,6 +167,14 @@ def with_stratified_fold(df: DataFrame, label: str, key: str, k: int) -> DataFra
         "fold", ((F.col("_i") - 1) % k).cast("int")).drop("_i")
 
 
+def fold_values(df: DataFrame, fold: str, most: int = 200) -> list:
+    """The values of a fold column; a model is trained for each, so too many are an error."""
+    found = [r[0] for r in df.select(fold).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{fold} has more than {most} values")
+    return sorted(found)
+
+
 def out_of_fold(df: DataFrame, estimator, folds: Sequence, fold: str = "fold") -> DataFrame:
     """Predictions of each fold by the model of the other folds. ``folds`` lists the few fold values."""
     data = materialize(df, "folds")

@@ -125,7 +125,7 @@ def classify_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def relationship_counts(entities: DataFrame) -> DataFrame:
-    """Exact number of pairs per class and relationship, without forming pairs.
+    """Exact number of pairs per class and relationship, for classes that have any, without forming pairs.
 
     From the number of forms per code: all pairs, minus those with equal codes,
     minus the mirror pairs, leaves the partially inverted ones.
@@ -162,7 +162,7 @@ def relationship_counts(entities: DataFrame) -> DataFrame:
     )
     return even.unionByName(uneven).groupBy("class_key").agg(
         F.sum("mirrored").cast("long").alias("n_enantiomer"), F.sum("partial").cast("long").alias("n_diastereomer")
-    )
+    ).where(F.col("n_enantiomer") + F.col("n_diastereomer") > 0)
 
 
 def single_flip_pairs(entities: DataFrame) -> DataFrame:

@@ -54,6 +54,17 @@ def bin_index(value: Column, bins: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Linear correlation as an aggregate; null where a side does not vary."""
+    both = lambda a, b: F.when(_column(b).isNotNull(), _column(a))
+    spread = F.stddev_pop(both(x, y)) * F.stddev_pop(both(y, x))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def counts_by(df: DataFrame, col: str, unknown: str = "unknown") -> DataFrame:
     """Rows per value, null counted as ``unknown``."""
     return df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit(unknown)).alias(col)).agg(
@@ -168,7 +179,7 @@ def peaks(histogram: DataFrame, apart: int = 3, share: float = 0.8) -> DataFrame
 
 
 def pearson(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*groups).agg(F.corr(x, y).alias("r"))
+    return df.groupBy(*groups).agg(correlation(x, y).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -240,7 +251,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, groups: Seque
     aggs = [
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (1 - F.sum(err * err) / F.nullif(F.var_pop(actual) * F.count(F.lit(1)), F.lit(0.0))).alias("r2"),
-        F.corr(actual, predicted).alias("r"),
+        correlation(actual, predicted).alias("r"),
     ]
     if class_match is not None:
         aggs.append(F.count_if(class_match).alias("n_class_match"))
@@ -292,7 +303,7 @@ def two_way_means(df: DataFrame, group: str, flag: Column, value: str) -> DataFr
 def ordinal_rate_corr(df: DataFrame, group: str, order: Column, flag: Column) -> DataFrame:
     """Correlation of the flag share per class with the order of the classes."""
     rates = df.groupBy(group).agg(F.avg(flag.cast("double")).alias("rate"), F.min(order).alias("ord"))
-    return rates.agg(F.count(F.lit(1)).alias("n_classes"), F.corr("ord", "rate").alias("r"))
+    return rates.agg(F.count(F.lit(1)).alias("n_classes"), correlation("ord", "rate").alias("r"))
 
 
 def means_by_contained_label(df: DataFrame, labels: str, values: Sequence[str], min_n: int = 1) -> DataFrame:

@@ -198,7 +198,7 @@ def cell_volume_bins(spark, d):
 
 @query("cell_volume_corr", VOLUME_SQL + " SELECT round(corr(ln(v), price), 7) AS r FROM v")
 def cell_volume_corr(spark, d):
-    return cells(spark, d).agg(F.round(F.corr(F.log("v"), "price"), 7).alias("r"))
+    return cells(spark, d).agg(F.round(T.correlation(F.log("v"), "price"), 7).alias("r"))
 
 
 @query("regression_metrics", f"""
