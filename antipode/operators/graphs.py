@@ -199,10 +199,9 @@ def raw_vectors(plain: DataFrame, modulated: DataFrame, k: int = EIGENVALUES) ->
 
 
 def graph_vector(raw: DataFrame, which: str = "full", nbits: int = 128, k: int = EIGENVALUES) -> DataFrame:
-    """Projects a raw vector to ``nbits`` numbers with the fixed matrix."""
+    """Projects a raw vector to ``nbits`` numbers with the fixed matrix; null for a graph without spectra."""
     dims = {"full": 8 * k, "pure_diff": 2 * k, "chi_diff": 3 * k}
-    known = raw.where(F.col(which).isNotNull())
-    return random_project(known, which, dims[which], nbits, "vec").select("graph_id", "vec")
+    return random_project(raw, which, dims[which], nbits, "vec").select("graph_id", "vec")
 
 
 def shifted_order_per_center(edges: DataFrame, positions: DataFrame, centers: DataFrame) -> DataFrame:

@@ -293,12 +293,17 @@ def projection_matrix(raw_dim: int, nbits: int, seed: int = 42) -> np.ndarray:
 
 
 def random_project(df: DataFrame, vec: str, raw_dim: int, nbits: int, out: str = "projected", seed: int = 42) -> DataFrame:
-    """Multiply each vector by the fixed projection matrix."""
+    """Multiply each vector by the fixed projection matrix; a missing vector stays missing."""
     matrix = projection_matrix(raw_dim, nbits, seed)
 
     @F.pandas_udf("array<double>")
     def project(col: pd.Series) -> pd.Series:
-        return pd.Series(list(_stack(col) @ matrix))
+        out: list = [None] * len(col)
+        known = np.flatnonzero(col.notna().to_numpy())
+        if len(known):
+            for i, row in zip(known, _stack(col.iloc[known]) @ matrix):
+                out[i] = row
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(out, project(F.col(vec)))
 

@@ -143,3 +143,11 @@ def test_raw_vector_sizes(spark, random_graphs):
     assert [tuple(r) for r in raw] == [(64, 16, 24)]
     vec = G.graph_vector(G.raw_vectors(plain, plain), "pure_diff", 16).first().vec
     assert vec == [0.0] * 16  # equal graphs differ nowhere
+
+
+def test_graphs_without_spectra_keep_their_row(spark, random_graphs):
+    edges, sizes = tables(spark, random_graphs)
+    part = G.spectra(edges, sizes, max_nodes=5)
+    rows = {r.graph_id: r.vec for r in G.graph_vector(G.raw_vectors(part, part), "full", 16).collect()}
+    assert {g: v is None for g, v in rows.items()} == {g: n > 5 for g, (n, _) in random_graphs.items()}
+    assert all(len(v) == 16 for v in rows.values() if v is not None)
