@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from antipode.functions import spectra as Z
 from antipode.functions.vectors import pad
 from antipode.operators.search import random_project
-from antipode.scale import group_row_number, materialize
+from antipode.scale import broadcast_if_small, group_row_number, materialize
 
 # Weights per bond type, other types weigh 1.
 BOND_WEIGHTS = (("SINGLE", 1.0), ("AROMATIC", 1.5), ("DOUBLE", 2.0), ("TRIPLE", 3.0))
@@ -140,6 +140,12 @@ def _low_eigenvalues(n: int, us, vs, ws, k: int) -> np.ndarray:
     return np.linalg.eigvalsh(m)[:, first:first + k]
 
 
+def without_crowded(edges: DataFrame, sizes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Edges of the graphs that fit: those of a huge graph go before any shuffle by graph."""
+    crowded = sizes.where(F.col("n_nodes") > max_nodes).select("graph_id").distinct()
+    return edges.join(broadcast_if_small(crowded), "graph_id", "left_anti")
+
+
 def spectra(edges: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("graph_id",), k: int = EIGENVALUES,
             max_nodes: int = MAX_NODES) -> DataFrame:
     """Lowest eigenvalues after the first on both phase sides, one row per graph (or per ``keys``).
@@ -148,8 +154,16 @@ def spectra(edges: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("graph_id
     n_nodes. The edges of one matrix are gathered only for at most ``max_nodes``
     nodes, which bounds them; larger graphs come out with an error text.
     """
-    keys = list(keys)
+    too_large = sizes.where(F.col("n_nodes") > max_nodes).select(
+        *keys, "n_nodes", F.lit(None).cast("array<double>").alias("ev_cos"),
+        F.lit(None).cast("array<double>").alias("ev_sin"), F.lit("too_large").alias("error"))
     fitting = sizes.where(F.col("n_nodes") <= max_nodes)
+    return _solved(without_crowded(edges, sizes, max_nodes), fitting, keys, k).unionByName(too_large)
+
+
+def _solved(edges: DataFrame, fitting: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Spectra of graphs that are known to fit."""
+    keys = list(keys)
     cos_w, sin_w = phase_weights(F.col("u"), F.col("v"), F.col("w"), F.col("n_nodes"))
     lists = edges.join(fitting, keys).groupBy(*keys).agg(
         F.collect_list(F.struct("u", "v", cos_w.alias("c"), sin_w.alias("s"))).alias("e"))
@@ -170,12 +184,8 @@ def spectra(edges: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("graph_id
                     cos_out[row], sin_out[row] = a[i], b[i]
         return pd.DataFrame({"ev_cos": cos_out, "ev_sin": sin_out})
 
-    solved = ready.withColumn("_s", solve("n_nodes", "u", "v", "c", "s")).select(
+    return ready.withColumn("_s", solve("n_nodes", "u", "v", "c", "s")).select(
         *keys, "n_nodes", "_s.ev_cos", "_s.ev_sin", F.lit(None).cast("string").alias("error"))
-    too_large = sizes.where(F.col("n_nodes") > max_nodes).select(
-        *keys, "n_nodes", F.lit(None).cast("array<double>").alias("ev_cos"),
-        F.lit(None).cast("array<double>").alias("ev_sin"), F.lit("too_large").alias("error"))
-    return solved.unionByName(too_large)
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -230,8 +240,9 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
     confidence, sign.
     """
     small = nodes_sizes.where(F.col("n_nodes") <= max_nodes)
+    edges = without_crowded(edges, nodes_sizes, max_nodes)
     shifted_nodes = shifted_order_per_center(
-        edges.join(small.select("graph_id"), "graph_id", "left_semi"), positions,
+        edges, positions,
         labels.select("graph_id", F.col("node").alias("center")))
     # two neighbours swap either way, so one direction is enough; the table is read three times below
     moved = materialize(shifted_nodes.where((F.col("shift") == 1) | (F.col("k") > 2)), "moved")
@@ -245,8 +256,8 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
     pu, pv = F.coalesce("m_u", "b_u"), F.coalesce("m_v", "b_v")
     shifted_edges = changed.select(*keys, F.least(pu, pv).alias("u"), F.greatest(pu, pv).alias("v"), "w")
     asym = lambda df: df.withColumn("asym", Z.spectral_asymmetry(F.col("ev_cos"), F.col("ev_sin"))[0])
-    base = asym(spectra(reorder_edges(edges, positions), small, k=k)).select("graph_id", F.col("asym").alias("base_asym"))
-    shifted = asym(spectra(shifted_edges, variants.join(small, "graph_id"), keys, k))
+    base = asym(_solved(reorder_edges(edges, positions), small, ["graph_id"], k)).select("graph_id", F.col("asym").alias("base_asym"))
+    shifted = asym(_solved(shifted_edges, variants.join(small, "graph_id"), keys, k))
     # both spectra are solved once: the join needs their asymmetry only
     best = shifted.join(base, "graph_id").groupBy("graph_id", "center").agg(
         F.max(F.abs(F.col("asym") - F.col("base_asym"))).alias("score"))
