@@ -229,9 +229,10 @@ def score_outcomes(model, df: DataFrame) -> DataFrame:
 def fit_property_models(df: DataFrame, min_records: int = 10, trees: int = 150, depth: int = 4) -> dict:
     """A boosted model per property class with enough records."""
     names = [r[0] for r in PROPERTY_RULES]
-    counts = {r["property"]: r["n"] for r in df.where(F.col("property").isin(*names)).groupBy("property").agg(
+    data = materialize(df.where(F.col("property").isin(*names)), "properties")  # read once per model
+    counts = {r["property"]: r["n"] for r in data.groupBy("property").agg(
         F.count(F.lit(1)).alias("n")).collect()}  # at most one row per property class
-    return {p: regressor("boosting", trees, depth).fit(df.where(F.col("property") == p))
+    return {p: regressor("boosting", trees, depth).fit(data.where(F.col("property") == p))
             for p in names if counts.get(p, 0) >= min_records}
 
 

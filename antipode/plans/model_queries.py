@@ -12,7 +12,7 @@ from antipode.plans.rule_queries import property_rows
 from antipode.functions.rules import property_class, risk_level
 from antipode.plans.search_queries import DIM, vectors, with_centroid
 from antipode.plans.standins import labelled_documents, table
-from antipode.scale import spread
+from antipode.scale import materialize, spread
 
 
 def document_rows(spark, d):
@@ -82,7 +82,7 @@ def assemble_pair_features(spark, d):
 @query("fit_regressor")
 def fit_regressor(spark, d):
     """Error of the three model kinds on their training rows."""
-    rows = document_rows(spark, d)
+    rows = materialize(document_rows(spark, d), "training")
     out = None
     for kind in ("forest", "boosting", "histogram"):
         model = M.fit_regressor(rows, kind, trees=10, depth=3)
@@ -144,6 +144,7 @@ def fit_property_models(spark, d):
     prop = property_class(F.col("kind"), F.col("assay_type"), F.col("target_name"))
     rows = property_rows(spark, d).select(prop.alias("property"), F.col("value").alias("label"), array_to_vector(F.array(
         (F.col("l_extendedprice") / 1000), F.col("l_partkey").cast("double"))).alias("features")).where(F.col("property").isNotNull())
+    rows = materialize(spread(rows), "training")
     models = M.fit_property_models(rows, trees=5)
     out = None
     for name, model in models.items():
