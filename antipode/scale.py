@@ -7,6 +7,8 @@ shuffle, so a key that owns a third of the table is spread like any other.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,18 +20,25 @@ from pyspark.sql import functions as F
 
 # ------------------------------------------------------------------ storage
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder.
+    A local-mode session without the setting gets one folder of its own, removed when Python ends; the
+    session's settings stay as they are. On a cluster the setting is required.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = sc.applicationId
+        if app not in _OWN_FOLDERS:
+            _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
+        folder = _OWN_FOLDERS[app]
     return folder.rstrip("/")
 
 
