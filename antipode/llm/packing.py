@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antipode.llm.common import map_rows, materialize
-from antipode.llm.tokens import WordEncoder
+from antipode.llm.tokens import encoder
 from antipode.scale import group_row_number
 
 CAPACITY = 2048
@@ -93,10 +93,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = WordEncoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for cols in batches:
             out: dict = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc, got in zip(cols["id"].to_pylist(), encoder.encode(cols["text"].to_pylist()), strict=True):
+            for doc, got in zip(cols["id"].to_pylist(), encode(cols["text"].cast("binary").to_pylist()), strict=True):
                 ids = np.append(got.astype("<u4"), np.array([end_id], "<u4"))
                 for start in range(0, len(ids), capacity):
                     part = ids[start:start + capacity]

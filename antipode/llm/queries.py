@@ -68,7 +68,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token_blocks")
     token_files.write_token_blocks(read_table(spark, sf_dir, "documents"), path)
-    read = token_files.document_slices(token_files.read_token_blocks(spark, path))
+    read = token_files.read_documents(spark, path)
     return read.withColumnRenamed("id", "doc_id")
 
 

@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from antipode.llm.common import bucket_of, map_rows, range_cuts, shuffle_width
-from antipode.llm.tokens import WordEncoder
+from antipode.llm.common import bucket_of, map_rows, materialize, range_cuts, shuffle_width
+from antipode.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 18
 BLOCK_SCHEMA = ("part long, block long, bits int, n_ids long, first_id long, last_id long, "
@@ -65,9 +65,9 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     ordered = placed.repartition(pieces, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "text")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = WordEncoder(tokenizer)
-        bits = bits_for(max(encoder.size, end_id + 1))
-        end = np.array([end_id], encoder.dtype)
+        words = encoder(tokenizer)
+        bits = bits_for(max(words.size, end_id + 1))
+        end = np.array([end_id], words.dtype)
         part, block, held, have, names, ends = None, 0, [], 0, [], []
 
         def flush(more: bool) -> dict:
@@ -80,7 +80,7 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
         for cols in batches:
             parts, ids = cols["part"].to_pylist(), cols["id"].to_pylist()
-            for p, doc, got in zip(parts, ids, encoder.encode(cols["text"].to_pylist()), strict=True):
+            for p, doc, got in zip(parts, ids, words.encode(cols["text"].cast("binary").to_pylist()), strict=True):
                 if p != part:
                     if have:
                         yield flush(False)
@@ -101,44 +101,46 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     map_rows(ordered, BLOCK_SCHEMA, work).write.parquet(path)
 
 
-def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with ``start``: how many ids come before each."""
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+def block_starts(blocks: DataFrame) -> DataFrame:
+    """(part, block, before): how many ids come before each block."""
     sizes = blocks.select("part", "block", "n_ids")
     # one row per range in the first window, and the blocks of one range in the second
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = sizes.withColumn("inner", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids"))
-    starts = within.join(before, "part").select("part", "block", (F.col("before") + F.col("inner")).alias("start"))
-    return blocks.join(starts, ["part", "block"])
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("parts_before"))
+    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
+    return sizes.withColumn("inner", inner).join(before, "part").select(
+        "part", "block", (F.col("parts_before") + F.col("inner")).alias("before"))
 
 
-def document_slices(blocks: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) per document, unpacked from the blocks.
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) per document, unpacked from the blocks in ``path``.
 
-    A document that spans blocks is put together from its pieces' checksums and
-    lengths; its ids are never gathered.
+    ``start`` is the number of ids before the document. One that spans blocks is put together from its
+    pieces' checksums and lengths; its ids are never gathered, and no payload is shuffled.
     """
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
-            rows = {k: cols[k].to_pylist() for k in ("part", "block", "bits", "n_ids", "start", "doc_ids", "doc_ends",
-                                                     "more", "payload")}
+            rows = {k: cols[k].to_pylist() for k in ("part", "block", "bits", "n_ids", "doc_ids", "doc_ends", "more",
+                                                     "payload")}
             out: dict = {k: [] for k in ("id", "start", "n_tokens", "crc", "part", "block", "seq", "opens")}
             for i, payload in enumerate(rows["payload"]):
                 raw = unpack_bits(payload, rows["bits"][i], rows["n_ids"][i])
                 at, last = 0, len(rows["doc_ids"][i]) - 1
                 for j, (doc, stop) in enumerate(zip(rows["doc_ids"][i], rows["doc_ends"][i], strict=True)):
-                    for k, v in (("id", doc), ("start", rows["start"][i] + at), ("n_tokens", stop - at),
-                                 ("crc", zlib.crc32(raw[at:stop].tobytes())), ("part", rows["part"][i]),
+                    for k, v in (("id", doc), ("start", at), ("n_tokens", stop - at),
+                                 ("crc", zlib.crc32(raw[at:stop])), ("part", rows["part"][i]),
                                  ("block", rows["block"][i]), ("seq", j), ("opens", j == last and rows["more"][i])):
                         out[k].append(v)
                     at = stop
             yield out
 
-    pieces = map_rows(
-        blocks.select("part", "block", "bits", "n_ids", "start", "doc_ids", "doc_ends", "more", "payload"),
-        "id long, start long, n_tokens long, crc long, part long, block long, seq long, opens boolean", work)
-    return _joined(pieces)
+    pieces = materialize(map_rows(
+        blocks.select("part", "block", "bits", "n_ids", "doc_ids", "doc_ends", "more", "payload"),
+        "id long, start long, n_tokens long, crc long, part long, block long, seq long, opens boolean", work), "slices")
+    placed = pieces.join(block_starts(blocks), ["part", "block"]).withColumn("start", F.col("start") + F.col("before"))
+    return _joined(placed.drop("before"))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -208,5 +210,4 @@ def load_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-__all__ = ["bits_for", "crc32_combine", "document_slices", "load_document", "pack_bits", "read_token_blocks",
-           "unpack_bits", "write_token_blocks"]
+__all__ = ["bits_for", "crc32_combine", "load_document", "pack_bits", "read_documents", "unpack_bits", "write_token_blocks"]

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words a task remembers before it starts anew; a bound on memory only.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _LETTERS_PER_CALL = 500
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -77,10 +78,11 @@ class WordEncoder:
             known.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
         known.update((w, known[a] + known[t]) for w, a, t in tails)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8 bytes are taken as they are); null is empty."""
         split = []
         for t in texts:
-            b = (t or "").encode("utf-8", "surrogatepass")
+            b = t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")
             # 0xCC leads the combining marks that may join with a letter before it
             split.append(None if b"<|" in b else (b if b"\xcc" in b else b.lower()).split())
         if len(self.known) > self.remembered:
@@ -88,5 +90,12 @@ class WordEncoder:
         new = set().union(*(s for s in split if s)) - self.known.keys()
         self._learn(new)
         get = self.known.__getitem__
-        return [self._whole(t) if s is None else np.frombuffer(b"".join(map(get, s)), self.dtype)
+        plain = lambda t: t.decode("utf-8", "surrogatepass") if isinstance(t, bytes) else t
+        return [self._whole(plain(t)) if s is None else np.frombuffer(b"".join(map(get, s)), self.dtype)
                 for t, s in zip(texts, split, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str | None = None) -> WordEncoder:
+    """One encoder per worker process, so what a task has learned serves the tasks after it."""
+    return WordEncoder(path)
