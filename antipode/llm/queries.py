@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antipode.llm import (embedding_dups, fingerprints, language, line_dedup, minhash, mixing, packing, page_text,
-                          token_files)
+                          repeats, token_files)
 from antipode.llm.common import read_table
 from antipode.scale import fresh_path
 
@@ -77,6 +77,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"))
