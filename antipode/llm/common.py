@@ -73,10 +73,10 @@ def bucket_of(column: str, cuts: Sequence[int]) -> Column:
     return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(pick(0, len(cuts)))
 
 
-def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, column: str, buckets: int, **options: str) -> DataFrame:
     """Write ``df`` as a bucketed table in the warehouse and read it: later grouping by ``column`` needs no exchange."""
     name = f"stage_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).saveAsTable(name, format="parquet")
+    df.write.bucketBy(buckets, column).saveAsTable(name, format="parquet", **options)
     return df.sparkSession.table(name)
 
 

@@ -8,8 +8,9 @@ threshold T of K coordinates two rules keep the lists short and lose no pair:
   postings of either side, so only those are merged; a document with fewer than T
   postings that anybody shares leaves at once;
 * skip: a list whose documents are already linked with each other is skipped. Each
-  list is first merged around pivots, the links found are contracted, and only the
-  pairs across what is still apart are merged in full. So a group of thousands
+  list is first merged around pivots, the links found are contracted, and only
+  pairs across what is still apart are merged in full, if the members that each side shares
+  with anybody leave room for a link. So a group of thousands
   of near copies costs a few passes over its members, not all its pairs.
 
 Candidates are confirmed on their full shingle sets. Documents with equal sets are
@@ -123,6 +124,19 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     )
 
 
+def _shared_sizes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, e): set size and how many members any other of ``ids`` has too.
+
+    Two sets share at most the smaller ``e``. Documents that cannot reach the threshold with
+    anybody are left out: their share would have to hold ``percent`` of their own set.
+    """
+    mine = sets.join(ids, "id", "left_semi")
+    members = mine.select("id", F.explode("members").alias("s"))
+    common = members.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("s")
+    e = members.join(common, "s").groupBy("id").agg(F.count(F.lit(1)).alias("e"))
+    return mine.select("id", F.size("members").alias("n")).join(e, "id").where(100 * F.col("e") >= percent * F.col("n"))
+
+
 def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80,
                          k: int = COORDINATES, matches: int = MATCHES,
                          rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -172,10 +186,15 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int
             pairs = lists.join(pivots, "post").where(F.col("c") != F.col("p.c")).select(
                 F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         else:
-            left = lists.join(open_lists.select("post"), "post", "left_semi")
-            right = left.select("post", F.col("id").alias("b"), F.col("c").alias("d"))
-            pairs = left.withColumnRenamed("id", "a").join(right, "post").where(
-                (F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))).select("a", "b").distinct()
+            left = materialize(lists.join(open_lists.select("post"), "post", "left_semi"), "open_lists")
+            room = materialize(_shared_sizes(left.select("id").distinct(), sets, percent), "shared_sizes")
+            left = left.join(room, "id")
+            right = left.select("post", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"),
+                                F.col("e").alias("f"))
+            enough = (100 + percent) * F.least("e", "f") >= percent * (F.col("n") + F.col("m"))
+            pairs = left.withColumnRenamed("id", "a").join(
+                right, (left["post"] == right["post"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & enough
+            ).select("a", "b").distinct()
         found = _confirmed(materialize(pairs, "pairs"), sigs, sets, matches, percent)
         links = materialize(found if links is None else links.unionByName(found), "links")
     return members, links

@@ -6,9 +6,10 @@ Every string of ``width`` bytes that also starts earlier is found exactly, witho
    the same gram at the same place, and windows in a row share anchors, so a text
    shrinks to about one region per 39 bytes: the windows of one anchor.
 2. Regions meet by anchor, sorted by content and then by place. A region equal to an earlier one is a repeat as a
-   whole. Only where different regions share an anchor (near the ends of a repeated passage) is
-   the answer open.
-3. The windows of open regions meet by content; all but the first are repeats.
+   whole. Only where different regions share an anchor is the answer open.
+3. Every window holds the 38 bytes before the gram or the 38 bytes after it. So an open region has repeats only on
+   the sides on which another region with its anchor agrees so far; the rest is settled.
+4. The windows on those sides meet by content; all but the first are repeats.
 
 Both meetings are streams over sorted partitions with one row of memory, so neither a passage that stands in every
 document nor a group of copies is ever held. Equality is by hashes of 128 bits.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antipode.llm.common import map_rows, materialize, shuffle_width
+from antipode.llm.common import bucketed, map_rows, materialize, shuffle_width
 
 WIDTH, GRAM = 100, 24
 _TIE_BITS, _AT_BITS, _EXT_BITS = 16, 33, 14
@@ -58,7 +59,10 @@ def _spans(h: np.ndarray, lo: np.ndarray, size: np.ndarray | int, salt: int) ->
 
 
 def regions(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, document, first window, anchor place, windows) of each region.
+    """(anchor hash, content key, document, first window, anchor place, windows) of each region.
+
+    The key holds 32 bits of the content and 16 bits each of the gram with what stands before and after it (0 where no
+    window of the region reaches so far).
 
     ``raw`` holds the documents one after another; ``offsets`` where each starts and the end. No window crosses documents.
     """
@@ -84,8 +88,14 @@ def regions(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     windows = np.diff(np.concatenate([first, [len(s)]]))
     a = a[first]
     doc = np.searchsorted(offsets, lo, "right") - 1
-    # zero-length documents share an offset; the last of them starts the text
-    return h[a], _spans(h, lo, windows - 1 + width, 1), doc, lo, a - lo, windows
+    # empty documents share an offset with the text after them; the last of them is that text
+    side = (width - GRAM) // 2
+    left = np.where(a - lo >= side, _spans(h, np.maximum(a - side, lo), np.minimum(side, a - lo) + GRAM, 4), 0)
+    end = lo + windows - 1 + width
+    right = np.where(end - a - GRAM >= side, _spans(h, a, np.minimum(side + GRAM, end - a), 5), 0)
+    whole = _mix(_spans(h, lo, windows - 1 + width, 1) ^ _mix(((a - lo) * 128 + windows).astype(np.uint64)))
+    key = (whole & np.uint64(0xFFFFFFFF00000000)) | (left >> np.uint64(48) << np.uint64(16)) | (right >> np.uint64(48))
+    return h[a], key, doc, lo, a - lo, windows
 
 
 def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +122,7 @@ def _first_of(key: list[np.ndarray], doc: np.ndarray, packed: np.ndarray) -> tup
     return new, (doc != doc[first]) | (packed != packed[first])
 
 
-_FOUND = "doc long, tie long, lo long, hi long, open boolean"
+_FOUND = "doc long, tie long, lo long, hi long, open boolean, place long, g long, c long"
 _KEYED = "g long, c long, doc long, packed long, done boolean"
 
 
@@ -126,7 +136,7 @@ def _region_rows(docs: DataFrame, width: int) -> DataFrame:
             tie = cols["tie"].to_numpy(zero_copy_only=False)[d]
             ext = (place << 7) | (windows - 1)
             packed = _pack(tie, lo - offsets[d], ext)
-            g, c = g.view(np.int64), (c ^ _mix(ext.astype(np.uint64))).view(np.int64)
+            g, c = g.view(np.int64), c.view(np.int64)
             order = np.lexsort((packed, doc, c, g))
             g, c, doc, packed = g[order], c[order], doc[order], packed[order]
             if len(g):
@@ -147,7 +157,10 @@ def _stream(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
 
         def out(r: dict, pick: np.ndarray, opened: np.ndarray) -> dict:
             tie, at, ext = _unpack(r["packed"][pick])
-            return {"doc": r["doc"][pick], "tie": tie, "lo": at, "hi": at + (ext & 127), "open": opened[pick]}
+            hidden = ~opened[pick]
+            keys = {k: pa.array(r[k][pick], mask=hidden) for k in ("g", "c")}  # needed for open rows only
+            return {"doc": r["doc"][pick], "tie": tie, "lo": at, "hi": at + (ext & 127), "open": opened[pick],
+                    "place": at + (ext >> 7), **keys}
 
         shared = False
         for cols in batches:
@@ -184,10 +197,24 @@ def _stream(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     return map_rows(parts, _FOUND, work)
 
 
+def _open_sides(opened: DataFrame, width: int) -> DataFrame:
+    """(doc, tie, lo, hi): the windows of open regions on sides that another region with the anchor shares."""
+    side = (width - GRAM) // 2
+    cut = F.col("place") - side
+    halves = opened.select("doc", "tie", "g", F.inline(F.array(
+        F.struct(F.lit(0).alias("s"), F.shiftright("c", 16).bitwiseAND(0xFFFF).alias("k"), F.col("lo"),
+                 F.least("hi", cut).alias("hi")),
+        F.struct(F.lit(1).alias("s"), F.col("c").bitwiseAND(0xFFFF).alias("k"), F.greatest("lo", cut).alias("lo"),
+                 F.col("hi"))))).where("lo <= hi")
+    shared = materialize(halves.groupBy("g", "s", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+                         "shared_sides")
+    return halves.join(shared, ["g", "s", "k"], "left_semi").select("doc", "tie", "lo", "hi")
+
+
 def _window_rows(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
     """Every window of the open regions: (g, c) the two halves of its hash."""
-    lists = opened.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-    joined = docs.join(lists, ["doc", "tie"])
+    lists = opened.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("tie", "lo", "hi"))).alias("ranges"))
+    joined = docs.join(lists, "doc")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
@@ -196,8 +223,10 @@ def _window_rows(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
             ranges = cols["ranges"]
             sizes = np.diff(ranges.offsets.to_numpy())
             flat = ranges.flatten()
-            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            tie, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             d = np.repeat(np.arange(len(sizes)), sizes)
+            own = tie == cols["tie"].to_numpy(zero_copy_only=False)[d]
+            d, lo, hi = d[own], lo[own], hi[own]
             n = hi - lo + 1
             d, lo = np.repeat(d, n), np.repeat(lo, n)
             if not len(lo):
@@ -221,11 +250,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).bitwiseAND((1 << _TIE_BITS) - 1).alias("tie"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def repeated_spans(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, tie, lo, hi): windows of ``width`` bytes that start at lo to hi and all repeat an earlier string."""
-    keyed = _keyed(docs, id_col, text_col)
     found = materialize(_stream(_region_rows(keyed, width), ["g", "c"], True), "regions")
-    windows = materialize(_stream(_window_rows(keyed, found.where("open"), width), ["g", "c"], False), "windows")
+    ranges = materialize(_open_sides(found.where("open"), width), "open_sides")
+    windows = materialize(_stream(_window_rows(keyed, ranges, width), ["g", "c"], False), "windows")
     return found.where("not open").unionByName(windows).select("doc", "tie", "lo", "hi")
 
 
@@ -236,19 +265,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before in the same document. A null id is the smallest. Rows that share an id are in the order of
     a hash of their texts; rows that repeat id and text count as one document.
     """
-    spans = repeated_spans(docs, id_col, text_col, width)
-    lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = _keyed(docs, id_col, text_col).join(lists, ["doc", "tie"], "left")
+    texts = bucketed(_keyed(docs, id_col, text_col).repartition(width_ := shuffle_width(docs.sparkSession), "doc"),
+                     "doc", width_, compression="zstd")
+    spans = repeated_spans(texts, width)
+    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("tie", "lo", "hi")).alias("ranges"))
+    joined = texts.join(lists, "doc", "left")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
             out: dict = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             ranges, texts = cols["ranges"], cols["text"].cast(pa.binary()).to_pylist()
+            ties = cols["tie"].to_pylist()
             for i, raw in enumerate(texts):
                 gone = np.zeros(len(raw) + 1, np.int32)
                 if ranges[i].is_valid:
                     flat = ranges[i].values
-                    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    own = flat.field(0).to_numpy(zero_copy_only=False) == ties[i]
+                    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False)[own] for k in (1, 2))
                     np.add.at(gone, lo, 1)
                     np.add.at(gone, hi + width, -1)
                 cover = np.cumsum(gone)[:len(raw)] > 0
@@ -259,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[k].append(x)
             yield {"doc": cols["doc"], **out}
 
-    rows = map_rows(joined.select("doc", "text", "ranges"),
+    rows = map_rows(joined.select("doc", "tie", "text", "ranges"),
                     "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", work)
     return rows.select(F.when(F.col("doc") == _LOWEST, None).otherwise(F.col("doc")).alias(id_col), "n_bytes",
                        "n_removed", "n_spans", "kept_sha256", "kept")
