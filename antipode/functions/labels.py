@@ -111,27 +111,23 @@ def balanced_labels(labels: Column, symmetry: Column) -> Column:
     return (F.size(classes("R")) > 0) & (classes("R") == classes("S"))
 
 
-def label_configurations(labels: Column, max_sites: int = 8) -> Column:
-    """Every assignment of R and S to the labelled positions, as an array of label maps.
+def label_assignment(labels: Column, number: Column) -> Column:
+    """Label map whose i-th position is R where bit i of ``number`` is set, else S."""
+    return F.transform(F.array_sort(labels), lambda x, i: F.struct(
+        x["pos"].alias("pos"),
+        F.when(F.floor(number / F.pow(F.lit(2.0), i)) % 2 == 1, "R").otherwise("S").alias("label")))
 
-    With more than ``max_sites`` positions the first ones vary and the others keep
-    their own label.
-    """
-    ordered = F.array_sort(labels)
-    varied = F.least(F.size(labels), F.lit(max_sites))
-    numbers = F.sequence(F.lit(0), F.pow(F.lit(2.0), varied).cast("int") - 1)
 
-    def assign(c: Column) -> Column:
-        return F.transform(
-            ordered,
-            lambda x, i: F.struct(
-                x["pos"].alias("pos"),
-                F.when(i >= varied, x["label"])
-                .when(F.floor(c / F.pow(F.lit(2.0), i)) % 2 == 1, "R").otherwise("S").alias("label"),
-            ),
-        )
+def label_configurations(labels: Column, max_sites: int = 20) -> Column:
+    """Every assignment of R and S to the labelled positions, as an array of label maps.
 
-    return F.transform(numbers, assign)
+    More than ``max_sites`` positions are an error: the array would not fit a row. ``label_variants``
+    gives them as rows.
+    """
+    top = F.pow(F.lit(2.0), F.size(labels)).cast("long") - 1
+    numbers = F.when(F.size(labels) > max_sites, F.raise_error(F.lit(f"more than {max_sites} labelled positions"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.least(top, F.lit(2**max_sites - 1))))
+    return F.transform(numbers, lambda c: label_assignment(labels, c))
 
 
 def transition_text(labels_a: Column, labels_b: Column) -> Column:

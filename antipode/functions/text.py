@@ -33,7 +33,7 @@ def formula_tokens(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.trim(text), r"^-+|-+$", ""))
     names, counts = _groups(clean, TOKEN_PATTERN, 1), _groups(clean, TOKEN_PATTERN, 2)
     return F.flatten(F.zip_with(
-        names, counts, lambda e, n: F.array_repeat(e, F.coalesce(F.nullif(n, F.lit("")).cast("int"), F.lit(1)))
+        names, counts, lambda e, n: F.array_repeat(e, F.coalesce(F.nullif(n, F.lit("")).try_cast("int"), F.lit(1)))
     ))
 
 

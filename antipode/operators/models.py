@@ -24,19 +24,21 @@ from antipode.operators.stats import binary_metrics, regression_metrics, spearma
 from antipode.scale import group_row_number, materialize
 
 SEED = 42
-MAX_CENTERS = 8
 
 
 def assemble_features(df: DataFrame, vec: str, descriptors: Sequence[str], score: str, sign: str,
-                      centers: str | None = None, ensemble: Sequence[str] = (), out: str = "features") -> DataFrame:
-    """Vector + descriptors + (score, sign) + up to 8 center (score, sign) pairs + ensemble statistics.
+                      centers: str | None = None, ensemble: Sequence[str] = (), out: str = "features",
+                      max_centers: int = 8) -> DataFrame:
+    """Vector + descriptors + (score, sign) + center (score, sign) pairs + ensemble statistics.
 
-    ``centers``: array of struct(score, sign) in site order, filled up with zeros.
+    ``centers``: array of struct(score, sign) in site order, filled up with zeros to ``max_centers`` pairs;
+    a row with more is an error.
     """
     parts = [F.col(vec), F.array(*[F.col(c).cast("double") for c in (*descriptors, score, sign)])]
     if centers:
-        flat = F.flatten(F.transform(F.slice(centers, 1, MAX_CENTERS), lambda c: F.array(c["score"], c["sign"])))
-        parts.append(F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), 2 * MAX_CENTERS)), 1, 2 * MAX_CENTERS))
+        flat = F.flatten(F.transform(F.col(centers), lambda c: F.array(c["score"], c["sign"])))
+        fits = F.when(F.size(centers) > max_centers, F.raise_error(F.lit(f"more than {max_centers} centers"))).otherwise(flat)
+        parts.append(F.slice(F.concat(fits, F.array_repeat(F.lit(0.0), 2 * max_centers)), 1, 2 * max_centers))
     if ensemble:
         parts.append(F.array(*[F.col(c).cast("double") for c in ensemble]))
     return df.withColumn(out, array_to_vector(F.concat(*parts)))
@@ -167,12 +169,9 @@ def with_stratified_fold(df: DataFrame, label: str, key: str, k: int) -> DataFra
         "fold", ((F.col("_i") - 1) % k).cast("int")).drop("_i")
 
 
-def fold_values(df: DataFrame, fold: str, most: int = 200) -> list:
-    """The values of a fold column; a model is trained for each, so too many are an error."""
-    found = [r[0] for r in df.select(fold).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{fold} has more than {most} values")
-    return sorted(found)
+def fold_values(df: DataFrame, fold: str) -> list:
+    """The values of a fold column, one model to train for each."""
+    return sorted(r[0] for r in df.select(fold).distinct().collect())
 
 
 def out_of_fold(df: DataFrame, estimator, folds: Sequence, fold: str = "fold") -> DataFrame:

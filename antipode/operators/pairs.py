@@ -75,16 +75,18 @@ def _uneven_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("a"), side("b")
 
 
-def related_pairs(entities: DataFrame, max_flips: int = 0, uneven_sites: bool = True) -> DataFrame:
+def related_pairs(entities: DataFrame, max_flips: int | None = None, uneven_sites: bool = True) -> DataFrame:
     """Pairs of distinct forms in one class, with their relationship.
 
-    Mirror pairs (all shared labels differ) are always found. ``max_flips`` adds
-    the pairs that differ in 1..max_flips of their shared positions; for a class
-    with n sites, ``n - 1`` gives every partially inverted pair. Each form looks
+    All pairs are found, for whatever number of sites the data has. A number for ``max_flips``
+    asks for less: mirror pairs (all shared labels differ) and the pairs that differ in
+    1..max_flips of their shared positions. Each form looks
     up its flipped codes in an equi-join, so no other pair is ever formed.
     Output: class_key, a_id, b_id (a first), relationship, n_flips.
     """
     forms = distinct_forms(with_defined_labels(entities))
+    if max_flips is None:
+        max_flips = max(0, (forms.agg(F.max(F.length("code"))).first()[0] or 1) - 1)
     wanted = L.flipped_codes(F.col("code"), max_flips)
 
     def look_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,10 +185,11 @@ def single_flip_pairs(entities: DataFrame) -> DataFrame:
     )
 
 
-def label_variants(entities: DataFrame, max_sites: int = 8) -> DataFrame:
-    """One row per possible label map of each entity, marking its own."""
-    maps = L.label_configurations(F.col("labels"), max_sites)
-    return entities.select("id", "class_key", "labels", F.explode(maps).alias("variant")).select(
+def label_variants(entities: DataFrame) -> DataFrame:
+    """One row per possible label map of each entity, marking its own; 2 to the number of sites, as rows."""
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.size("labels")).cast("long") - 1))
+    numbered = entities.select("id", "class_key", "labels", number.alias("_v"))
+    return numbered.select("id", "class_key", "labels", L.label_assignment(F.col("labels"), F.col("_v")).alias("variant")).select(
         "id", "class_key", L.label_code(F.col("variant")).alias("variant_code"),
         (L.label_code(F.col("variant")) == L.label_code(F.col("labels"))).alias("is_original"),
     )

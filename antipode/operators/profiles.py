@@ -246,10 +246,10 @@ def valid_outcomes(df: DataFrame) -> DataFrame:
 
 
 def training_pairs(df: DataFrame) -> DataFrame:
-    """Rows with both ids: size of the outcome and its side."""
+    """Rows with both ids: size of the outcome and its side; a null outcome has neither."""
     present = (F.coalesce("catalyst", F.lit("")) != "") & (F.coalesce("substrate", F.lit("")) != "")
     return df.where(present).select(
-        "id", "catalyst", "substrate", F.abs("ee").alias("ee"), F.when(F.col("ee") >= 0, "R").otherwise("S").alias("major"))
+        "id", "catalyst", "substrate", F.abs("ee").alias("ee"), F.when(F.col("ee") >= 0, "R").when(F.col("ee") < 0, "S").alias("major"))
 
 
 def prediction_gap_screen(df: DataFrame, cut: float = 20.0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antipode.functions.text import TOKEN_PATTERN
-from antipode.scale import average_ranks, exact_quantiles, one_value, top_per_group
+from antipode.scale import average_ranks, exact_quantiles, is_number, materialize, one_value, top_per_group
 
 # The seven lattice classes by group number.
 RANGE_CLASSES = (
@@ -113,7 +113,7 @@ def formula_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     tokens = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("t"))
     counted = tokens.groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
-    times = F.coalesce(F.nullif(F.regexp_extract("t", TOKEN_PATTERN, 2), F.lit("")).cast("int"), F.lit(1))
+    times = F.coalesce(F.nullif(F.regexp_extract("t", TOKEN_PATTERN, 2), F.lit("")).try_cast("long"), F.lit(1))
     return counted.groupBy(key, F.regexp_extract("t", TOKEN_PATTERN, 1).alias("element")).agg(
         F.sum(F.col("n") * times).alias("n"))
 
@@ -186,20 +186,27 @@ def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataF
     """Rank correlation with mean ranks for ties.
 
     Rows collapse to distinct (x, y) counts first; each distinct value is ranked
-    once and joined back, so a heavy tie costs one row.
+    once and joined back, so a heavy tie costs one row. Points with a null or NaN are
+    left out; a null group is a group.
     """
     groups = list(groups)
     points = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        df.where(is_number(x) & is_number(y))
         .groupBy(*groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
 
-    def ranks(col: str, out: str) -> DataFrame:
+    def with_ranks(rows: DataFrame, col: str, out: str) -> DataFrame:
         r = average_ranks(points, col, groups, F.col("_n"), out=out)
-        return r.select(*groups, col, out, *(["total"] if out == "_rx" else []))
-
-    ranked = points.join(ranks("_x", "_rx"), [*groups, "_x"]).join(ranks("_y", "_ry"), [*groups, "_y"])
+        r = r.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col(col).alias("_r"), out,
+                     *(["total"] if out == "_rx" else []))
+        same = F.col(col) == F.col("_r")
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+        return rows.join(r, same).drop("_r", *[f"_r_{g}" for g in groups])
+
+    points = materialize(points, "points")
+    ranked = with_ranks(with_ranks(points, "_x", "_rx"), "_y", "_ry")
     mid = (F.col("total") + 1) / F.lit(2.0)
     dx, dy, n = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_n")
     return ranked.groupBy(*groups).agg(
@@ -346,7 +353,8 @@ def mean_baseline(df: DataFrame, fold: str, target: str) -> DataFrame:
     means = per_fold.withColumn("all", total).select(
         fold, ((F.col("all.s") - F.col("s")) / F.nullif(F.col("all.n") - F.col("n"), F.lit(0))).alias("prediction")
     )
-    rows = df.select(fold, target).join(means, fold)
+    means = means.withColumnRenamed(fold, "_fold")
+    rows = df.select(fold, target).join(means, F.col(fold).eqNullSafe(F.col("_fold")))
     return rows.agg(F.count(target).alias("n"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
 
 

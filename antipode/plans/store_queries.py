@@ -186,7 +186,7 @@ def run_events(spark, d):
 @query("incremental_enrich", """
 SELECT event_id, event_type, json_extract(props, '$.k')::INT AS k, value, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events""")
 def incremental_enrich(spark, d):
-    return spark.read.parquet(run_events(spark, d) + "/out").drop("batch_id")
+    return spark.read.parquet(run_events(spark, d) + "/out").drop("run_id", "batch_id")
 
 
 @query("progress_log", """

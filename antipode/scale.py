@@ -105,7 +105,7 @@ def with_value_range(df: DataFrame, value: str, out: str, ranges: int | None = N
     )
 
 
-def _is_number(value: str) -> Column:
+def is_number(value: str) -> Column:
     c = F.col(value).cast("double")
     return c.isNotNull() & ~F.isnan(c)
 
@@ -125,7 +125,7 @@ def cumulative_counts(
     extra = extra or {}
     weight = F.lit(1) if weight is None else weight
     counts = (
-        df.where(_is_number(value))
+        df.where(is_number(value))
         .groupBy(*groups, value)
         .agg(F.sum(weight).cast("long").alias("weight"), *[e.alias(n) for n, e in extra.items()])
     )
@@ -172,7 +172,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups:
     of those ranges are grouped and sorted.
     """
     groups = list(groups)
-    rows = df.where(_is_number(value)).select(
+    rows = df.where(is_number(value)).select(
         *groups, F.col(value).cast("double").alias("_v")
     )
     ranged = with_value_range(rows, "_v", "_range")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antipode.operators.profiles import last_record
-from antipode.scale import first_per_group
+from antipode.scale import first_per_group, materialize
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str], order_by_length: str | None = None) -> DataFrame:
@@ -40,13 +40,14 @@ def id_collisions(df: DataFrame, canonical: str) -> DataFrame:
 def append_vectors(df: DataFrame, path: str, nbits: int, params_hash: str) -> None:
     """Adds the vectors not stored yet under (entity, nbits, params_hash).
 
-    The file commit makes a batch all-or-nothing. Vectors of another length are
-    refused before anything is written.
+    The file commit makes a batch all-or-nothing. Null vectors and vectors of another length
+    are refused before anything is written. Of rows that repeat an entity the smallest
+    is stored. One writer at a time: two that run at once may both add a key.
     """
     spark = df.sparkSession
-    if not df.where(F.size("vec") != nbits).isEmpty():
+    if not df.where(~F.size("vec").eqNullSafe(nbits) | F.col("vec").isNull()).isEmpty():
         raise ValueError(f"vectors must have {nbits} numbers")
-    rows = first_per_group(df, ["entity_id"], [c for c in df.columns if c not in ("entity_id", "vec")] or ["entity_id"])
+    rows = first_per_group(df, ["entity_id"], [*[c for c in df.columns if c not in ("entity_id", "vec")], "vec"])
     stored = read_vectors(spark, path, nbits, params_hash)
     if stored is not None:
         rows = rows.join(stored.select("entity_id"), "entity_id", "left_anti")
@@ -75,7 +76,11 @@ def metadata_columns(latest: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_dead_letter(df: DataFrame, path: str, error: str = "error", text: str = "text", key: str = "id") -> DataFrame:
-    """Appends failed rows as JSON lines with reason and length; returns the rows that succeeded."""
+    """Appends failed rows as JSON lines with reason and length; returns the rows that succeeded.
+
+    The rows are written once and split from there, so nothing is computed twice or lost between both sides.
+    """
+    df = materialize(df, "letters")
     df.where(F.col(error).isNotNull()).select(
         key, text, F.col(error).alias("reason"), F.length(text).alias("length"), F.lit(1).alias("attempt")
     ).write.mode("append").json(path)

@@ -1,17 +1,22 @@
 """Resumable runs over arriving files.
 
 The stream keeps which files were read; each micro-batch overwrites its own
-directory, so a batch repeated after a crash leaves one copy of its rows.
+directory, so a batch repeated after a crash leaves one copy of its rows. Directories are
+named by a run id that is kept with the checkpoint, so another checkpoint, or a new
+one in the place of a lost one, never touches what an earlier run has written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from antipode.scale import first_per_group
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,6 +28,14 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isFile()
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint belongs to; made up with the checkpoint and lost with it."""
+    path = f"{checkpoint.rstrip('/')}/run_id"
+    if not _exists(spark, path):
+        spark.createDataFrame([(f"r{uuid.uuid4().hex}",)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
+
+
 def progress_row(df: DataFrame, batch_id: int, error: str = "error") -> DataFrame:
     """Counters of one batch."""
     return df.agg(
@@ -36,24 +49,28 @@ def incremental_enrich(spark: SparkSession, source: str, schema: T.StructType, e
                        files_per_batch: int | None = None, error: str = "error") -> None:
     """Enriches the files that arrived since the last run, then stops.
 
-    Rows whose keys an earlier batch has written are skipped. ``enrich`` returns
-    the keys and an error column that is null for good rows.
+    Rows whose keys an earlier batch of any run has written are skipped; of rows with one key in
+    a batch the smallest stays. ``enrich`` returns the keys and an error column
+    that is null for good rows.
     """
+    run = run_id(spark, checkpoint)
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
+        order = [c for c, kind in batch.dtypes if c not in keys and "map<" not in kind]
+        fresh = first_per_group(batch, list(keys), order or list(keys)) if len(batch.columns) > len(keys) else batch.distinct()
         if _exists(session, out):
-            earlier = session.read.option("basePath", out).parquet(out).where(F.col("batch_id") != batch_id)
+            earlier = session.read.option("basePath", out).parquet(out).where(
+                (F.col("run_id") != run) | (F.col("batch_id") != batch_id))
             fresh = fresh.join(earlier.select(*keys), list(keys), "left_anti")
-        target = f"{out}/batch_id={batch_id}"
+        target = f"{out}/run_id={run}/batch_id={batch_id}"
         enrich(fresh).write.mode("overwrite").parquet(target)
         if log:
             progress_row(session.read.parquet(target), batch_id, error).write.mode("overwrite").parquet(
-                f"{log}/batch_id={batch_id}")
+                f"{log}/run_id={run}/batch_id={batch_id}")
 
     folder, name = source.rstrip("/").rsplit("/", 1)
     if _is_file(spark, source):

@@ -93,3 +93,22 @@ def test_catalog_rows(spark):
                                   ("3", "C", "P1", "1", "x", "1", "1", "1", "1", "1")], cols)
     got = A.parse_catalog_rows(rows).collect()
     assert [(r.id, r.a, r.b, r.c, r.alpha, r.beta, r.gamma) for r in got] == [("1", 2.5, 0.0, 3.0, 90.0, 95.0, 90.0)]
+
+
+def test_runs_with_other_checkpoints_keep_all_rows(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, v string").schema
+    enrich = lambda df: df.withColumn("error", F.lit(None).cast("string"))
+    out = str(tmp_path / "out")
+    for name, ids in (("one", [1, 2]), ("two", [2, 3])):
+        spark.createDataFrame([(i, "x") for i in ids], schema).write.parquet(str(tmp_path / name))
+        J.incremental_enrich(spark, str(tmp_path / name), schema, enrich, out, str(tmp_path / f"cp_{name}"), ["id"])
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    # a lost checkpoint reads the files again and adds nothing
+    J.incremental_enrich(spark, str(tmp_path / "one"), schema, enrich, out, str(tmp_path / "cp_new"), ["id"])
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_null_vectors_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None)], "entity_id long, vec array<double>")
+    with pytest.raises(ValueError):
+        B.append_vectors(rows, str(tmp_path / "v"), 2, "p")

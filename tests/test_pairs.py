@@ -96,8 +96,18 @@ def test_given_pairs(spark):
     assert got == {1: "enantiomer", 2: "diastereomer", 3: None, 4: None, 5: None}
 
 
-def test_many_sites_keep_the_surplus_labels(spark, acids):
-    wide = acids.limit(1).select(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit("R").alias("label")) for i in range(10)]).alias("labels"))
-    codes = wide.select(F.explode(L.label_configurations(F.col("labels"), 3)).alias("m")).select(L.label_code(F.col("m")).alias("c"))
-    got = {r.c for r in codes.collect()}
-    assert len(got) == 8 and all(c.endswith("R" * 7) for c in got)
+def test_every_label_map_of_many_sites(spark, acids):
+    wide = acids.limit(1).withColumn("labels", F.array(*[F.struct(F.lit(i).alias("pos"), F.lit("R").alias("label")) for i in range(10)]))
+    rows = P.label_variants(wide)
+    assert rows.select("variant_code").distinct().count() == 1024 and rows.where("is_original").count() == 1
+    codes = wide.select(F.explode(L.label_configurations(F.col("labels"))).alias("m")).select(L.label_code(F.col("m")).alias("c"))
+    assert codes.distinct().count() == 1024
+    with pytest.raises(Exception, match="more than 3"):
+        wide.select(L.label_configurations(F.col("labels"), 3)).collect()
+
+
+def test_all_pairs_by_default(spark):
+    rows = [(f"e{k}", f"c{k}", "K", 3, [(p, "R" if k >> p & 1 else "S") for p in range(3)]) for k in range(8)]
+    frame_ = spark.createDataFrame(rows, "id string, canonical string, class_key string, n_centers int, labels array<struct<pos:int,label:string>>")
+    assert P.related_pairs(frame_).count() == 28
+    assert P.related_pairs(frame_, max_flips=0).count() == 4
