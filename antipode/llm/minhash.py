@@ -9,8 +9,7 @@ threshold T of K coordinates two rules keep the lists short and lose no pair:
   postings that anybody shares leaves at once;
 * skip: a list whose documents are already linked with each other is skipped. Each
   list is first merged around pivots, the links found are contracted, and only
-  pairs across what is still apart are merged in full, if the members that each side shares
-  with anybody leave room for a link. So a group of thousands
+  pairs across what is still apart are merged, if their members leave room for a link. So a group of thousands
   of near copies costs a few passes over its members, not all its pairs.
 
 Candidates are confirmed on their full shingle sets. Documents with equal sets are
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antipode.llm.common import map_rows, materialize
@@ -35,6 +34,7 @@ COORDINATES = 48
 #: Of 48 coordinates; a pair at similarity 0.8 misses it with probability 0.003, at 0.85 with 2e-5.
 MATCHES = 30
 PIVOT_ROUNDS = 3
+RARE = 16
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -124,17 +124,40 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     )
 
 
-def _shared_sizes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, e): set size and how many members any other of ``ids`` has too.
+def _last_pairs(lists: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b) of different components that can still reach the threshold. ``lists``: id, post, c.
 
-    Two sets share at most the smaller ``e``. Documents that cannot reach the threshold with
-    anybody are left out: their share would have to hold ``percent`` of their own set.
+    Members that at most ``rare`` of these documents have are rare, the others common. A pair that
+    shares no rare member has at most the common members of either side in common, which bounds
+    the merge of the lists. A pair that shares some meets in the prefixes of the rare
+    members, rarest first: the first shared one stands before as many members as
+    the pair still needs. Both are exact, for any value of ``rare``.
     """
-    mine = sets.join(ids, "id", "left_semi")
-    members = mine.select("id", F.explode("members").alias("s"))
-    common = members.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("s")
-    e = members.join(common, "s").groupBy("id").agg(F.count(F.lit(1)).alias("e"))
-    return mine.select("id", F.size("members").alias("n")).join(e, "id").where(100 * F.col("e") >= percent * F.col("n"))
+    comp = lists.select("id", "c").distinct()
+    members = sets.join(comp, "id").select("id", "c", F.size("members").alias("n"), F.explode("members").alias("s"))
+    df = members.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    doc = Window.partitionBy("id")
+    common = F.sum((F.col("df") > rare).cast("int"))
+    tagged = members.join(df, "s").withColumn("e", common.over(doc)).withColumn("r", F.count(F.lit(1)).over(doc) - F.col("e"))
+    tagged = tagged.withColumn("k", F.row_number().over(doc.orderBy("df", "s")))
+    need = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("e"), F.lit(1))  # rare members to share, at least
+    in_prefix = (F.col("df") <= rare) & (F.col("k") <= F.col("r") - need + 1)
+    ranked = materialize(tagged.withColumn("p", in_prefix).where("p or k = 1"), "ranked")
+
+    def meet(rows: DataFrame, key: str, keep: Column) -> DataFrame:
+        other = rows.select(*[F.col(c).alias(c if c == key else f"_{c}") for c in rows.columns])
+        close = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+        return rows.join(other, [key]).where((F.col("id") < F.col("_id")) & (F.col("c") != F.col("_c")) & close & keep).select(
+            F.col("id").alias("a"), F.col("_id").alias("b"))
+
+    by_rare = meet(ranked.where("p").select("id", "c", "n", "s"), "s", F.lit(True))
+    sizes = ranked.where("k = 1").select("id", "n", "e").where(100 * F.col("e") >= percent * F.col("n"))
+    posts = lists.groupBy("id").agg(F.collect_set("post").alias("posts"))  # a prefix: fewer than the coordinates
+    by_list = meet(
+        lists.join(sizes, "id").join(posts, "id").select("id", "c", "n", "e", "posts", "post"), "post",
+        ((100 + percent) * F.least("e", "_e") >= percent * (F.col("n") + F.col("_n")))
+        & (F.col("post") == F.array_min(F.array_intersect("posts", "_posts"))))  # once per pair
+    return by_rare.unionByName(by_list).distinct()
 
 
 def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80,
@@ -187,14 +210,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int
                 F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         else:
             left = materialize(lists.join(open_lists.select("post"), "post", "left_semi"), "open_lists")
-            room = materialize(_shared_sizes(left.select("id").distinct(), sets, percent), "shared_sizes")
-            left = left.join(room, "id")
-            right = left.select("post", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"),
-                                F.col("e").alias("f"))
-            enough = (100 + percent) * F.least("e", "f") >= percent * (F.col("n") + F.col("m"))
-            pairs = left.withColumnRenamed("id", "a").join(
-                right, (left["post"] == right["post"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & enough
-            ).select("a", "b").distinct()
+            pairs = _last_pairs(left, sets, percent)
         found = _confirmed(materialize(pairs, "pairs"), sigs, sets, matches, percent)
         links = materialize(found if links is None else links.unionByName(found), "links")
     return members, links

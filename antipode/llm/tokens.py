@@ -17,7 +17,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words a task remembers before it starts anew; a bound on memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 _LETTERS_PER_CALL = 500
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
