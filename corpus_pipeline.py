@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antipode.llm import language, line_dedup, minhash, mixing, packing
@@ -19,24 +19,33 @@ from antipode.session import ship_package
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in one, so that no name of theirs can clash with a stage's own."""
+    return docs.select("doc_id", "text", F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
+
+
+def _restored(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the documents again, some with new values."""
+    old = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c)
+    return rows.select(*[new.get(c, old(c)).alias(c) for c in columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told; ``lang`` becomes the language found.
 
     Documents without a letter (null and empty texts too) go. The model learns from the labelled documents.
     """
     ship_package(spark)
-    columns = docs.columns
     model = language.fit(docs.select("text", "lang"))
-    found = language.identify(docs, model, "doc_id", "text", keep=[c for c in columns if c != "doc_id"])
-    kept = found.where(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns])
+    found = language.identify(_carried(docs), model, "doc_id", "text", keep=["text", "_row"])
+    return _restored(found.where(F.col("lang_pred") != language.UNDETERMINED), docs.columns, lang=F.col("lang_pred"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stay in a document with a larger id; every document stays, ``n_chars`` follows."""
-    out = line_dedup.dedup_lines(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.dedup_lines(_carried(docs))
+    return _restored(out, docs.columns, text=F.col("kept_text"), n_chars=F.char_length("kept_text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +64,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times."""
     columns = docs.columns
     copies = mixing.mix_copies(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "copies").dropDuplicates(["_id", "_text"])
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("copies").alias("_copies")).dropDuplicates(["_id", "_text"])
     joined = docs.withColumn("_key", F.xxhash64("text")).join(
         copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
         *[F.col(f"`{c}`") for c in columns])
 
 

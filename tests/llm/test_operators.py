@@ -262,3 +262,19 @@ def test_pipeline(spark):
     packed = C.STAGES[-1][1](spark, now, SF_DIR)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def test_pipeline_carries_clashing_columns_and_odd_rows(spark, docs):
+    import corpus_pipeline as C
+
+    more = docs.unionByName(docs).withColumn("score", F.lit(1)).withColumn("kept_text", F.lit("k")).withColumn("lang_pred", F.lit("p"))
+    now = more
+    for name, stage in C.STAGES[:-1]:
+        out = C.materialize(stage(spark, now, ""), name)
+        assert out.columns == more.columns
+        assert out.where("kept_text <> 'k' or lang_pred <> 'p' or score <> 1 or copies <> 7").count() == 0
+        now = out
+    assert C.STAGES[-1][1](spark, now, "").count() > 0
+    none = more.limit(0)
+    for _, stage in C.STAGES:
+        assert stage(spark, none, "").count() == 0
