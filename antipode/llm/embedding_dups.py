@@ -7,13 +7,14 @@ four of ten. Per direction the values are sorted and the window centred on each
 binary search; the windows a pair shares are counted. Pairs that reach the count that a
 partner at the threshold misses with probability ``MISS`` are verified by their cosine.
 
-Vectors of a label meet in blocks: every pair of blocks is one task of bounded size, and a
-large label is just more tasks. Equal vectors are one class from the start.
+Vectors of a label meet in blocks: every pair of blocks is one group of bounded size, and a
+large label is just more groups. A group works in tiles, and a tile leaves only link counts and a forest of
+what it links, so neither pairs nor memory grow with a group of near copies. A block is
+as large as a task can hold, because each vector travels once per block of its label. Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -27,7 +28,9 @@ from antipode.llm.components import connected_components
 PROJECTIONS = 32
 SPREADS = 2.0
 MISS = 1e-4
-BLOCK = 1024
+#: Vectors of a block, and of a tile inside a pair of blocks. The first bounds a task's vectors, the second its counters.
+BLOCK = 8192
+TILE = 1024
 
 
 def calibrated_count(projections: int = PROJECTIONS, spreads: float = SPREADS, miss: float = MISS) -> int:
@@ -62,11 +65,11 @@ def window_collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     return total.T
 
 
-def _pairs_in(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, projections: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) between two blocks of unit vectors."""
-    way = directions(a.shape[1], projections)
+def _pairs_in(a: np.ndarray, b: np.ndarray, along_a: np.ndarray, along_b: np.ndarray, same: bool,
+              cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (i, j) between two tiles of unit vectors, given with their projections."""
     half = SPREADS * sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    hits = window_collisions(a @ way, b @ way, half) >= calibrated_count(projections)
+    hits = window_collisions(along_a, along_b, half) >= calibrated_count(along_a.shape[1])
     if same:
         hits = np.triu(hits, 1)
     i, j = np.nonzero(hits)
@@ -90,8 +93,33 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def block_links(vec: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, cosine: float,
+                projections: int = PROJECTIONS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each vector: copies of its partners, and the smallest index it reaches between two blocks.
+
+    ``left`` and ``right`` are ascending indices into ``vec``; with ``same`` they are one block.
+    """
+    n = len(vec)
+    along = vec @ directions(vec.shape[1], projections)
+    links = np.zeros(n, np.int64)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in range(0, len(left), tile):
+        for y in range(x if same else 0, len(right), tile):
+            l, r = left[x:x + tile], right[y:y + tile]
+            i, j = _pairs_in(vec[l], vec[r], along[l], along[r], same and x == y, cosine)
+            if len(i):
+                i, j = l[i], r[j]
+                links += (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+                root = _forest(i, j, n)
+                child = np.flatnonzero(root != np.arange(n))
+                ends.append((child, root[child]))
+    if not ends:
+        return links, np.arange(n)
+    return links, _forest(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]), n)
+
+
 def vector_links(vectors: DataFrame, cosine: float = 0.93, projections: int = PROJECTIONS,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(id, links, parent) per block pair: weighted link counts, and a parent that joins what is linked.
 
     ``vectors``: id, label, dim, vec (valid), copies; one row per distinct vector.
@@ -105,34 +133,24 @@ def vector_links(vectors: DataFrame, cosine: float = 0.93, projections: int = PR
         "copies")
 
     def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")  # parents are smallest ids
         ids = table["id"].to_numpy()
-        out_ids: list[np.ndarray] = []
-        if len(ids):
-            p, q = table["p"][0].as_py(), table["q"][0].as_py()
-            vec = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            vec = vec / np.abs(vec).max(axis=1, keepdims=True)
-            vec = vec / np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-            own_ = table["own"].to_numpy()
-            copies = table["copies"].to_numpy()
-            left = np.flatnonzero(own_ == p)
-            right = left if p == q else np.flatnonzero(own_ == q)
-            i, j = _pairs_in(vec[left], vec[right], p == q, cosine, projections)
-            i, j = left[i], right[j]
-            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            order = np.argsort(ids, kind="stable")  # parents are smallest ids
-            place = np.empty(len(ids), np.int64)
-            place[order] = np.arange(len(ids))
-            root = _forest(place[i], place[j], len(ids))
-            hit = np.flatnonzero(links > 0)
-            return pa.table({"id": ids[hit], "links": links[hit].astype(np.int64), "parent": ids[order[root[place[hit]]]]})
-        return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "parent": pa.array([], pa.int64())})
+        vec = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+        vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+        p, q, side = table["p"][0].as_py(), table["q"][0].as_py(), table["own"].to_numpy()
+        left = np.flatnonzero(side == p)
+        links, root = block_links(vec, table["copies"].to_numpy(), left, left if p == q else np.flatnonzero(side == q),
+                                  p == q, cosine, projections, tile)
+        hit = np.flatnonzero(links)
+        return pa.table({"id": ids[hit], "links": links[hit], "parent": ids[root[hit]]})
 
     return dealt.groupBy("label", "dim", "p", "q").applyInArrow(meet, "id long, links long, parent long")
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                            label_col: str = "label", cosine: float = 0.93, projections: int = PROJECTIONS,
-                           block: int = BLOCK) -> DataFrame:
+                           block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors are compared when their labels are equal and not null and they have as many components. Null, empty and
@@ -151,7 +169,7 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
                                               F.count(F.lit(1)).alias("copies")), "classes")
     linked = materialize(vector_links(
         classes.select(F.col("rep").alias("id"), "label", F.size("vec").alias("dim"), "vec", "copies"),
-        cosine, projections, block), "vector_links")
+        cosine, projections, block, tile), "vector_links")
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     comp = materialize(connected_components(linked, "id", "parent"), "components")
     known = materialize(

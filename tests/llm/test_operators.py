@@ -66,8 +66,9 @@ def test_vectors(spark):
     rows += [(90, rows[0][1], 0), (91, None, 0), (92, [0.0] * 16, 0), (93, [float("nan")] * 16, 0), (94, rows[0][1], None),
              (95, [None] + rows[0][1][1:], 0), (96, [1.0, 2.0], 0), (97, [2.0, 4.0], 0), (98, [], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_duplicate_vectors(table, block=16).collect()}
-    assert got == brute.near_vectors(rows, 0.93)
+    for block, tile in ((16, 5), (8192, 16)):  # many blocks, and one block of many tiles
+        found = embedding_dups.near_duplicate_vectors(table, block=block, tile=tile)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == brute.near_vectors(rows, 0.93)
     assert embedding_dups.near_duplicate_vectors(table.limit(0)).count() == 0
     assert 0 < embedding_dups.calibrated_count() <= embedding_dups.PROJECTIONS
 
