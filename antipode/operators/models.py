@@ -90,11 +90,17 @@ def fit_global(df: DataFrame, vec: str, target: str, label: str, trees: int = 20
 
 
 def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: float = 1.0,
-                  min_records: int = 20, held: int = 4096) -> DataFrame:
+                  min_records: int = 20, held: int = 4096, trained: DataFrame | None = None,
+                  inverse: bool = False) -> DataFrame:
     """Ridge regression per group: group, n, intercept, coefficients.
 
-    Each task passes its partial sums on once it holds ``held`` groups.
+    Each task passes its partial sums on once it holds ``held`` groups. Groups listed in ``trained``, a
+    table with the column ``group`` such as earlier models, are skipped. ``inverse`` adds the inverse of
+    the penalised X'X, row after row.
     """
+    if trained is not None:
+        done = trained.select(F.col(group).alias("_done")).distinct()
+        df = df.join(done, F.col(group).eqNullSafe(F.col("_done")), "left_anti")
     g_type = df.schema[group].dataType.simpleString()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,19 +142,22 @@ def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: f
 
     @F.pandas_udf("array<double>")
     def solve(col: pd.Series) -> pd.Series:
-        out = []
+        out = []  # intercept, coefficients, and the inverse if asked for
         for s in col:
             s = np.asarray(s)
             d = int((np.sqrt(4 * len(s) + 1) - 1) / 2)
             gram, xy = s[: d * d].reshape(d, d), s[d * d:]
             penalty = ridge * np.eye(d)
             penalty[0, 0] = 0.0
-            out.append(np.linalg.lstsq(gram + penalty, xy, rcond=None)[0])
+            c = np.linalg.lstsq(gram + penalty, xy, rcond=None)[0]
+            out.append(np.concatenate([c, np.linalg.pinv(gram + penalty).ravel()]) if inverse else c)
         return pd.Series(out)
 
-    solved = lists.withColumn("c", solve("s"))
+    d = ((F.sqrt(4 * F.size("s") + 1) - 1) / 2).cast("int")
+    solved = lists.withColumn("c", solve("s")).withColumn("d", d)
+    more = [F.slice("c", F.col("d") + 1, F.col("d") * F.col("d")).alias("inverse")] if inverse else []
     return solved.select(F.col("g").alias(group), "n", F.col("c")[0].alias("intercept"),
-                         F.slice("c", 2, F.size("c") - 1).alias("coefficients"))
+                         F.slice("c", F.lit(2), F.col("d") - 1).alias("coefficients"), *more)
 
 
 def score_per_group(df: DataFrame, models: DataFrame, group: str, features: str, out: str = "predicted") -> DataFrame:
@@ -158,6 +167,26 @@ def score_per_group(df: DataFrame, models: DataFrame, group: str, features: str,
     return df.join(models.drop("n"), group).withColumn(out, value).drop("intercept", "coefficients")
 
 
+def leave_one_out(df: DataFrame, group: str, features: str, label: str, ridge: float = 0.0, min_records: int = 20,
+                  out: str = "predicted") -> DataFrame:
+    """Prediction of each row by the linear model of all other rows of its group.
+
+    One fit per group: the residual over one minus the row's leverage is what a fit without the row leaves.
+    Null where a group cannot do without the row; rows with a null feature list or label are left out.
+    """
+    models = fit_per_group(df, group, features, label, ridge, min_records, inverse=True).drop("n")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    product = lambda a, b: total(F.zip_with(a, b, lambda u, v: u * v))
+    x = F.concat(F.array(F.lit(1.0)), F.transform(features, lambda v: v.cast("double")))
+    rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).join(models, group).withColumn("_x", x)
+    size = F.size("_x")
+    leverage = total(F.transform("_x", lambda v, i: v * product(F.col("_x"), F.slice("inverse", i * size + 1, size))))
+    residual = F.col(label) - product(F.col("_x"), F.concat(F.array("intercept"), "coefficients"))
+    rest = 1 - leverage
+    return rows.withColumn(out, F.when(rest > 1e-9, F.col(label) - residual / rest)).drop(
+        "_x", "intercept", "coefficients", "inverse")
+
+
 def with_fold(df: DataFrame, key: str, k: int) -> DataFrame:
     """A fold from the key's hash: the same in every run."""
     return df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))
@@ -212,6 +241,16 @@ def fit_strong_classifier(df: DataFrame, key: str, k: int = 5, trees: int = 20,
     return binary_metrics(materialize(predicted.select("label", "score"), "scores"), "label", "score")
 
 
+def classifier_group_out(df: DataFrame, tag: str, tags: Sequence, trees: int = 20, depth: int = 3) -> DataFrame:
+    """Quality of a boosted classifier where each tag is scored by the model of the other tags. ``df``: tag, label (0/1), features.
+
+    Rows without a tag are not scored.
+    """
+    estimator = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED)
+    predicted = out_of_fold(df, estimator, tags, tag).withColumn("score", vector_to_array("probability")[1])
+    return binary_metrics(materialize(predicted.select("label", "score"), "scores"), "label", "score")
+
+
 def score_batch(model, df: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Predictions with the sensitivity columns."""
     fold, confidence, flag = sensitivity(F.col("prediction"), threshold)

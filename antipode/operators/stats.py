@@ -370,6 +370,12 @@ def list_page(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     return df.withColumn("total", total).orderBy(key).offset(offset).limit(limit)
 
 
+def slim_page(df: DataFrame, key: str, columns: Sequence[str], lists: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """A page that shows the length of each list, ``n_`` and its name, instead of the list; null counts as empty."""
+    sizes = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{c}") for c in lists]
+    return list_page(df.select(key, *columns, *sizes), key, offset, limit)
+
+
 def top_rows(df: DataFrame, order: Sequence[Column], k: int, groups: Sequence[str] = ()) -> DataFrame:
     """First ``k`` rows overall or per group."""
     return top_per_group(df, groups, order, k) if groups else df.orderBy(*order).limit(k)

@@ -34,6 +34,32 @@ def fit_per_group(spark, d):
     return m.select("l_suppkey", "n", F.round("intercept", 6).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope"))
 
 
+@query("fit_pending_groups", """
+SELECT l_suppkey, count(*) AS n, round(regr_intercept(l_extendedprice / 1000, l_quantity), 6) AS intercept,
+       round(regr_slope(l_extendedprice / 1000, l_quantity), 6) AS slope FROM lineitem
+WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 200)
+GROUP BY 1 HAVING count(*) >= 20""")
+def fit_pending_groups(spark, d):
+    """Models of the suppliers that a first run over returned items, 200 at least, has not trained."""
+    rows = spread(table(spark, d, "lineitem")).select("l_suppkey", "l_returnflag", F.array("l_quantity").alias("x"),
+                                                      (F.col("l_extendedprice") / 1000).alias("y"))
+    first = M.fit_per_group(rows.where("l_returnflag = 'R'"), "l_suppkey", "x", "y", ridge=0.0, min_records=200)
+    m = M.fit_per_group(rows, "l_suppkey", "x", "y", ridge=0.0, trained=first)
+    return m.select("l_suppkey", "n", F.round("intercept", 6).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("slope"))
+
+
+@query("leave_one_out", """
+WITH m AS (SELECT l_suppkey, count(*) AS n, regr_intercept(l_extendedprice / 1000, l_quantity) AS a, regr_slope(l_extendedprice / 1000, l_quantity) AS b,
+                  avg(l_quantity) AS mx, regr_sxx(l_extendedprice / 1000, l_quantity) AS sxx
+           FROM lineitem GROUP BY 1 HAVING count(*) >= 20)
+SELECT l_suppkey, count(*) AS n, round(sqrt(avg(pow((l_extendedprice / 1000 - a - b * l_quantity)
+       / (1 - 1.0::DOUBLE / n - pow(l_quantity - mx, 2) / sxx), 2))), 5) AS rmse FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1""")
+def leave_one_out(spark, d):
+    rows = spread(table(spark, d, "lineitem")).select("l_suppkey", F.array("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    scored = M.leave_one_out(rows, "l_suppkey", "x", "y")
+    return T.regression_metrics(scored, "y", "predicted", ["l_suppkey"]).select("l_suppkey", "n", F.round("rmse", 5).alias("rmse"))
+
+
 @query("score_per_group", """
 WITH m AS (SELECT l_suppkey, regr_intercept(l_extendedprice / 1000, l_quantity) AS a, regr_slope(l_extendedprice / 1000, l_quantity) AS b
            FROM lineitem GROUP BY 1 HAVING count(*) >= 20)
@@ -130,6 +156,13 @@ def strong_classifier(spark, d):
     return m.select("n", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "auc")])
 
 
+@query("classifier_group_out")
+def classifier_group_out(spark, d):
+    rows = document_rows(spark, d).select("lang", "features", F.col("quality").cast("double").alias("label"))
+    m = M.classifier_group_out(rows, "lang", M.fold_values(rows.where("lang is not null"), "lang"), trees=3)
+    return m.select("n", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "auc")])
+
+
 @query("score_batch")
 def score_batch(spark, d):
     rows = document_rows(spark, d)

@@ -334,6 +334,19 @@ def list_page(spark, d):
     return T.list_page(o, "o_orderkey", 40, 20).select("o_orderkey", "o_custkey", "total")
 
 
+@query("slim_page", """
+SELECT o_orderkey, o_custkey, count(l_partkey)::BIGINT AS n_parts, count(DISTINCT l_suppkey)::BIGINT AS n_suppliers,
+       (SELECT count(*) FROM orders) AS total
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R'
+GROUP BY o_orderkey, o_custkey ORDER BY o_orderkey LIMIT 50 OFFSET 100""")
+def slim_page(spark, d):
+    """Orders with the numbers of their returned parts and the suppliers of those."""
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(
+        F.collect_list("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("suppliers"))  # the few lines of an order
+    o = table(spark, d, "orders").join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return T.slim_page(o, "o_orderkey", ["o_custkey"], ["parts", "suppliers"], 100, 50)
+
+
 @query("member_flag", f"""
 WITH {STRUCT_CTE} SELECT id, sg, sg IN {T.MEMBER_GROUPS} AS is_member FROM st""")
 def member_flag(spark, d):

@@ -74,3 +74,26 @@ def test_pair_feature_names_match_length(spark):
     got = M.assemble_pair_features(df, "a", "b", ["d"], "t", ["b", "a"], ["e"]).select(vector_to_array("features").alias("f")).first().f
     assert dict(zip(names, got))["tag_b"] == 1.0 and len(names) == len(got)
     assert got[4:8] == [3.0, 8.0, 2.0, 2.0]
+
+
+def test_trained_groups_are_skipped_and_rows_left_out(rows):
+    pdf, df = rows
+    models = M.fit_per_group(df, "g", "x", "y")
+    first = models.orderBy("g").limit(1)
+    rest = M.fit_per_group(df, "g", "x", "y", trained=first)
+    assert {r.g for r in rest.collect()} == {r.g for r in models.collect()} - {first.first().g}
+    got = {r.id: r.predicted for r in M.leave_one_out(df, "g", "x", "y", ridge=2.0).collect()}
+    part = pdf[pdf.g == first.first().g]
+    x, y = np.column_stack([np.ones(len(part)), np.stack(part.x)]), part.y.to_numpy()
+    for k in range(5):
+        a, b = np.delete(x, k, 0), np.delete(y, k)
+        w = np.linalg.solve(a.T @ a + 2.0 * np.diag([0, 1, 1, 1]), a.T @ b)
+        assert got[part.id.iloc[k]] == pytest.approx(float(x[k] @ w))
+
+
+def test_classifier_scored_by_other_groups(rows):
+    _, df = rows
+    d = df.select("g", array_to_vector("x").alias("features"), (F.col("y") > 0).cast("double").alias("label"))
+    tags = M.fold_values(d, "g")[:2]
+    few = d.where(F.col("g").isin(tags))
+    assert M.classifier_group_out(few, "g", tags, trees=2).first().n == few.count()
