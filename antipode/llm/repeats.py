@@ -12,7 +12,8 @@ Every string of ``width`` bytes that also starts earlier is found exactly, witho
 4. The windows on those sides meet by content; all but the first are repeats.
 
 Both meetings are streams over sorted partitions with one row of memory, so neither a passage that stands in every
-document nor a group of copies is ever held. Equality is by hashes of 128 bits.
+document nor a group of copies is ever held. Equality is by hashes of 128 bits: of windows two of their content, of
+regions the anchor's and the content's, so regions that share an anchor are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ def _spans(h: np.ndarray, lo: np.ndarray, size: np.ndarray | int, salt: int) ->
 
 
 def regions(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content key, document, first window, anchor place, windows) of each region.
+    """(anchor hash, content hash, sides, document, first window, anchor place, windows) of each region.
 
-    The key holds 32 bits of the content and 16 bits each of the gram with what stands before and after it (0 where no
-    window of the region reaches so far).
+    ``sides`` holds 16 bits each of the gram with what stands before and after it (0 where no window of the region
+    reaches so far). It only says where to look for repeats; regions are equal by the 64 bits of their content.
 
     ``raw`` holds the documents one after another; ``offsets`` where each starts and the end. No window crosses documents.
     """
@@ -70,7 +71,7 @@ def regions(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     count = width - GRAM + 1
     n = len(raw) - width + 1
     if n <= 0:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int32, np.int64, np.int64, np.int64, np.int64))
     v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     v = np.concatenate([v, np.full(-len(v) % count, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, count)
     ahead = np.minimum.accumulate(v, axis=1).ravel()
@@ -94,8 +95,8 @@ def regions(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     end = lo + windows - 1 + width
     right = np.where(end - a - GRAM >= side, _spans(h, a, np.minimum(side + GRAM, end - a), 5), 0)
     whole = _mix(_spans(h, lo, windows - 1 + width, 1) ^ _mix(((a - lo) * 128 + windows).astype(np.uint64)))
-    key = (whole & np.uint64(0xFFFFFFFF00000000)) | (left >> np.uint64(48) << np.uint64(16)) | (right >> np.uint64(48))
-    return h[a], key, doc, lo, a - lo, windows
+    sides = ((left >> np.uint64(48) << np.uint64(16)) | (right >> np.uint64(48))).astype(np.uint32).view(np.int32)
+    return h[a], whole, sides, doc, lo, a - lo, windows
 
 
 def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,9 @@ def _first_of(key: list[np.ndarray], doc: np.ndarray, packed: np.ndarray) -> tup
     return new, (doc != doc[first]) | (packed != packed[first])
 
 
-_FOUND = "doc long, tie long, lo long, hi long, open boolean, place long, g long, c long"
+_SPAN = ["doc", "tie", "lo", "hi"]
+_FOUND = ", ".join(f"{c} long" for c in _SPAN)
+_OPEN = ", open boolean, place long, g long, sides int"
 _KEYED = "g long, c long, doc long, packed long, done boolean"
 
 
@@ -131,7 +134,7 @@ def _region_rows(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
             raw, offsets = _raw(cols["text"])
-            g, c, d, lo, place, windows = regions(raw, offsets, width)
+            g, c, sides, d, lo, place, windows = regions(raw, offsets, width)
             doc = cols["doc"].to_numpy(zero_copy_only=False)[d]
             tie = cols["tie"].to_numpy(zero_copy_only=False)[d]
             ext = (place << 7) | (windows - 1)
@@ -141,9 +144,9 @@ def _region_rows(docs: DataFrame, width: int) -> DataFrame:
             g, c, doc, packed = g[order], c[order], doc[order], packed[order]
             if len(g):
                 _, done = _first_of([g, c], doc, packed)
-                yield {"g": g, "c": c, "doc": doc, "packed": packed, "done": done}
+                yield {"g": g, "c": c, "doc": doc, "packed": packed, "done": done, "sides": sides[order]}
 
-    return map_rows(docs, _KEYED, work)
+    return map_rows(docs, _KEYED + ", sides int", work)
 
 
 def _stream(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
@@ -153,14 +156,16 @@ def _stream(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     """
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         held: dict | None = None
-        names = ["g", "c", "doc", "packed", "done"]
+        names = ["g", "c", "doc", "packed", "done", *(["sides"] if whole else [])]
 
         def out(r: dict, pick: np.ndarray, opened: np.ndarray) -> dict:
             tie, at, ext = _unpack(r["packed"][pick])
+            span = {"doc": r["doc"][pick], "tie": tie, "lo": at, "hi": at + (ext & 127)}
+            if not whole:
+                return span
             hidden = ~opened[pick]
-            keys = {k: pa.array(r[k][pick], mask=hidden) for k in ("g", "c")}  # needed for open rows only
-            return {"doc": r["doc"][pick], "tie": tie, "lo": at, "hi": at + (ext & 127), "open": opened[pick],
-                    "place": at + (ext >> 7), **keys}
+            keys = {k: pa.array(r[k][pick], mask=hidden) for k in ("g", "sides")}  # needed for open rows only
+            return {**span, "open": opened[pick], "place": at + (ext >> 7), **keys}
 
         shared = False
         for cols in batches:
@@ -194,7 +199,7 @@ def _stream(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
             yield out(held, np.array([True]), np.array([shared]) & ~held["done"])
 
     parts = rows.repartition(shuffle_width(rows.sparkSession), *keys[:1]).sortWithinPartitions(*keys, "doc", "packed")
-    return map_rows(parts, _FOUND, work)
+    return map_rows(parts, _FOUND + _OPEN if whole else _FOUND, work)
 
 
 def _open_sides(opened: DataFrame, width: int) -> DataFrame:
@@ -202,9 +207,9 @@ def _open_sides(opened: DataFrame, width: int) -> DataFrame:
     side = (width - GRAM) // 2
     cut = F.col("place") - side
     halves = opened.select("doc", "tie", "g", F.inline(F.array(
-        F.struct(F.lit(0).alias("s"), F.shiftright("c", 16).bitwiseAND(0xFFFF).alias("k"), F.col("lo"),
+        F.struct(F.lit(0).alias("s"), F.shiftright("sides", 16).bitwiseAND(0xFFFF).alias("k"), F.col("lo"),
                  F.least("hi", cut).alias("hi")),
-        F.struct(F.lit(1).alias("s"), F.col("c").bitwiseAND(0xFFFF).alias("k"), F.greatest("lo", cut).alias("lo"),
+        F.struct(F.lit(1).alias("s"), F.col("sides").bitwiseAND(0xFFFF).alias("k"), F.greatest("lo", cut).alias("lo"),
                  F.col("hi"))))).where("lo <= hi")
     shared = materialize(halves.groupBy("g", "s", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
                          "shared_sides")
@@ -255,7 +260,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     found = materialize(_stream(_region_rows(keyed, width), ["g", "c"], True), "regions")
     ranges = materialize(_open_sides(found.where("open"), width), "open_sides")
     windows = materialize(_stream(_window_rows(keyed, ranges, width), ["g", "c"], False), "windows")
-    return found.where("not open").unionByName(windows).select("doc", "tie", "lo", "hi")
+    return found.where("not open").select(*_SPAN).unionByName(windows)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

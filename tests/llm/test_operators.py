@@ -91,6 +91,21 @@ def test_repeats_around_shared_passages(spark):
     assert got == brute.repeated_bytes(docs)
 
 
+def test_repeats_tell_regions_of_one_anchor_apart(spark):
+    # pairs of heads whose regions agree in the anchor, both sides and 32 bits of the content hash, but are different
+    passage = ("hugdbzxdkmburvmmkbpwuzpvxisreiaoyhmwmwdifukvgqffofcablgywfdvdthqyrytzjtfqodhwiiljffdwlxnvplbrrbepzmq"
+               "mhzbwwidmxamytuvkkgitprtqltmenaszypqcvwvvjooflzczwfpdksjfecyhxtocqxvvumwavzofljg")
+    heads = ["lzkxwzwkkvaxezbfpukdozywofrkljwrojhciaea", "qstjrkdsytpcwdjfwmtyjafkxqscxdajeqdqbotz",
+             "nygseijqtjrinakemxjopvfpsvxdgkgeudhbbxdp", "tfftcztmkptpxdkphcixkossaovqhsdyybdzwacl",
+             "blpmbnwmscvpplmivkvxmodkcncwlaletwkjabfq", "zaltjvtldzkaoyvvfantwtptavojoyhtjrytnapt"]
+    rng = np.random.default_rng(4)
+    tails = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9000)) for _ in heads]
+    pairs = {i: h + passage + t for i, (h, t) in enumerate(zip(heads, tails, strict=True))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in
+           repeats.remove_repeats(frame(spark, pairs)).collect()}
+    assert got == brute.repeated_bytes(pairs)
+
+
 def test_fingerprints(spark, docs, small):
     rows = {r.doc_id: r for r in fingerprints.fingerprint_versions(docs).collect()}
     edits = brute.edited(small)
