@@ -2,9 +2,11 @@
 
 The standard library's parser streams over a page and cuts it into block lines. Each line has its
 text, the number of tags around it and how much of it is link text. Page furniture named by its
-element, role, class or id never becomes a line. The text-to-tag ratio of the lines is smoothed with a Gaussian and
-split at a threshold into content and rest; a region runs from its first to its last content line, so short lines
-inside an article stay. An <article> or <main> element, where there is one, bounds the region.
+element, role, class or id is left out, unless it holds an <article> or <main> or most of the page's plain text. The
+text-to-tag ratio of the lines is smoothed with a Gaussian and split at a threshold into content and rest; a region runs
+from its first to its last content line, so short lines inside an article stay, and reaches over lines of half the
+threshold at both ends. All <article> and <main> elements with a line of plain text are kept whole; they bound the text
+unless most of the page's plain text lies outside of them.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from antipode.llm.common import map_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Never text of the page.
+HIDDEN = frozenset("script style template title svg select option textarea".split())
 DROPPED = frozenset(
-    "head script style noscript template svg math iframe object canvas audio video map nav header footer aside "
-    "menu form button select option textarea input label fieldset dialog".split())
+    "head noscript iframe object canvas audio video map nav header footer aside "
+    "menu form button label fieldset dialog".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html "
     "legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -34,7 +38,11 @@ FURNITURE = frozenset(
     "cookie cookies disqus feedback footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "notices paywall popup promo promoted promotion related reply replies respond search share sharing sidebar "
     "signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget".split())
-CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+#: A name with one of these tells how a page is laid out (has-sidebar, no-comments).
+STATES = frozenset("closed disabled enabled has is layout no not off on open supports with without".split())
+#: The header or footer of one of these belongs to the text (content-header).
+SUBJECTS = frozenset("article body chapter content entry main post section story text title".split())
+CLOSED_BY = {"p": BLOCKS, "head": frozenset(["body"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
              "option": frozenset(["option"])}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -42,20 +50,31 @@ _SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 
 
+def _names_furniture(name: str) -> bool:
+    """Whether one class or id name marks furniture."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    marks = words & FURNITURE
+    if not marks or words & STATES:
+        return False
+    return not (marks <= {"header", "footer"} and words & SUBJECTS)
+
+
 class _Lines(HTMLParser):
-    """Streaming events to block lines: [text, tags, link characters, scope]."""
+    """Streaming events to block lines: [text, tags, link characters, scope, innermost furniture]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped, scope
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.stack: list[tuple[str, int, int]] = []  # tag, innermost furniture (-1: hidden), scope
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
+        self.outer, self.holds = [0], [False]  # of furniture: the one around it, whether it holds an article
         self.tags = self.links = self.in_link = self.scopes = 0
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.links, self.stack[-1][2] if self.stack else 0))
+            _, around, scope = self.stack[-1] if self.stack else ("", 0, 0)
+            self.lines.append((text, self.tags, self.links, scope, around))
             self.tags = 0
         self.parts, self.links = [], 0
 
@@ -65,14 +84,34 @@ class _Lines(HTMLParser):
         if tag in ("body", "html", "article", "main"):
             return False
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            if name == "aria-hidden" and value == "true":
                 return True
             if name == "role" and (value or "").strip().lower() in ROLES:
                 return True
-            if name in ("class", "id") and any(w.lower() in FURNITURE for w in _NAME.findall(value or "")):
+            if name in ("class", "id") and any(map(_names_furniture, (value or "").split())):
                 return True
         return False
 
+    def kept(self) -> list[tuple[str, int, int, int]]:
+        """The lines outside of furniture. Furniture with an article or most of the plain text is none."""
+        weight, holds = [0] * len(self.outer), list(self.holds)
+        for text, _, links, _, around in self.lines:
+            weight[around] += max(0, len(text) - links)
+        for k in range(len(weight) - 1, 0, -1):  # inner ones have larger numbers
+            weight[self.outer[k]] += weight[k]
+            holds[self.outer[k]] |= holds[k]
+        gone = [False] * len(weight)
+        for k in range(1, len(weight)):
+            gone[k] = gone[self.outer[k]] or not (holds[k] or 2 * weight[k] > weight[0])
+        out, more = [], 0
+        for text, tags, links, scope, around in self.lines:
+            if gone[around]:
+                more += tags
+            else:
+                out.append((text, tags + more, links, scope))
+                more = 0
+        return out
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         while self.stack and tag in CLOSED_BY.get(self.stack[-1][0], ()):
@@ -87,26 +126,34 @@ class _Lines(HTMLParser):
                     break
                 if name in BLOCKS:
                     break
-        dropped, scope = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+        around, scope = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, 0)
         if tag in BLOCKS:
             self._break()
         elif tag in ("br", "wbr"):
-            if tag == "br" and not dropped:
+            if tag == "br" and around >= 0:
                 self.parts.append(" ")
         if tag in VOID:
             return
-        if tag in ("article", "main") and not dropped and not scope:
-            self.scopes += 1
-            scope = self.scopes
-        if self._furniture(tag, attrs) and not dropped:
-            self._break()
-            dropped = True
-        self.stack.append((tag, dropped, scope))
+        if tag in ("article", "main") and around >= 0:
+            self.holds[around] = True
+            if not scope:
+                self.scopes += 1
+                scope = self.scopes
+        if around >= 0:
+            if tag in HIDDEN or any(name == "hidden" for name, _ in attrs):
+                self._break()
+                around = -1
+            elif self._furniture(tag, attrs):
+                self._break()
+                self.outer.append(around)
+                self.holds.append(False)
+                around = len(self.outer) - 1
+        self.stack.append((tag, around, scope))
         self.in_link += tag == "a"
 
     def _pop(self) -> None:
-        tag = self.stack[-1][0]
-        if tag in BLOCKS or tag in DROPPED:
+        tag, around, _ = self.stack[-1]
+        if tag in BLOCKS or around != (self.stack[-2][1] if len(self.stack) > 1 else 0):
             self._break()
         self.stack.pop()
         self.in_link -= tag == "a"
@@ -120,7 +167,7 @@ class _Lines(HTMLParser):
         self._pop()
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        if self.stack and self.stack[-1][1] < 0:
             return
         self.parts.append(data)
         if self.in_link:
@@ -132,7 +179,7 @@ def page_lines(html: str) -> list[tuple[str, int, int, int]]:
     parser.feed(html)
     parser.close()
     parser._break()
-    return parser.lines
+    return parser.kept()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -153,17 +200,26 @@ def main_text(html: str | None) -> str:
     level = smoothed(plain / np.maximum(1, np.array([x[1] for x in lines], float)))
     # two clusters of lines, cut at the spread of the smoothed ratios
     cut = min(float(level.std()), float(level.mean()))
-    content = (level >= cut) & (plain > 0.5 * length)
-    if not content.any():
+    text = plain > 0.5 * length
+    if not text.any():
         return ""
+    content = (level >= cut) & text
+    if not content.any():
+        content = text
     scopes = np.array([x[3] for x in lines])
-    chosen = set(scopes[content & (scopes > 0)].tolist())
-    if chosen:  # regions with bounds of their own: whole articles that hold content
-        return "\n\n".join(x[0] for x in lines if x[3] in chosen)
-    first, last = np.flatnonzero(content)[[0, -1]]
-    while first > 0 and plain[first - 1] > 0.5 * length[first - 1] and level[first - 1] >= 0.5 * cut:
-        first -= 1
-    return "\n\n".join(x[0] for i, x in enumerate(lines) if first <= i <= last and plain[i] > 0.5 * length[i])
+    # whole articles, each that holds plain text
+    keep = np.isin(scopes, np.unique(scopes[text & (scopes > 0)]))
+    if 2 * plain[keep].sum() <= plain.sum() or not (content & keep).any():
+        first, last = np.flatnonzero(content)[[0, -1]]
+        while first > 0 and text[first - 1] and level[first - 1] >= 0.5 * cut:
+            first -= 1
+        while last < len(lines) - 1 and text[last + 1] and level[last + 1] >= 0.5 * cut:
+            last += 1
+        # link blocks go in runs, as lists of links; one alone between lines of text is part of it
+        beside = np.concatenate([[False], text, [False]])
+        inside = np.arange(len(lines))
+        keep |= (inside >= first) & (inside <= last) & (text | (beside[:-2] & beside[2:]))
+    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",

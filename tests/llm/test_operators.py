@@ -241,6 +241,38 @@ def test_page_text():
     assert page_text.main_text(None) == page_text.main_text("") == page_text.main_text("<p></p>") == ""
 
 
+def test_page_text_keeps_what_furniture_holds():
+    say = "Running text of the page that goes on for a while, word after word. " * 4
+    body = f"<h1>Title</h1><p>{say}</p><p>{say}</p>"
+    menu = "<div class='menu'><a href=x>Home</a> <a href=y>News</a></div>"
+    want = f"Title\n\n{say.strip()}\n\n{say.strip()}"
+    for around in ("<div class='layout has-sidebar'>", "<div class='sidebar widget'>", "<form>", "<aside>",
+                   "<div role='dialog'>", "<noscript>"):
+        end = around[1:].split(" ")[0].strip(">")
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            assert page_text.main_text(f"<body>{menu}{around}{inner}</{end}></body>") == want
+    assert page_text.main_text(f"<article><div id='content-header'><h1>Title</h1></div><p>{say}<p>{say}</article>") == want
+    assert "x = 2" in page_text.main_text(f"<article><p>{say}</p><p>So <math><mi>x</mi> = 2</math> holds.</p></article>")
+    # furniture inside of it, and furniture that holds little, still go
+    side = "<div class='sidebar'><p>Side words.</p></div>"
+    assert page_text.main_text(f"<body><form>{menu}{side}<article>{body}{side}</article></form>{side}</body>") == want
+    assert page_text.main_text(f"<head><title>t</title></head><body>{side}{body}{side}<footer>foot</footer>") == want
+
+
+def test_page_text_keeps_every_article_and_both_ends():
+    long, short = "Long text of the first article that goes on and on. " * 30, "A short one."
+    got = page_text.main_text(f"<article><p>{long}</p></article>" + "<div><a href=x>link</a></div>" * 4 + f"<article><p>{short}</p></article>")
+    assert got == f"{long.strip()}\n\n{short}"
+    # most of the text outside of the only article
+    got = page_text.main_text(f"<body><div>{long}</div><div>{long}</div><article><p>{short}</p></article></body>")
+    assert got == f"{long.strip()}\n\n{long.strip()}\n\n{short}"
+    line = "A line of the text, of middling length, as they come. " * 3
+    close = "".join(f"<div>{line}</div>" for _ in range(6)) + "<div>It ends here.</div>"
+    assert page_text.main_text(f"<body>{close}</body>").endswith("It ends here.")
+    linked = f"<div>{line}</div><div><a href=x>See the whole story here</a></div><div>{line}</div>"
+    assert "See the whole story" in page_text.main_text(linked)
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
