@@ -19,6 +19,7 @@ one class from the start and are never paired.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from antipode.llm.components import connected_components
 from antipode.scale import broadcast_if_small
 
 COORDINATES = 48
-#: Of 48 coordinates; a pair at similarity 0.8 misses it with probability 0.003, at 0.85 with 2e-5.
-MATCHES = 30
+#: A pair exactly at the threshold is lost with this probability at most.
+MISS_RATE = 1e-6
 PIVOT_ROUNDS = 3
 RARE = 16
 
@@ -68,6 +69,19 @@ def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
             rng.integers(0, 2**63, k, dtype=np.uint64))
 
 
+def match_threshold(percent: int, k: int = COORDINATES, miss: float = MISS_RATE) -> int:
+    """Most matches of ``k`` coordinates that a pair of ``percent`` similarity reaches but for the rate ``miss``; 1 at least.
+
+    Matches of such a pair are binomial: 24 of 48 at 80 percent (8e-7 lost), 27 at 85 (4e-7).
+    """
+    p, below = percent / 100, 0.0
+    for t in range(k):
+        below += comb(k, t) * p**t * (1 - p) ** (k - t)
+        if below > miss:
+            return max(1, t)
+    return k
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, k: int = COORDINATES) -> DataFrame:
     """(id, n_shingles, k1, k2, sig): set size, 128-bit key of the set, MinHash values (null for empty sets)."""
     a, b = _coefficients(k)
@@ -161,15 +175,17 @@ def _last_pairs(lists: DataFrame, sets: DataFrame, percent: int, rare: int = RAR
 
 
 def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80,
-                         k: int = COORDINATES, matches: int = MATCHES,
+                         k: int = COORDINATES, matches: int | None = None,
                          rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members`` has (id, n_shingles, rep) per row, ``links`` (a, b) between reps.
 
     ``rep`` is the smallest id with the same shingle set, null for empty sets. The
     links join what is connected; pairs inside an already connected group need not
     all be listed. Rows with a null id keep ``rep`` null. Documents need unique ids
-    to be told apart; rows repeating an id and text fall into one class.
+    to be told apart; rows repeating an id and text fall into one class. ``matches`` is
+    ``match_threshold`` of ``percent`` and ``k`` if not given.
     """
+    matches = match_threshold(percent, k) if matches is None else matches
     rows = materialize(signatures(docs, id_col, text_col, width, k), "signatures")
     filled = rows.where("n_shingles > 0 and id is not null")
     key = ["k1", "k2", "n_shingles"]
@@ -217,7 +233,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, width: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80, k: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+                    percent: int = 80, k: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Linked are documents whose shingle sets satisfy

@@ -59,6 +59,22 @@ def test_minhash_chain_and_groups(spark):
     assert got == brute.near_docs(docs, 3, 85)
 
 
+def test_minhash_border_pairs(spark):
+    # pairs exactly at 0.8 with 28 or 29 equal coordinates of 48
+    docs = {}
+    for seed in (107, 2568, 3671):
+        w = [f"v{seed}x{j}" for j in range(104)]
+        docs |= {seed: " ".join(w[:94]), seed + 10_000: " ".join(w[:84] + w[94:])}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert got == brute.near_docs(docs, 5, 80)
+    assert got[10_107] == (90, 107)
+
+
+def test_match_threshold():
+    assert [minhash.match_threshold(p) for p in (80, 85)] == [24, 27]
+    assert minhash.match_threshold(1) == 1 and minhash.match_threshold(100) == 48
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((6, 16))
