@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antipode.llm import (embedding_dups, fingerprints, language, line_dedup, minhash, mixing, packing, page_text,
-                          repeats, token_files)
+from antipode.llm import (embedding_dups, filter_audit, fingerprints, language, line_dedup, minhash, mixing, packing,
+                          page_text, repeats, token_files)
 from antipode.llm.common import read_table
 from antipode.scale import fresh_path
 
@@ -126,3 +126,49 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_page_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_pages(read_table(spark, sf_dir, "pages"), keep=["url"])
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END)
+         + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS failed
+  FROM words LEFT JOIN known USING (doc_id)),
+cells AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM docs GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, k::INT AS step, (SELECT bit FROM letters WHERE letter = filter_order[k]) AS bit,
+         coalesce((SELECT sum(bit) FROM letters WHERE contains(filter_order[1:k - 1], letter)), 0)::INT AS before
+  FROM orders, range(1, 6) AS r(k)),
+audit AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (failed & (bit | before) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (failed & bit <> 0 AND failed & before <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failed = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (failed & bit <> 0 AND failed & before = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (failed & bit <> 0 AND failed & before = 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM audit
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
