@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antipode.llm import (embedding_dups, filter_audit, fingerprints, language, line_dedup, minhash, mixing, packing,
-                          page_text, repeats, token_files)
+                          page_text, repeats, token_files, whitening)
 from antipode.llm.common import read_table
 from antipode.scale import fresh_path
 
@@ -172,3 +172,8 @@ FROM audit
 @query("op13_filter_audit", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
