@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antipode.llm import (embedding_dups, filter_audit, fingerprints, language, line_dedup, minhash, mixing, packing,
-                          page_text, repeats, token_files, whitening)
+                          page_text, quality, repeats, token_files, whitening)
 from antipode.llm.common import read_table
 from antipode.scale import fresh_path
 
@@ -174,6 +174,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op11_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = quality.measured_once(read_table(spark, sf_dir, "documents"))
+    held_out = language.held_out("id")
+    model = quality.fit(features.where(~held_out), read_table(spark, sf_dir, "labels"))
+    scored = quality.score(features, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
