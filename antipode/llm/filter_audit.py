@@ -1,9 +1,9 @@
 """How five document filters act together, for every order of applying them.
 
-The corpus becomes a sparse document-term matrix. Documents are cut into shards (one Python
-batch of text each). A shard is written with its words as local codes; the distinct words of
-all shards get global column ids, and every shard's codes are exchanged for them, so the
-result is a table of CSR blocks over one dictionary. Row sums of a block are the documents'
+The corpus becomes a sparse document-term matrix. Documents are cut into shards of some megabytes of
+text. A shard is written with its words as local codes; the distinct words of all shards get
+global column ids, and every shard's codes are exchanged for them, so the result is a table of
+CSR blocks over one dictionary. Row sums of a block are the documents'
 word counts and its stored entries per row their distinct words, which settles filters A and B;
 C, D and the digest for E were noted while the shard was cut.
 
@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
@@ -37,68 +39,123 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antipode.llm.common import map_rows, materialize
+from antipode.llm.common import map_rows, materialize, shuffle_width
 
 LETTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 # The signs that filter D looks for.
 SIGNS = b"#$%&*|"
 _UPPER = bytes(range(65, 91))
+#: Text behind one shard (a longer document is a shard of its own); words that meet in one task.
+SHARD_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
 A, B, C, D, E = (1 << i for i in range(5))
 
 
 # ------------------------------------------------------- document-term matrix
 
+class _Shard:
+    """Documents cut so far: one row of the shard table once ``SHARD_BYTES`` of text have come together."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.codes, self.amounts, self.ends, self.digests, self.flags = [], [], [0], [], []
+        self.ids, self.parts, self.size = [], [], 0
+
+    def add(self, text: bytes, chars: int, upper_percent: int) -> None:
+        found = Counter(text.split())  # bytes split at exactly the white space of the contract
+        known = self.known
+        self.codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+        self.amounts.append(np.fromiter(found.values(), np.int32, len(found)))
+        self.ends.append(self.ends[-1] + len(found))
+        self.digests.append(hashlib.sha256(text).digest())
+        upper = len(text) - len(text.translate(None, _UPPER))
+        signs = len(text) - len(text.translate(None, SIGNS))
+        self.flags.append(C * (100 * upper > upper_percent * chars) | D * (signs > 0))
+        self.size += len(text)
+
+    def row(self, shard: int) -> dict:
+        """Local codes follow the hash of the words, so that any range of hashes is a run of codes."""
+        words = list(self.known)
+        order = np.argsort(_hashes(words), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        one = lambda values, kind: pa.array([values], type=pa.list_(kind))
+        joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int32)
+        listed = lambda chunks: pa.ListArray.from_arrays(pa.array([0, sum(map(len, chunks))], pa.int32()), pa.concat_arrays(chunks))
+        return {"shard": [shard], "id": listed(self.ids), "part": listed(self.parts), "digest": one(self.digests, pa.binary()),
+                "flags": one(self.flags, pa.int32()), "row_start": one(np.array(self.ends, np.int32), pa.int32()),
+                "code": one(rank[joined(self.codes)], pa.int32()), "amount": one(joined(self.amounts), pa.int32()),
+                "words": [b" ".join([words[i] for i in order.tolist()])]}
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
+
 def _cut_shards(docs: DataFrame, upper_percent: int) -> DataFrame:
-    """One row per shard: document columns as lists, CSR with local codes, and the words behind the codes."""
+    """One row per shard: document columns as lists, CSR with local codes, and the words behind the codes, separated by blanks."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = (f"shard long, id array<{types['id']}>, part array<string>, digest array<binary>, flags array<int>, "
-              "row_start array<int>, code array<int>, amount array<int>, word array<binary>")
+              "row_start array<int>, code array<int>, amount array<int>, words binary")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        shard = TaskContext.get().partitionId() << 32  # unique: the table is written once
+        number = TaskContext.get().partitionId() << 32  # unique: the table is written once
+        shard = _Shard()
         for cols in batches:
-            raw = cols["text"]
-            chars = pc.fill_null(pc.utf8_length(raw.cast(pa.string())), 0).to_pylist()
-            known: dict[bytes, int] = {}
-            codes, amounts, ends, digests, flags = [], [], [0], [], []
-            for text, n in zip(raw.to_pylist(), chars, strict=True):
-                text = text or b""
-                found: dict[bytes, int] = {}
-                for w in text.split():  # bytes split at exactly the white space of the contract
-                    found[w] = found.get(w, 0) + 1
-                codes.extend([known.setdefault(w, len(known)) for w in found])
-                amounts.extend(found.values())
-                ends.append(len(codes))
-                digests.append(hashlib.sha256(text).digest())
-                upper = len(text) - len(text.translate(None, _UPPER))
-                signs = len(text) - len(text.translate(None, SIGNS))
-                flags.append(C * (100 * upper > upper_percent * n) | D * (signs > 0))
-            one = lambda values, kind: pa.array([values], type=pa.list_(kind))
-            yield {"shard": [shard], "id": _listed(cols["id"]), "part": _listed(cols["part"]),
-                   "digest": one(digests, pa.binary()), "flags": one(flags, pa.int32()),
-                   "row_start": one(np.array(ends, np.int32), pa.int32()), "code": one(np.array(codes, np.int32), pa.int32()),
-                   "amount": one(np.array(amounts, np.int32), pa.int32()), "word": one(list(known), pa.binary())}
-            shard += 1
+            chars = pc.fill_null(pc.utf8_length(cols["text"].cast(pa.string())), 0).to_pylist()
+            for text, n in zip(cols["text"].to_pylist(), chars, strict=True):
+                shard.add(text or b"", n, upper_percent)
+            shard.ids.append(cols["id"])
+            shard.parts.append(cols["part"])
+            if shard.size >= SHARD_BYTES:
+                yield shard.row(number)
+                number, shard = number + 1, _Shard()
+        if shard.ids:
+            yield shard.row(number)
 
     return map_rows(docs.select("id", F.col("text").cast("binary").alias("text"), "part"), schema, work)
 
 
-def _listed(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _encode(shards: DataFrame) -> DataFrame:
+    """(bucket, shard, terms, words): global numbers of the words of all shards.
 
+    Words meet in buckets of hash ranges, as one row per shard and bucket whatever the number of
+    documents that use a word. A bucket numbers its distinct words from 0: ``terms`` are the numbers of
+    a shard's words in the order of their codes; the row with shard null lists the bucket's ``words``.
+    """
+    size = shards.agg(F.sum(F.length("words"))).first()[0] or 0
+    buckets = max(shuffle_width(shards.sparkSession), -(-size // BUCKET_BYTES))
+    cuts = np.array([-(-(i << 32) // buckets) for i in range(1, buckets)], np.uint64)
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, term): the distinct words of all shards, numbered from 0 without gaps."""
-    words = shards.select(F.explode("word").alias("word")).distinct()
-    stored = materialize(words.withColumn("_at", F.monotonically_increasing_id()), "dictionary")
-    piece = F.shiftright("_at", 33)
-    # one row per written piece, as many as the shuffle has partitions
-    sizes = stored.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    sizes = sizes.select("_piece", (F.coalesce(F.expr("sum(_n) OVER (ORDER BY _piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
-                                               F.lit(0)) - F.col("_first")).alias("_shift"))
-    return stored.withColumn("_piece", piece).join(F.broadcast(sizes), "_piece").select(
-        "word", (F.col("_at") + F.col("_shift")).alias("term"))
+    def deal(batches: Iterator[dict]) -> Iterator[dict]:
+        for cols in batches:
+            for shard, blob in zip(cols["shard"].to_pylist(), cols["words"].to_pylist(), strict=True):
+                words = blob.split()
+                at = np.concatenate([[0], np.searchsorted(_hashes(words).astype(np.uint64), cuts), [len(words)]])
+                full = np.flatnonzero(np.diff(at))
+                yield {"bucket": full, "shard": [shard] * len(full), "words": [b" ".join(words[at[i]:at[i + 1]]) for i in full]}
+
+    def number(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("shard")
+        lists = [blob.split() for blob in rows["words"].to_pylist()]
+        coded = pa.array([w for words in lists for w in words], pa.large_binary()).dictionary_encode()
+        terms, ends = coded.indices.to_numpy(), np.cumsum([len(words) for words in lists])
+        packed = [t.astype("<i4").tobytes() for t in np.split(terms, ends[:-1])]
+        return pa.table({"bucket": [rows["bucket"][0].as_py()] * (len(lists) + 1), "shard": [*rows["shard"].to_pylist(), None],
+                         "terms": [*packed, None], "words": [None] * len(lists) + [b" ".join(coded.dictionary.to_pylist())],
+                         "n": [None] * len(lists) + [len(coded.dictionary)]}, schema=arrow)
+
+    arrow = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("terms", pa.binary()), ("words", pa.binary()), ("n", pa.int64())])
+    dealt = map_rows(shards.select("shard", "words"), "bucket long, shard long, words binary", deal)
+    return dealt.groupBy("bucket").applyInArrow(number, "bucket long, shard long, terms binary, words binary, n long")
+
+
+def _with_offset(encoded: DataFrame) -> DataFrame:
+    """Add the number of words in all buckets before."""
+    sizes = encoded.where("shard IS NULL").select(F.col("bucket").alias("_bucket"), "n")
+    # one row per bucket, that is per BUCKET_BYTES of words
+    before = sizes.select("_bucket", F.expr("sum(n) OVER (ORDER BY _bucket) - n").alias("offset"))
+    return encoded.drop("n").join(F.broadcast(before), F.col("bucket") == F.col("_bucket")).drop("_bucket")
 
 
 def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str | None = None,
@@ -107,30 +164,35 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A block has one row per shard: ``shard``, the lists ``id``, ``part``, ``digest`` and ``flags`` with an entry
     per document, ``row_start`` (one more entry than documents), and per stored entry ``term`` and ``amount``.
-    The dictionary is (``word``, ``term``).
+    The dictionary has each word of the corpus once: (``word`` binary, ``term``), numbered from 0 without gaps.
     """
     part = F.col(part_col).cast("string") if part_col else F.lit(None).cast("string")
     shards = materialize(_cut_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part")),
                                      upper_percent), "shards")
-    terms = materialize(dictionary(shards), "terms")
-    # a frequent word meets its id once per shard, not once per document
-    local = shards.select("shard", F.posexplode("word").alias("local", "word"))
-    columns = local.join(terms, "word").groupBy("shard").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("local", "term"))), lambda x: x["term"]).alias("column"))
-    joined = shards.drop("word").join(columns, "shard", "left")
+    encoded = _with_offset(materialize(_encode(shards), "terms"))
+    columns = encoded.where("shard IS NOT NULL").groupBy("shard").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "offset", "terms"))).alias("runs"))
+    joined = shards.drop("words").join(columns, "shard", "left")
 
     def exchange(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:
-            term = []
-            for code, column in zip(cols["code"], cols["column"], strict=True):
-                to = column.values.to_numpy(zero_copy_only=False) if column.is_valid else np.empty(0, np.int64)
-                term.append(to[code.values.to_numpy(zero_copy_only=False)])
-            kept = {c: cols[c] for c in ("shard", "id", "part", "digest", "flags", "row_start", "amount")}
-            yield {**kept, "term": pa.array(term, pa.list_(pa.int64()))}
+            for i in range(len(cols["shard"])):
+                runs = cols["runs"][i].as_py() or []
+                to = np.concatenate([np.empty(0, np.int64), *(r["offset"] + np.frombuffer(r["terms"], "<i4") for r in runs)])
+                kept = {c: cols[c].slice(i, 1) for c in ("shard", "id", "part", "digest", "flags", "row_start", "amount")}
+                yield {**kept, "term": pa.array([to[cols["code"][i].values.to_numpy(zero_copy_only=False)]], pa.list_(pa.int64()))}
 
     types = {f.name: f.dataType.simpleString() for f in shards.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in ("shard", "id", "part", "digest", "flags", "row_start", "amount"))
-    return map_rows(joined, schema + ", term array<long>", exchange), terms
+    blocks = map_rows(joined, schema + ", term array<long>", exchange)
+
+    def spell(batches: Iterator[dict]) -> Iterator[dict]:
+        for cols in batches:
+            for offset, blob in zip(cols["offset"].to_pylist(), cols["words"].to_pylist(), strict=True):
+                words = blob.split()
+                yield {"word": words, "term": np.arange(offset, offset + len(words))}
+
+    return blocks, map_rows(encoded.where("shard IS NULL").select("offset", "words"), "word binary, term long", spell)
 
 
 def row_counts(blocks: DataFrame) -> DataFrame:
