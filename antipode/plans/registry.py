@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ("pair_queries", "stat_queries", "rule_queries", "search_queries", "graph_queries",
-           "model_queries", "store_queries")
+           "model_queries", "forest_queries", "store_queries")
 
 
 def query(name: str, sql: str | None = None):
