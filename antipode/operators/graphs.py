@@ -30,8 +30,11 @@ COUPLING = (1.0 + math.sqrt(5.0)) / 2.0
 EIGENVALUES = 8
 CHIRAL_THRESHOLD = 0.003
 
-# Graphs above this many nodes are reported as too large instead of solved densely.
-MAX_NODES = 512
+# Graphs up to DENSE_NODES are solved densely and in batches, larger ones by filtered iteration on their edges,
+# one graph at a time; above MAX_NODES or MAX_EDGES a graph does not fit one task and is reported.
+DENSE_NODES = 512
+MAX_NODES = 1_000_000
+MAX_EDGES = 4_000_000
 
 
 def edge_weight(bond_type: Column) -> Column:
@@ -126,8 +129,8 @@ def laplacian_entries(edges: DataFrame, weight: str = "w", normalized: bool = Fa
     return diagonal.unionByName(scaled)
 
 
-def _low_eigenvalues(n: int, us, vs, ws, k: int) -> np.ndarray:
-    """Eigenvalues after the first of the Laplacians of several n-node graphs, at most k each."""
+def _low_eigenvalues(n: int, us, vs, ws, k: int, skip: int = 1) -> np.ndarray:
+    """Eigenvalues after the first ``skip`` of the Laplacians of several n-node graphs, at most k each."""
     m = np.zeros((len(us), n, n))
     for g, (u, v, w) in enumerate(zip(us, vs, ws)):
         if len(u):
@@ -136,33 +139,139 @@ def _low_eigenvalues(n: int, us, vs, ws, k: int) -> np.ndarray:
             np.add.at(m[g], (v, u), -w)
             np.add.at(m[g], (u, u), np.abs(w))
             np.add.at(m[g], (v, v), np.abs(w))
-    first = min(1, n - 1)
+    first = min(skip, n - 1)
     return np.linalg.eigvalsh(m)[:, first:first + k]
 
 
+class _SparseLaplacian:
+    """D - A of one graph, with absolute degrees, as edge lists."""
+
+    def __init__(self, n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        self.n, self.rows, self.columns = n, np.concatenate([u, v]), np.concatenate([v, u])
+        self.values = np.concatenate([w, w])
+        self.diagonal = np.bincount(self.rows, np.abs(self.values), n)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        for j in range(x.shape[1]):  # one column at a time keeps memory at the size of the edge list
+            y = np.ascontiguousarray(x[:, j])
+            out[:, j] = self.diagonal * y - np.bincount(self.rows, self.values * y[self.columns], self.n)
+        return out
+
+    def highest(self) -> float:
+        """Bound of all eigenvalues."""
+        return 2.0 * float(self.diagonal.max(initial=0.0))
+
+
+def _filtered(m: _SparseLaplacian, x: np.ndarray, low: float, cut: float, high: float, degree: int) -> np.ndarray:
+    """The Chebyshev polynomial that is small on [cut, high] and grows below, applied to ``x`` and scaled at ``low``."""
+    half, mid = (high - cut) / 2, (high + cut) / 2
+    first = scale = half / (low - mid)
+    y = (m @ x - mid * x) * (scale / half)
+    for _ in range(degree - 1):
+        new = 1 / (2 / first - scale)
+        x, y = y, 2 * (new / half) * (m @ y - mid * y) - scale * new * x
+        scale = new
+    return y
+
+
+def _low_eigenvalues_sparse(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, k: int, skip: int = 1,
+                            tolerance: float = 1e-9, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """(up to k eigenvalues after the first ``skip``, largest residual) of one large graph.
+
+    Subspace iteration with a Chebyshev filter: memory is the edge list and some twenty vectors. Each
+    value lies within the residual of an eigenvalue.
+    """
+    m = _SparseLaplacian(n, u, v, w)
+    high, wanted = m.highest(), min(k + skip, n)
+    block = min(n, wanted + max(8, k))
+    x = np.linalg.qr(np.random.default_rng(0).normal(size=(n, block)))[0]
+    values, residual = np.zeros(block), 0.0
+    for _ in range(rounds):
+        product = m @ x
+        values, turn = np.linalg.eigh(x.T @ product)
+        x, product = x @ turn, product @ turn
+        residual = float(np.linalg.norm(product[:, :wanted] - x[:, :wanted] * values[:wanted], axis=0).max())
+        if residual <= tolerance * high or block == n:
+            break
+        cut = max(values[-1], 1e-12 * high)
+        if cut >= high * (1 - 1e-9):
+            cut = high / 2
+        gap = max(cut - values[wanted - 1], 1e-9 * high)
+        degree = int(np.clip(4 / (2 * np.sqrt(gap / (high - cut))), 12, 2000))
+        x = np.linalg.qr(_filtered(m, x, min(values[0], 0.5 * cut), cut, high, degree))[0]
+    return values[min(skip, n - 1):wanted], residual
+
+
 def without_crowded(edges: DataFrame, sizes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """Edges of the graphs that fit: those of a huge graph go before any shuffle by graph."""
     crowded = sizes.where(F.col("n_nodes") > max_nodes).select("graph_id").distinct()
     return edges.join(broadcast_if_small(crowded), "graph_id", "left_anti")
 
 
+def _reported(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    none = F.lit(None).cast("array<double>")
+    return sizes.select(*keys, "n_nodes", none.alias("ev_cos"), none.alias("ev_sin"), F.lit("too_large").alias("error"),
+                        F.lit(None).cast("double").alias("residual"))
+
+
 def spectra(edges: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("graph_id",), k: int = EIGENVALUES,
-            max_nodes: int = MAX_NODES) -> DataFrame:
-    """Lowest eigenvalues after the first on both phase sides, one row per graph (or per ``keys``).
+            max_nodes: int = MAX_NODES, dense_nodes: int = DENSE_NODES, max_edges: int = MAX_EDGES, skip: int = 1) -> DataFrame:
+    """Lowest eigenvalues after the first ``skip`` on both phase sides, one row per graph (or per ``keys``).
 
-    ``edges``: keys, u, v, w over positions, one row per edge. ``sizes``: keys,
-    n_nodes. The edges of one matrix are gathered only for at most ``max_nodes``
-    nodes, which bounds them; larger graphs come out with an error text.
+    ``edges``: keys, u, v, w over positions, one row per edge. ``sizes``: keys, n_nodes. Graphs above
+    ``dense_nodes`` are solved from their edges and carry the largest ``residual`` of their values; it is
+    null for dense solutions. Graphs that would not fit one task come out with an error text.
     """
-    too_large = sizes.where(F.col("n_nodes") > max_nodes).select(
-        *keys, "n_nodes", F.lit(None).cast("array<double>").alias("ev_cos"),
-        F.lit(None).cast("array<double>").alias("ev_sin"), F.lit("too_large").alias("error"))
     fitting = sizes.where(F.col("n_nodes") <= max_nodes)
-    return _solved(without_crowded(edges, sizes, max_nodes), fitting, keys, k).unionByName(too_large)
+    return _solved(without_crowded(edges, sizes, max_nodes), fitting, keys, k, dense_nodes, max_edges, skip).unionByName(
+        _reported(sizes.where(F.col("n_nodes") > max_nodes), keys))
 
 
-def _solved(edges: DataFrame, fitting: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Spectra of graphs that are known to fit."""
+def _solved(edges: DataFrame, fitting: DataFrame, keys: Sequence[str], k: int, dense_nodes: int = DENSE_NODES,
+            max_edges: int = MAX_EDGES, skip: int = 1) -> DataFrame:
+    """Spectra of graphs within ``MAX_NODES``."""
+    large = fitting.where(F.col("n_nodes") > dense_nodes)
+    if large.isEmpty():
+        return _solved_dense(edges, fitting, keys, k, skip)
+    names = [F.col(c).alias(f"_l_{c}") for c in keys]
+    same = lambda: [F.col(c) == F.col(f"_l_{c}") for c in keys]
+    rest = edges.join(broadcast_if_small(large.select(*names)), same(), "left_anti")
+    return _solved_dense(rest, fitting.where(F.col("n_nodes") <= dense_nodes), keys, k, skip).unionByName(
+        _solved_sparse(edges, materialize(large, "large"), keys, k, max_edges, skip))
+
+
+def _solved_sparse(edges: DataFrame, large: DataFrame, keys: Sequence[str], k: int, max_edges: int, skip: int) -> DataFrame:
+    """Spectra of large graphs, one graph per call; a graph with too many edges is reported, its edges stay where they are."""
+    keys = list(keys)
+    cos_w, sin_w = phase_weights(F.col("u"), F.col("v"), F.col("w"), F.col("n_nodes"))
+    mine = edges.join(large, keys)
+    counted = materialize(large.join(mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys, "left"), "counted")
+    fits = F.coalesce("_m", F.lit(0)) <= max_edges
+    chosen = counted.where(fits).drop("_m")
+    # a row without nodes stands for each graph, so that one without edges is solved too
+    marks = chosen.select(*keys, "n_nodes", F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"),
+                          F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+    rows = edges.join(chosen, keys).select(*keys, "n_nodes", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"),
+                                           cos_w.alias("c"), sin_w.alias("s")).unionByName(marks)
+    kinds = ", ".join(f"`{c}` {large.schema[c].dataType.simpleString()}" for c in keys)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, real = int(pdf["n_nodes"].iloc[0]), pdf[pdf["u"].notna()].sort_values(["u", "v"], kind="stable")
+        u, v = real["u"].to_numpy(np.int64), real["v"].to_numpy(np.int64)
+        a, ra = _low_eigenvalues_sparse(n, u, v, real["c"].to_numpy(float), k, skip)
+        b, rb = _low_eigenvalues_sparse(n, u, v, real["s"].to_numpy(float), k, skip)
+        return pd.DataFrame([[*key, n, a.tolist(), b.tolist(), None, max(ra, rb)]],
+                            columns=[*keys, "n_nodes", "ev_cos", "ev_sin", "error", "residual"])
+
+    n_kind = large.schema["n_nodes"].dataType.simpleString()
+    found = rows.groupBy(*keys).applyInPandas(
+        solve, f"{kinds}, n_nodes {n_kind}, ev_cos array<double>, ev_sin array<double>, error string, residual double")
+    return found.unionByName(_reported(counted.where(~fits), keys))
+
+
+def _solved_dense(edges: DataFrame, fitting: DataFrame, keys: Sequence[str], k: int, skip: int = 1) -> DataFrame:
+    """Spectra of graphs of at most ``DENSE_NODES`` nodes, batched by size."""
     keys = list(keys)
     cos_w, sin_w = phase_weights(F.col("u"), F.col("v"), F.col("w"), F.col("n_nodes"))
     lists = edges.join(fitting, keys).groupBy(*keys).agg(
@@ -178,14 +287,14 @@ def _solved(edges: DataFrame, fitting: DataFrame, keys: Sequence[str], k: int) -
             step = max(1, 4_000_000 // (size * size))
             for start in range(0, len(rows), step):
                 part = rows[start:start + step]
-                a = _low_eigenvalues(size, u[part], v[part], c[part], k)
-                b = _low_eigenvalues(size, u[part], v[part], s[part], k)
+                a = _low_eigenvalues(size, u[part], v[part], c[part], k, skip)
+                b = _low_eigenvalues(size, u[part], v[part], s[part], k, skip)
                 for i, row in enumerate(part):
                     cos_out[row], sin_out[row] = a[i], b[i]
         return pd.DataFrame({"ev_cos": cos_out, "ev_sin": sin_out})
 
     return ready.withColumn("_s", solve("n_nodes", "u", "v", "c", "s")).select(
-        *keys, "n_nodes", "_s.ev_cos", "_s.ev_sin", F.lit(None).cast("string").alias("error"))
+        *keys, "n_nodes", "_s.ev_cos", "_s.ev_sin", F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("residual"))
 
 
 def _minus(a: Column, b: Column) -> Column:

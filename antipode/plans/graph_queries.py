@@ -38,7 +38,7 @@ def nodes(spark, d):
     rows = group_row_number(li.select("l_orderkey", *NODE_KEYS), ["l_orderkey"], [F.asc(c) for c in NODE_KEYS], "node")
     return rows.select(
         F.col("l_orderkey").alias("graph_id"), "node", (F.col("l_partkey") % 9).alias("atomic"), (F.col("l_suppkey") % 5).alias("rank"),
-        "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag",
+        "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("part"),
         F.when(F.col("l_linestatus") == "O", "R").otherwise("S").alias("label"))
 
 
@@ -230,6 +230,50 @@ def spectrum(spark, d):
                                       F.array_join(F.transform("ev_sin", lambda x: F.format_string("%.6f", x)), ",").alias("ev_sin"))
 
 
+MOMENT_SQL = ", ".join(
+    f"round(sum(CASE WHEN p = {p} THEN {c} END), 5) AS {c}_{p}" for c in ("cos", "sin") for p in (1, 2, 3))
+
+
+@query("spectrum_moments", f"""
+WITH {POS_CTE}, ends AS (SELECT graph_id, u AS i, v AS j, w_cos AS c, w_sin AS s FROM phased UNION ALL SELECT graph_id, v, u, w_cos, w_sin FROM phased),
+ l AS (SELECT graph_id, i, j, -c AS c, -s AS s FROM ends UNION ALL SELECT graph_id, i, i, sum(abs(c)), sum(abs(s)) FROM ends GROUP BY ALL),
+ two AS (SELECT a.graph_id, a.i, b.j, sum(a.c * b.c) AS c, sum(a.s * b.s) AS s FROM l a JOIN l b ON a.graph_id = b.graph_id AND a.j = b.i GROUP BY ALL),
+ t AS (SELECT graph_id, 1 AS p, sum(c) AS cos, sum(s) AS sin FROM l WHERE i = j GROUP BY 1
+       UNION ALL SELECT graph_id, 2, sum(c), sum(s) FROM two WHERE i = j GROUP BY 1
+       UNION ALL SELECT a.graph_id, 3, sum(a.c * b.c), sum(a.s * b.s) FROM two a JOIN l b ON a.graph_id = b.graph_id AND a.j = b.i AND a.i = b.j GROUP BY 1)
+SELECT graph_id, {MOMENT_SQL} FROM t GROUP BY graph_id""")
+def spectrum_moments(spark, d):
+    """Sums of the eigenvalues, their squares and cubes: the traces of L, L^2 and L^3."""
+    e, sizes = ordered(spark, d)
+    s = G.spectra(e, sizes.where("n_nodes > 1"), k=64, skip=0)
+    total = lambda c, p: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(p)))
+    return s.select("graph_id", *[F.round(total(f"ev_{c}", p), 5).alias(f"{c}_{p}") for c in ("cos", "sin") for p in (1, 2, 3)])
+
+
+def part_graphs(spark, d):
+    """Four branched graphs with cycles: the parts that suppliers ship, linked where they follow each other in an order."""
+    n = nodes(spark, d).select("graph_id", "node", "l_quantity", "part")
+    after = n.select("graph_id", (F.col("node") - 1).alias("node"), F.col("part").alias("other"))
+    links = n.join(after, ["graph_id", "node"]).select((F.col("graph_id") % 4).alias("graph_id"), F.col("part").alias("u"), F.col("other").alias("v"),
+                                                       (F.col("l_quantity") / 10).alias("w"))
+    e = materialize(G.simple_edges(links), "links")
+    both = e.select("graph_id", F.col("u").alias("part")).union(e.select("graph_id", "v")).distinct()
+    at = materialize(group_row_number(both, ["graph_id"], [F.asc("part")], "pos"), "places").withColumn("pos", F.col("pos") - 1)
+    end = lambda c: at.select("graph_id", F.col("part").alias(c), F.col("pos").alias(f"p{c}"))
+    placed = e.join(end("u"), ["graph_id", "u"]).join(end("v"), ["graph_id", "v"]).select(
+        "graph_id", F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"), "w")
+    return placed, at.groupBy("graph_id").agg(F.count(F.lit(1)).cast("int").alias("n_nodes"))
+
+
+@query("large_spectrum")
+def large_spectrum(spark, d):
+    """Low eigenvalues of graphs of hundreds to thousands of nodes, each within its residual."""
+    e, sizes = part_graphs(spark, d)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.5f", x)), ",").alias(c)
+    return G.spectra(e, sizes).select("graph_id", "n_nodes", "error", (F.coalesce("residual", F.lit(0.0)) < 1e-4).alias("settled"),
+                                      text("ev_cos"), text("ev_sin"))
+
+
 def raw(spark, d):
     n = materialize(nodes(spark, d).select("graph_id", "node", "atomic", "rank", "l_quantity", "l_returnflag", "label"), "nodes")
     e, sizes = materialize(edges_of(n), "edges"), G.graph_sizes(n)

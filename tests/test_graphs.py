@@ -151,3 +151,37 @@ def test_graphs_without_spectra_keep_their_row(spark, random_graphs):
     rows = {r.graph_id: r.vec for r in G.graph_vector(G.raw_vectors(part, part), "full", 16).collect()}
     assert {g: v is None for g, v in rows.items()} == {g: n > 5 for g, (n, _) in random_graphs.items()}
     assert all(len(v) == 16 for v in rows.values() if v is not None)
+
+
+# ------------------------------------------------------------ large graphs
+
+def sparse_cases():
+    rng = np.random.default_rng(3)
+    grid = [(i * 15 + j, i * 15 + j + 1, 1.0) for i in range(15) for j in range(14)] + [
+        (i * 15 + j, (i + 1) * 15 + j, 2.0) for i in range(14) for j in range(15)]
+    mixed = [(int(min(i, j)), int(max(i, j)), float(rng.normal())) for i in range(400) for j in rng.integers(0, 400, 2) if i != j]
+    return {"path": (600, [(i, i + 1, 1.0) for i in range(599)]), "grid": (225, grid), "signed": (400, mixed),
+            "star": (300, [(0, i, 1.0) for i in range(1, 300)]), "islands": (250, [(0, 1, 1.0), (2, 3, 4.0)]), "bare": (220, []),
+            "tiny": (1, []), "pair": (2, [(0, 1, 3.0)])}
+
+
+@pytest.mark.parametrize("name", list(sparse_cases()))
+def test_filtered_iteration_matches_dense_solver(name):
+    n, es = sparse_cases()[name]
+    u, v, w = (np.array([e[i] for e in es], dtype=t) for i, t in ((0, np.int64), (1, np.int64), (2, float)))
+    got, residual = G._low_eigenvalues_sparse(n, u, v, w, 8)
+    want = np.linalg.eigvalsh(laplacian(n, es))[min(1, n - 1):][:8]
+    assert got == pytest.approx(want.tolist(), abs=1e-6) and residual < 1e-6
+
+
+def test_large_graphs_are_solved_from_their_edges(spark):
+    graphs = {i: g for i, g in enumerate(sparse_cases().values())}
+    edges, sizes = tables(spark, graphs)
+    rows = {r.graph_id: r for r in G.spectra(edges, sizes, dense_nodes=210).collect()}
+    for g, (n, es) in graphs.items():
+        assert rows[g].error is None and (rows[g].residual is not None) == (n > 210)
+        for side, got in (("cos", rows[g].ev_cos), ("sin", rows[g].ev_sin)):
+            want = np.linalg.eigvalsh(laplacian(n, phased(n, es, side)))[min(1, n - 1):][:8]
+            assert got == pytest.approx(want.tolist(), abs=1e-6)
+    few = {r.graph_id: r.error for r in G.spectra(edges, sizes, dense_nodes=210, max_edges=500).collect()}
+    assert {g for g, e in few.items() if e} == {g for g, (n, es) in graphs.items() if n > 210 and len(es) > 500}
