@@ -190,8 +190,8 @@ def hill_climb(entities: DataFrame, scores: DataFrame, max_iter: int = 5, eps: f
     """Climb from every entity at once; one trace row per seed and iteration.
 
     Iteration 0 moves to the best form of the class, later ones to the best
-    single flip. A seed stops once its gain is below ``eps``. Seeds that stand on
-    the same form share one move, so the moves table has one row per form.
+    single flip. A seed stops once its gain is below ``eps``. The moves table has one
+    row per form; a step is one join with it, and all steps are one plan.
     """
     forms = materialize(
         entities.join(scores.select(F.col("entity_id").alias("id"), "score"), "id").select(
@@ -205,23 +205,25 @@ def hill_climb(entities: DataFrame, scores: DataFrame, max_iter: int = 5, eps: f
         F.max_by(F.struct("to_id", "to_score"), F.struct("to_score", (-F.col("to_id")).alias("k"))).alias("m"))
     moves = materialize(step.select(F.col("from_id").alias("at_id"), F.col("m.to_id").alias("to_id"),
                                     F.col("m.to_score").alias("to_score")), "moves")
-    at = forms.select(F.col("id").alias("seed_id"), "class_key", F.col("id").alias("at_id"), F.col("score").alias("at_score"))
-    trace = None
+    # one plan: every seed carries its own trace, a stopped seed stands nowhere and meets no move
+    at = forms.select(F.col("id").alias("seed_id"), "class_key", F.col("id").alias("at_id"), F.col("score").alias("at_score"),
+                      F.array().cast(_steps_type(forms)).alias("steps"))
     for i in range(max_iter):
         options = at.join(first_moves, "class_key", "left") if i == 0 else at.join(moves, "at_id", "left")
         better = F.coalesce(F.col("to_score") > F.col("at_score"), F.lit(False))
-        done = materialize(options.select(
-            "seed_id", "class_key", F.lit(i).alias("iteration"),
-            F.when(better, F.col("to_id")).otherwise(F.col("at_id")).alias("best_id"),
-            F.when(better, F.col("to_score")).otherwise(F.col("at_score")).alias("best_score"),
-            F.when(better, F.col("to_score") - F.col("at_score")).otherwise(F.lit(0.0)).alias("gain"),
-        ), "climb")
-        trace = done if trace is None else trace.unionByName(done)
-        at = done.where(F.col("gain") >= eps).select(
-            "seed_id", "class_key", F.col("best_id").alias("at_id"), F.col("best_score").alias("at_score"))
-        if at.isEmpty():
-            break
-    return trace.drop("class_key")
+        gain = F.when(better, F.col("to_score") - F.col("at_score")).otherwise(F.lit(0.0))
+        done = F.struct(F.lit(i).alias("iteration"), F.when(better, F.col("to_id")).otherwise(F.col("at_id")).alias("best_id"),
+                        F.when(better, F.col("to_score")).otherwise(F.col("at_score")).alias("best_score"), gain.alias("gain"))
+        live = F.col("at_id").isNotNull()
+        at = options.select("seed_id", "class_key", F.when(live, done).alias("d"), "steps").select(
+            "seed_id", "class_key", F.when(F.col("d.gain") >= eps, F.col("d.best_id")).alias("at_id"), F.col("d.best_score").alias("at_score"),
+            F.when(F.col("d").isNotNull(), F.concat("steps", F.array("d"))).otherwise(F.col("steps")).alias("steps"))
+    return at.select("seed_id", F.explode("steps").alias("s")).select("seed_id", "s.*")
+
+
+def _steps_type(forms: DataFrame) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in forms.schema}
+    return f"array<struct<iteration:int,best_id:{kind['id']},best_score:{kind['score']},gain:double>>"
 
 
 def threshold_screen(df: DataFrame, metric: str, threshold: float, hit_type: str, key: str = "id",

@@ -14,6 +14,7 @@ smaller id whatever the order of the additions was.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -287,8 +288,14 @@ def precision_at_k(results: DataFrame, expected: DataFrame, ks=(1, 3)) -> DataFr
 
 
 def projection_matrix(raw_dim: int, nbits: int, seed: int = 42) -> np.ndarray:
-    """Gaussian matrix with unit columns, the same for every run."""
-    m = np.random.RandomState(seed).randn(raw_dim, nbits)
+    """Gaussian matrix with unit columns, the same for every run and in every engine.
+
+    An entry depends on its place alone: the md5 of ``seed:row:column`` (from 0) gives two 32-bit numbers a
+    and b, and the entry is sqrt(-2 ln((a + 1) / 2^32)) cos(2 pi b / 2^32) before its column is scaled.
+    """
+    digests = [hashlib.md5(f"{seed}:{i}:{j}".encode(), usedforsecurity=False).digest() for i in range(raw_dim) for j in range(nbits)]
+    bits = np.frombuffer(b"".join(d[:8] for d in digests), ">u4").astype(float).reshape(raw_dim, nbits, 2) / 2.0**32
+    m = np.sqrt(-2 * np.log(bits[..., 0] + 2.0**-32)) * np.cos(2 * np.pi * bits[..., 1])
     return m / np.linalg.norm(m, axis=0, keepdims=True)
 
 

@@ -414,7 +414,18 @@ def improving_flips(spark, d):
     return P.improving_flips(customer_entities(spark, d), scores).withColumn("delta", F.round("delta", 6))
 
 
-@query("hill_climb")
+@query("hill_climb", """
+WITH RECURSIVE e AS (SELECT s_suppkey AS id, s_suppkey // 4 AS class_key, s_suppkey & 3 AS code, s_acctbal AS score FROM supplier),
+ first AS (SELECT class_key, id AS to_id, score AS to_score FROM e QUALIFY row_number() OVER (PARTITION BY class_key ORDER BY score DESC, id) = 1),
+ moves AS (SELECT x.id AS at_id, y.id AS to_id, y.score AS to_score FROM e x JOIN e y ON x.class_key = y.class_key AND bit_count(xor(x.code, y.code)) = 1
+           QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY y.score DESC, y.id) = 1),
+ climb AS (
+  SELECT e.id AS seed_id, 0 AS iteration, CASE WHEN to_score > score THEN to_id ELSE id END AS best_id, greatest(to_score, score) AS best_score,
+         greatest(to_score - score, 0.0::DOUBLE) AS gain FROM e JOIN first USING (class_key)
+  UNION ALL
+  SELECT seed_id, iteration + 1, CASE WHEN to_score > best_score THEN to_id ELSE best_id END, greatest(to_score, best_score),
+         greatest(coalesce(to_score - best_score, 0), 0.0::DOUBLE) FROM climb LEFT JOIN moves ON at_id = best_id WHERE gain >= 0.01 AND iteration < 4)
+SELECT * FROM climb""")
 def hill_climb(spark, d):
     scores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_acctbal").alias("score"))
     return P.hill_climb(supplier_entities(spark, d), scores)

@@ -182,7 +182,12 @@ def rank_ligands(spark, d):
                          F.when(F.col("distance") == float("inf"), F.col("distance")).otherwise(F.round("distance", 9)).alias("distance"))
 
 
-@query("random_project")
+@query("random_project", f"""
+WITH h AS (SELECT i, j, md5('42:' || i || ':' || j) AS h FROM range({DIM}) a(i), range(32) b(j)),
+ g AS (SELECT i, j, sqrt(-2 * ln((('0x' || h[1:8])::BIGINT + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * (('0x' || h[9:16])::BIGINT / 4294967296.0::DOUBLE)) AS m FROM h),
+ c AS (SELECT j, sqrt(sum(m * m)) AS size FROM g GROUP BY 1),
+ v AS (SELECT vec_id AS entity_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT entity_id, j::INT AS i, round(sum(x * m / size), 9) AS x FROM v JOIN g USING (i) JOIN c USING (j) GROUP BY entity_id, j""")
 def random_project(spark, d):
     rows = S.random_project(vectors(spark, d), "vec", DIM, 32)
     return rows.select("entity_id", F.posexplode("projected").alias("i", "x")).withColumn("x", F.round("x", 9))
