@@ -4,9 +4,12 @@ Three ways to the same result, chosen by checked sizes:
 
 * a small corpus travels to the queries, which then need no shuffle at all;
 * a small set of queries travels to the corpus, and each task keeps its best k;
-* otherwise both sides are cut into cells around pivots. Angles obey the triangle
-  inequality, so a query only visits cells that can hold one of its k nearest.
-  Crowded cells are split into blocks of bounded size.
+* otherwise both sides meet in tiles of bounded bytes. Vectors are rotated so that their
+  first coordinates carry most of their length; a pair is dropped after those when even
+  parallel rests could not lift it to the k-th best that a sample has shown for the query;
+* on request (``way="cells"``), for clustered vectors: both sides are cut into cells around
+  pivots. Angles obey the triangle inequality, so a query only visits cells that can hold
+  one of its k nearest. Crowded cells are split into blocks of bounded size.
 
 Similarities are rounded to 12 digits before ranking, so that ties fall to the
 smaller id whatever the order of the additions was.
@@ -31,6 +34,10 @@ SMALL_ROWS = 2000
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 20_000
 ANGLE_SLACK = 1e-6
+GROUP_BYTES = 64 << 20  # vectors of one side of a tile task
+TILE_ROWS = 1024  # rows per side multiplied at once: 8 MB of products
+SAMPLE_ROWS = 2048  # corpus rows that give each query its first bound
+DOT_SLACK = 1e-9
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -204,9 +211,143 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, schema,
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 
 
+def _rotation(corpus: DataFrame, d: int) -> np.ndarray:
+    """Orthogonal matrix to the axes of the unit vectors' second moments, longest first; d x d numbers reach the driver."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d, d))
+        for pdf in batches:
+            if len(pdf):
+                unit = _unit(_stack(pdf["vec"]))
+                total += unit.T @ unit
+        yield pd.DataFrame({"i": np.arange(d), "v": list(total)})
+
+    cells = corpus.select("vec").mapInPandas(sums, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+    moments = np.zeros((d, d))
+    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(
+            F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s")).select("i", "s.v").collect():
+        moments[r["i"]] = r["v"]
+    return np.linalg.eigh(moments)[1][:, ::-1]
+
+
+class _Tile:
+    """Best ``k`` corpus rows of a block for a block of queries; counts the coordinates it did not multiply."""
+
+    def __init__(self, asking: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
+        self.asking, self.q, self.bound, self.k = asking, q, bound.copy(), k
+        self.head = max(1, q.shape[1] // 2)
+        self.rest = np.sqrt(np.maximum(0.0, (q[:, self.head:] ** 2).sum(1)))
+        self.ids = [np.zeros(0, dtype=object)] * len(q)
+        self.sims = [np.zeros(0)] * len(q)
+        self.pairs = self.skipped = 0
+
+    def meet(self, ids: np.ndarray, e: np.ndarray) -> None:
+        rest = np.sqrt(np.maximum(0.0, (e[:, self.head:] ** 2).sum(1)))
+        for a in range(0, len(self.q), TILE_ROWS):
+            for b in range(0, len(e), TILE_ROWS):
+                self._meet(slice(a, min(a + TILE_ROWS, len(self.q))), ids[b:b + TILE_ROWS], e[b:b + TILE_ROWS], rest[b:b + TILE_ROWS])
+
+    def _meet(self, at: slice, ids: np.ndarray, e: np.ndarray, rest: np.ndarray) -> None:
+        q, h, d = self.q[at], self.head, self.q.shape[1]
+        dots = q[:, :h] @ e[:, :h].T
+        alive = dots + self.rest[at, None] * rest >= self.bound[at, None] - DOT_SLACK
+        self.pairs += alive.size
+        rows = np.flatnonzero(alive.any(1))
+        if not len(rows):
+            self.skipped += alive.size * (d - h)
+            return
+        columns = np.flatnonzero(alive[rows].any(0))
+        part = alive[np.ix_(rows, columns)]
+        if 8 * part.sum() > part.size:  # many pairs left: multiply whole rows
+            self.skipped += (alive.size - part.size) * (d - h)
+            full = dots[np.ix_(rows, columns)] + q[rows, h:] @ e[columns, h:].T
+            i, j = np.nonzero(full >= self.bound[at][rows, None] - DOT_SLACK)
+            value = full[i, j]
+            i, j = rows[i], columns[j]
+        else:
+            i, j = np.nonzero(alive)
+            self.skipped += (alive.size - len(i)) * (d - h)
+            value = dots[i, j] + np.einsum("pd,pd->p", q[i, h:], e[j, h:])
+            keep = value >= self.bound[at][i] - DOT_SLACK
+            i, j, value = i[keep], j[keep], value[keep]
+        starts = np.searchsorted(i, np.arange(len(q) + 1))
+        sims = np.round((np.clip(value, -1.0, 1.0) + 1.0) / 2.0, 12)
+        for row in np.unique(i):
+            own, n = slice(starts[row], starts[row + 1]), at.start + row
+            s, found = np.concatenate([self.sims[n], sims[own]]), np.concatenate([self.ids[n], ids[j[own]]])
+            pos = _best(s, found, self.k)
+            self.sims[n], self.ids[n] = s[pos], found[pos]
+            if len(pos) == self.k:
+                self.bound[n] = max(self.bound[n], 2 * s[pos[-1]] - 1)
+
+    def frame(self, effort: bool) -> pd.DataFrame:
+        if effort:
+            return pd.DataFrame({"pairs": [self.pairs], "skipped": [self.skipped], "coordinates": [self.pairs * self.q.shape[1]]})
+        return _frame(np.repeat(self.asking, [len(x) for x in self.sims]), np.concatenate(self.ids), np.concatenate(self.sims))
+
+
+def _by_tiles(queries: DataFrame, corpus: DataFrame, k: int, schema, pivots: int = 0, block: int = 0, effort: bool = False) -> DataFrame:
+    """Candidates that hold the ``k`` best per query; with ``effort`` the work done per tile task instead."""
+    first = corpus.select(F.size("vec").alias("d")).first()
+    if first is None:
+        return queries.sparkSession.createDataFrame([], schema)
+    d = first["d"]
+    turn = _rotation(corpus, d)
+    sample = corpus.select("vec", F.xxhash64("entity_id").alias("_h")).orderBy("_h").limit(
+        max(k, min(SAMPLE_ROWS, GROUP_BYTES // (8 * d)))).select("vec").toPandas()
+    shown = _unit(_stack(sample["vec"])) @ turn
+    q_type, e_type = (schema[c].dataType.simpleString() for c in ("query_id", "entity_id"))
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                unit = _unit(_stack(pdf["vec"])) @ turn
+                yield pd.DataFrame({"id": pdf["id"], "unit": [row.tobytes() for row in unit]})
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in turned(batches):
+            unit, bound = _joined(pdf["unit"], d), np.full(len(pdf), -2.0)
+            if len(shown) >= k:
+                for a in range(0, len(unit), TILE_ROWS):
+                    bound[a:a + TILE_ROWS] = np.partition(unit[a:a + TILE_ROWS] @ shown.T, len(shown) - k, axis=1)[:, len(shown) - k]
+            yield pdf.assign(bound=bound)
+
+    asked = materialize(queries.select(F.col("query_id").alias("id"), "vec").mapInPandas(bounded, f"id {q_type}, unit binary, bound double"), "asked")
+    stored = materialize(corpus.select(F.col("entity_id").alias("id"), "vec").mapInPandas(turned, f"id {e_type}, unit binary"), "stored")
+    side = max(2, int(np.ceil(queries.sparkSession.sparkContext.defaultParallelism ** 0.5)))
+    parts = lambda df: max(side, -(-df.count() * 8 * d // GROUP_BYTES))
+    nq, ne = parts(asked), parts(stored)
+    piece = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q_part", piece(nq)).withColumn("e_part", copies(ne))
+    right = stored.withColumn("e_part", piece(ne)).withColumn("q_part", copies(nq))
+
+    def meet(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(e):
+            return pd.DataFrame({"pairs": [], "skipped": [], "coordinates": []}) if effort else _frame([], [], [])
+        tile = _Tile(q["id"].to_numpy(), _joined(q["unit"], d), q["bound"].to_numpy(), k)
+        tile.meet(e["id"].to_numpy(), _joined(e["unit"], d))
+        return tile.frame(effort)
+
+    keys = ["q_part", "e_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        meet, "pairs long, skipped long, coordinates long" if effort else schema)
+
+
+def _joined(units: pd.Series, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), d)
+
+
+def search_effort(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Pairs of an exact tile search and the share of their coordinates that were not multiplied, in one row."""
+    queries = queries.where(norm(F.col("vec")) >= ZERO_NORM)
+    corpus = corpus.where(norm(F.col("vec")) >= ZERO_NORM)
+    work = _by_tiles(queries, corpus, k, _result_schema(queries, corpus), effort=True)
+    return work.agg(F.sum("pairs").alias("pairs"), (F.sum("skipped") / F.sum("coordinates")).alias("skipped"))
+
+
 def _without_copies(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, schema,
-                    pivots: int | None, block: int) -> DataFrame:
-    """Cell search over distinct vectors.
+                    pivots: int | None, block: int, search=_by_cells) -> DataFrame:
+    """Search over distinct vectors.
 
     Equal queries share one search, and of equal corpus rows only the smallest
     ids can be among the k best, so copies do not multiply the work.
@@ -214,10 +355,10 @@ def _without_copies(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bo
     need = k + (1 if skip_self else 0)
     few = top_per_group(corpus.select("entity_id", "vec"), ["vec"], [F.asc("entity_id")], need).drop("rank")
     asked = queries.groupBy("vec").agg(F.min("query_id").alias("rep"))
-    if pivots is None:
+    if pivots is None and search is _by_cells:
         # about sqrt(n) / 2 cells, so that cells grow no faster than their number
         pivots = int(min(MAX_PIVOTS, max(8, few.count() ** 0.5 / 2)))
-    found = _by_cells(asked.select(F.col("rep").alias("query_id"), "vec"), few, need, schema, pivots, block)
+    found = search(asked.select(F.col("rep").alias("query_id"), "vec"), few, need, schema, pivots, block)
     best = top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("entity_id")], need).select(
         F.col("query_id").alias("rep"), "entity_id", "similarity")
     out = queries.select("query_id", "vec").join(asked, "vec").select("query_id", "rep").join(best, "rep")
@@ -236,13 +377,13 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool =
     corpus = corpus.where(norm(F.col("vec")) >= ZERO_NORM)
     schema = _result_schema(queries, corpus)
     if way == "auto":
-        way = "corpus" if _fits(corpus) else "queries" if _fits(queries) else "cells"
+        way = "corpus" if _fits(corpus) else "queries" if _fits(queries) else "tiles"
     if way == "corpus":
         found = _small_corpus(queries, corpus, k, skip_self, schema)
     elif way == "queries":
         found = _small_queries(queries, corpus, k, skip_self, schema)
     else:
-        found = _without_copies(queries, corpus, k, skip_self, schema, pivots, block)
+        found = _without_copies(queries, corpus, k, skip_self, schema, pivots, block, _by_cells if way == "cells" else _by_tiles)
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("entity_id")], k)
 
 
@@ -251,11 +392,14 @@ def opposite_sign_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
 
     A best match with sign 0 gives no result.
     """
-    best = cosine_topk(queries, corpus, 1).join(corpus.select("entity_id", "sign"), "entity_id").select(
-        "query_id", F.col("sign").alias("best_sign"))
-    plus = cosine_topk(queries, corpus.where(F.col("sign") > 0), k).withColumn("side", F.lit(1.0))
-    minus = cosine_topk(queries, corpus.where(F.col("sign") < 0), k).withColumn("side", F.lit(-1.0))
-    return plus.unionByName(minus).join(best, "query_id").where(F.col("side") * F.col("best_sign") < 0).select(
+    # each corpus row is searched once: with its sign's rows, and for the best match only if it has none
+    sign = F.coalesce("sign", F.lit(0.0))
+    of = lambda rows, k, side: cosine_topk(queries, rows, k).withColumn("side", F.lit(side))
+    found = of(corpus.where(sign > 0), k, 1.0).unionByName(of(corpus.where(sign < 0), k, -1.0))
+    found = materialize(found.unionByName(of(corpus.where(sign == 0), 1, 0.0)), "sides")
+    best = first_per_group(found.select("query_id", (-F.col("similarity")).alias("s"), "entity_id", F.col("side").alias("best_side")),
+                           ["query_id"], ["s", "entity_id"]).select("query_id", "best_side")
+    return found.join(best, "query_id").where(F.col("side") * F.col("best_side") < 0).select(
         "query_id", "entity_id", "similarity", "rank")
 
 

@@ -112,6 +112,20 @@ def nearest_of_all(spark, d):
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
+@query("nearest_in_tiles", f"""
+WITH {ALL_CTE} SELECT query_id, entity_id, rank, round(similarity, 9) AS similarity FROM r WHERE rank <= 3""")
+def nearest_in_tiles(spark, d):
+    """As ``nearest_of_all``, through tiles with bounds from the first coordinates."""
+    found = S.cosine_topk(self_queries(spark, d), vectors(spark, d), 3, skip_self=True, way="tiles")
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("search_effort")
+def search_effort(spark, d):
+    """What the tile search of every vector against all multiplies and skips."""
+    return S.search_effort(self_queries(spark, d), vectors(spark, d), 3).select("pairs", F.round("skipped", 4).alias("skipped"))
+
+
 @query("novelty", f"WITH {ALL_CTE} SELECT query_id, round(1 - similarity, 9) AS novelty FROM r WHERE rank = 1")
 def novelty(spark, d):
     return S.novelty(self_queries(spark, d), vectors(spark, d), skip_self=True).withColumn("novelty", F.round("novelty", 9))

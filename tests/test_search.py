@@ -28,7 +28,7 @@ def test_opposite_sign(spark, store):
     assert S.opposite_sign_topk(ask(spark, HALF), store, 5).count() == 0  # best match has sign 0
 
 
-@pytest.mark.parametrize("way", ["auto", "corpus", "queries"])
+@pytest.mark.parametrize("way", ["auto", "corpus", "queries", "tiles"])
 def test_empty_store_and_zero_query(spark, store, way):
     assert S.cosine_topk(ask(spark, ONE), store.where("false"), 3, way=way).count() == 0
     assert S.cosine_topk(ask(spark, [0.0] * 128), store, 3, way=way).count() == 0
@@ -39,7 +39,7 @@ def test_novelty_without_corpus(spark, store):
     assert S.novelty(ask(spark, ONE), store).first().novelty == pytest.approx(0.0)
 
 
-@pytest.mark.parametrize("way", ["corpus", "queries", "cells"])
+@pytest.mark.parametrize("way", ["corpus", "queries", "cells", "tiles"])
 @pytest.mark.parametrize("skip_self", [False, True])
 def test_all_ways_match_brute_force(spark, way, skip_self):
     """Clustered vectors, a third of them copies of one vector, and blocks far smaller than the cells."""
@@ -72,3 +72,40 @@ def test_precision(spark):
     expected = spark.createDataFrame([(1, 2), (2, 1), (3, 4)], "query_id long, expected_id long")
     p = S.precision_at_k(results, expected).first()
     assert p.precision_at_1 == pytest.approx(1 / 3) and p.precision_at_3 == pytest.approx(2 / 3)
+
+
+def test_tiles_skip_on_vectors_with_few_directions(spark):
+    """Eight of 48 directions carry nearly all length: most pairs end after the first coordinates."""
+    rng = np.random.RandomState(2)
+    m = rng.randn(900, 48) * np.r_[np.ones(8), np.full(40, 0.05)]
+    turn = np.linalg.qr(rng.randn(48, 48))[0]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m @ turn)], "entity_id long, vec array<double>")
+    queries = corpus.select(F.col("entity_id").alias("query_id"), "vec")
+    effort = S.search_effort(queries, corpus, 5).first()
+    assert effort.pairs == 900 * 900 and effort.skipped > 0.4
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.sort(np.round((u @ u.T + 1) / 2, 9), axis=1)[:, ::-1][:, :5]
+    got = S.cosine_topk(queries, corpus, 5, way="tiles").orderBy("query_id", "rank").toPandas()
+    assert np.allclose(got.similarity.to_numpy().reshape(900, 5), want, atol=2e-9)
+
+
+def test_tile_memory_is_bounded(monkeypatch):
+    """Products never exceed the tile, whatever the block of vectors."""
+    monkeypatch.setattr(S, "TILE_ROWS", 16)
+    rng = np.random.RandomState(3)
+    q, e = (S._unit(rng.randn(n, 6)) for n in (50, 70))
+    tile = S._Tile(np.arange(50), q, np.full(50, -2.0), 4)
+    sizes, met = [], S._Tile._meet
+    monkeypatch.setattr(S._Tile, "_meet", lambda self, at, ids, rows, rest: (sizes.append((at.stop - at.start) * len(rows)), met(self, at, ids, rows, rest)))
+    tile.meet(np.arange(70), e)
+    assert max(sizes) <= 16 * 16 and tile.pairs == 50 * 70
+    sims = np.round((np.clip(q @ e.T, -1, 1) + 1) / 2, 12)
+    for i in range(50):
+        assert tile.ids[i].tolist() == np.lexsort((np.arange(70), -sims[i]))[:4].tolist()
+
+
+def test_best_match_without_sign_among_signed_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 1.0), (2, [0.9, 0.1], None), (3, [0.0, 1.0], -1.0)], VEC)
+    ask_two = spark.createDataFrame([(1, [0.9, 0.1]), (2, [1.0, 0.0])], "query_id long, vec array<double>")
+    got = S.opposite_sign_topk(ask_two, rows, 2).collect()
+    assert [(r.query_id, r.entity_id, r.rank) for r in got] == [(2, 3, 1)]
