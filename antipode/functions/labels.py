@@ -74,6 +74,25 @@ def flipped_codes(code: Column, max_flips: int, with_mirror: bool = True) -> Col
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def with_single_flips(code: Column) -> Column:
+    """The code itself and every code that differs from it in one position."""
+    n = F.length(code)
+    return F.when(n > 0, F.concat(F.array(code), F.transform(F.sequence(F.lit(1), n), lambda p: _flip(code, p)))).otherwise(F.array(code))
+
+
+def code_distance(a: Column, b: Column) -> Column:
+    """Number of positions in which two codes of one length differ."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))),
+                           lambda p: F.substring(a, p, F.lit(1)) != F.substring(b, p, F.lit(1))))
+
+
+def code_chunk(code: Column, i: Column, chunks: int) -> Column:
+    """The ``i``-th of ``chunks`` runs of positions of about equal length, from 0."""
+    n = F.length(code)
+    start = F.floor(i * n / chunks).cast("int")
+    return F.substring(code, start + 1, F.floor((i + 1) * n / chunks).cast("int") - start)
+
+
 def common_differences(labels_a: Column, labels_b: Column) -> tuple[Column, Column]:
     """(number of shared positions, number of them with different labels)."""
     a, b = F.map_from_entries(labels_a), F.map_from_entries(labels_b)

@@ -1,12 +1,14 @@
 """Pair discovery: entities of one class whose label maps oppose each other.
 
-Pairs are never found by comparing all members of a class. Each form looks up
-the exact label codes it can be paired with, so the work follows the number of
-result rows and the join key is as fine as (class, sites, code).
+Unless all pairs of a class are asked for, they are not found by comparing its members.
+Each form looks up the label codes it can be paired with, or chunks of long codes, so the
+work follows the number of result rows and the join key is as fine as (class, sites, code).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,34 +77,81 @@ def _uneven_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("a"), side("b")
 
 
+#: Most codes a form may look up one by one; longer codes are looked up by chunks.
+MAX_LOOKUPS = 256
+
+
+def _longest_looked_up(max_flips: int) -> int:
+    """Longest code with at most ``MAX_LOOKUPS`` codes in 1..max_flips flips."""
+    n = 0
+    while sum(math.comb(n + 1, i) for i in range(1, min(max_flips, n + 1) + 1)) <= MAX_LOOKUPS:
+        n += 1
+        if n > MAX_LOOKUPS:
+            break
+    return n
+
+
+def _by_codes(left: DataFrame, right: DataFrame, keys: list[str], max_flips: int) -> DataFrame:
+    """Each form asks for the codes it can be paired with: its mirror code, and one per set of flipped positions."""
+    wanted = L.flipped_codes(F.col("code"), max_flips)
+    asked = left.select(*keys, F.col("id").alias("x_id"), F.length("code").alias("n_shared"),
+                        F.explode(wanted).alias("w")).select(
+        *keys, "x_id", "n_shared", F.col("w.flips").alias("n_flips"), F.col("w.code").alias("code"))
+    return asked.join(right.select(*keys, "code", F.col("id").alias("y_id")), [*keys, "code"])
+
+
+def _by_chunks(left: DataFrame, right: DataFrame, keys: list[str], max_flips: int) -> DataFrame:
+    """Partially inverted pairs of long codes.
+
+    Of (max_flips + 2) // 2 chunks, two codes with at most ``max_flips`` differences have one with at most one
+    difference. A form asks for each chunk and its single flips: some n rows instead of one per set of flips.
+    A pair that meets in several chunks counts in the first.
+    """
+    chunks = (max_flips + 2) // 2
+    numbered = lambda df, name: df.select(*keys, F.col("id").alias(f"{name}_id"), F.col("code").alias(f"{name}_code"),
+                                          F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    asked = numbered(left, "x").withColumn("part", F.explode(L.with_single_flips(L.code_chunk(F.col("x_code"), F.col("chunk"), chunks))))
+    stored = numbered(right, "y").withColumn("part", L.code_chunk(F.col("y_code"), F.col("chunk"), chunks))
+    met = asked.join(stored, [*keys, "chunk", "part"])
+    near = lambda i: L.code_distance(L.code_chunk(F.col("x_code"), i, chunks), L.code_chunk(F.col("y_code"), i, chunks)) <= 1
+    earlier = F.filter(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: (i < F.col("chunk")) & near(i))
+    flips = met.where(F.size(earlier) == 0).withColumn("n_shared", F.length("x_code")).withColumn(
+        "n_flips", L.code_distance(F.col("x_code"), F.col("y_code")))
+    return flips.where(F.col("n_flips").between(1, max_flips) & (F.col("n_flips") < F.col("n_shared"))).drop("chunk", "part", "x_code", "y_code")
+
+
+def _all_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of different codes: all that share the keys belong to the result, so the join is as large as it is."""
+    met = left.select(*keys, F.col("id").alias("x_id"), F.col("code").alias("x_code")).join(
+        right.select(*keys, F.col("id").alias("y_id"), F.col("code").alias("y_code")), keys).where(
+        (F.col("x_code") != F.col("y_code")) & (F.length("x_code") > 0))
+    return met.withColumn("n_shared", F.length("x_code")).withColumn("n_flips", L.code_distance(F.col("x_code"), F.col("y_code")))
+
+
 def related_pairs(entities: DataFrame, max_flips: int | None = None, uneven_sites: bool = True) -> DataFrame:
     """Pairs of distinct forms in one class, with their relationship.
 
     All pairs are found, for whatever number of sites the data has. A number for ``max_flips``
     asks for less: mirror pairs (all shared labels differ) and the pairs that differ in
-    1..max_flips of their shared positions. Each form looks
-    up its flipped codes in an equi-join, so no other pair is ever formed.
+    1..max_flips of their shared positions. These are looked up by code or, where that would be many
+    codes, by chunks of the code, so no other pair is formed in number.
     Output: class_key, a_id, b_id (a first), relationship, n_flips.
     """
     forms = distinct_forms(with_defined_labels(entities))
-    if max_flips is None:
-        max_flips = max(0, (forms.agg(F.max(F.length("code"))).first()[0] or 1) - 1)
-    wanted = L.flipped_codes(F.col("code"), max_flips)
+    cols = ["class_key", "x_id", "y_id", "n_shared", "n_flips"]
 
     def look_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        asked = left.select(*keys, F.col("id").alias("x_id"), F.length("code").alias("n_shared"),
-                            F.explode(wanted).alias("w")).select(
-            *keys, "x_id", "n_shared", F.col("w.flips").alias("n_flips"), F.col("w.code").alias("code"))
-        return asked.join(right.select(*keys, "code", F.col("id").alias("y_id")), [*keys, "code"])
-
-    even = look_up(forms, forms, ["class_key", "n_centers", "sites"]).where(F.col("x_id") < F.col("y_id"))
-    cols = ["class_key", "x_id", "y_id", "n_shared", "n_flips"]
-    found = even.select(*cols)
+        if max_flips is None:
+            return _all_of(left, right, keys).select(*cols)
+        short = F.length("code") <= _longest_looked_up(max_flips)
+        return _by_codes(left.where(short), right.where(short), keys, max_flips).select(*cols).unionByName(
+            _by_codes(left.where(~short), right.where(~short), keys, 0).select(*cols)).unionByName(
+            _by_chunks(left.where(~short), right.where(~short), keys, max_flips).select(*cols))
+
+    found = look_up(forms, forms, ["class_key", "n_centers", "sites"]).where(F.col("x_id") < F.col("y_id"))
     if uneven_sites:
         left, right = _uneven_forms(forms)
-        found = found.unionByName(
-            look_up(left, right, ["class_key", "n_centers", "sites_a", "sites_b"]).select(*cols)
-        )
+        found = found.unionByName(look_up(left, right, ["class_key", "n_centers", "sites_a", "sites_b"]))
     return found.select(
         "class_key",
         F.least("x_id", "y_id").alias("a_id"),

@@ -66,6 +66,22 @@ def enumerate_pairs(spark, d):
     return P.related_pairs(customer_entities(spark, d), max_flips=2)
 
 
+@query("near_code_pairs", """
+WITH c AS (SELECT c_custkey AS id, c_nationkey::BIGINT AS class_key, (c_custkey * 2654435761) & 1048575 AS code FROM customer),
+ f AS (SELECT class_key, code, min(id) AS id FROM c GROUP BY ALL)
+SELECT x.class_key, least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id, bit_count(xor(x.code, y.code))::INT AS n_flips,
+       CASE WHEN bit_count(xor(x.code, y.code)) = 20 THEN 'enantiomer' ELSE 'diastereomer' END AS relationship
+FROM f x JOIN f y ON x.class_key = y.class_key AND x.code < y.code AND (bit_count(xor(x.code, y.code)) <= 5 OR xor(x.code, y.code) = 1048575)""")
+def near_code_pairs(spark, d):
+    """Mirror pairs and pairs within five flips over twenty sites, by chunks of the codes."""
+    key = F.col("c_custkey")
+    bits = (key * F.lit(2654435761)).bitwiseAND(F.lit(1048575).cast("long"))
+    forms = table(spark, d, "customer").select(
+        key.alias("id"), bits.cast("string").alias("canonical"), F.col("c_nationkey").cast("long").alias("class_key"),
+        F.lit(20).alias("n_centers"), bit_labels(bits, 20).alias("labels"))
+    return P.related_pairs(forms, max_flips=5, uneven_sites=False)
+
+
 @query("mirror_pairs", f"""
 WITH forms AS ({CUSTOMER_FORMS_SQL})
 SELECT x.class_key, least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id

@@ -111,3 +111,42 @@ def test_all_pairs_by_default(spark):
     frame_ = spark.createDataFrame(rows, "id string, canonical string, class_key string, n_centers int, labels array<struct<pos:int,label:string>>")
     assert P.related_pairs(frame_).count() == 28
     assert P.related_pairs(frame_, max_flips=0).count() == 4
+
+
+def many_sites(n_sites, n, seed, near):
+    """Codes over many sites: random ones, and ones a few flips away from them, at one class."""
+    rng = random.Random(seed)
+    codes = []
+    while len(codes) < n:
+        code = [rng.choice("RS") for _ in range(n_sites)] if not codes or rng.random() > near else list(rng.choice(codes))
+        for p in rng.sample(range(n_sites), rng.randint(0, 4)):
+            code[p] = "R" if code[p] == "S" else "S"
+        codes.append("".join(code))
+    codes += ["".join("RS"[c == "R"] for c in codes[0])]
+    return [{"id": f"m{i:03d}", "canonical": f"{c}{i % 2}", "class": "k", "n": 3, "labels": dict(enumerate(c))} for i, c in enumerate(codes)]
+
+
+@pytest.mark.parametrize("max_flips", [1, 2, 3, 4])
+def test_many_sites_by_chunks(spark, max_flips):
+    """40 sites: 10,700 codes within three flips, of which none is built."""
+    entities = many_sites(40, 60, max_flips, 0.8)
+    code = {e["id"]: e["labels"] for e in entities}
+    distance = lambda a, b: sum(code[a][p] != code[b][p] for p in range(40))
+    want = {(a, b, rel, distance(a, b)) for a, b, rel in brute(entities) if rel == "enantiomer" or distance(a, b) <= max_flips}
+    got = [(r.a_id, r.b_id, r.relationship, r.n_flips) for r in P.related_pairs(frame(spark, entities), max_flips=max_flips).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(rel == "enantiomer" for _, _, rel, _ in got) and len(got) > 5
+
+
+def test_all_pairs_of_many_sites(spark):
+    entities = many_sites(45, 25, 9, 0.5)
+    got = {(r.a_id, r.b_id, r.relationship) for r in P.related_pairs(frame(spark, entities)).collect()}
+    assert got == brute(entities)
+
+
+def test_chunks_and_codes_agree(spark, monkeypatch):
+    entities = random_entities(True, 7)
+    want = {tuple(r) for r in P.related_pairs(frame(spark, entities), max_flips=2).collect()}
+    monkeypatch.setattr(P, "MAX_LOOKUPS", 3)
+    assert P._longest_looked_up(2) == 2
+    assert {tuple(r) for r in P.related_pairs(frame(spark, entities), max_flips=2).collect()} == want
