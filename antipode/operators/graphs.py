@@ -35,6 +35,8 @@ CHIRAL_THRESHOLD = 0.003
 DENSE_NODES = 512
 MAX_NODES = 1_000_000
 MAX_EDGES = 4_000_000
+# Numbers per array while several small graphs are shifted and solved together.
+SHIFTED_CELLS = 2_000_000
 
 
 def edge_weight(bond_type: Column) -> Column:
@@ -323,6 +325,19 @@ def graph_vector(raw: DataFrame, which: str = "full", nbits: int = 128, k: int =
     return random_project(raw, which, dims[which], nbits, "vec").select("graph_id", "vec")
 
 
+def _shifts(edges: DataFrame, positions: DataFrame, centers: DataFrame) -> DataFrame:
+    """``shifted_order_per_center`` with the position ``base`` each node comes from."""
+    around = both_directions(edges).select("graph_id", F.col("node").alias("center"), F.col("neighbour").alias("node")).join(
+        centers, ["graph_id", "center"]).join(positions, ["graph_id", "node"])
+    placed = group_row_number(around.select("graph_id", "center", "node", "pos"), ["graph_id", "center"], [F.asc("pos")], "i")
+    size = placed.groupBy("graph_id", "center").agg(F.count(F.lit(1)).alias("k"))
+    asked = placed.join(size.where(F.col("k") >= 2), ["graph_id", "center"]).select(
+        "graph_id", "center", "node", F.col("pos").alias("base"), "i", F.col("k"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("shift")).select(
+        "graph_id", "center", "shift", "node", "base", "k", (F.pmod(F.col("i") - 1 - F.col("shift"), F.col("k")) + 1).alias("i"))
+    slots = placed.select("graph_id", "center", "i", "pos")
+    return asked.join(slots, ["graph_id", "center", "i"]).select("graph_id", "center", "shift", "node", "base", "pos", "k")
+
+
 def shifted_order_per_center(edges: DataFrame, positions: DataFrame, centers: DataFrame) -> DataFrame:
     """Cyclic shift of the neighbours' positions of each center, in both directions.
 
@@ -330,15 +345,83 @@ def shifted_order_per_center(edges: DataFrame, positions: DataFrame, centers: Da
     row. Output: graph_id, center, shift, node, pos (moved nodes only), and the
     number ``k`` of neighbours.
     """
-    around = both_directions(edges).select("graph_id", F.col("node").alias("center"), F.col("neighbour").alias("node")).join(
-        centers, ["graph_id", "center"]).join(positions, ["graph_id", "node"])
-    placed = group_row_number(around.select("graph_id", "center", "node", "pos"), ["graph_id", "center"], [F.asc("pos")], "i")
-    size = placed.groupBy("graph_id", "center").agg(F.count(F.lit(1)).alias("k"))
-    asked = placed.join(size.where(F.col("k") >= 2), ["graph_id", "center"]).select(
-        "graph_id", "center", "node", "i", F.col("k"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("shift")).select(
-        "graph_id", "center", "shift", "node", "k", (F.pmod(F.col("i") - 1 - F.col("shift"), F.col("k")) + 1).alias("i"))
-    slots = placed.select("graph_id", "center", "i", "pos")
-    return asked.join(slots, ["graph_id", "center", "i"]).select("graph_id", "center", "shift", "node", "pos", "k")
+    return _shifts(edges, positions, centers).drop("base")
+
+
+def _phased(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``phase_weights`` on arrays."""
+    delta = np.log(u + 1.0) - np.log(v + 1.0) + np.where(v - u > n * TWIST_SHARE, np.pi, 0.0)
+    return np.cos(OMEGA * delta) * w * COUPLING, np.sin(OMEGA * delta) * w * COUPLING * COUPLING
+
+
+def _low_of_systems(sizes: np.ndarray, system: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, k: int) -> list[np.ndarray]:
+    """Low eigenvalues of many graphs given as one edge list, sorted by ``system``; graphs of one size are solved together."""
+    out: list[np.ndarray] = [np.empty(0)] * len(sizes)
+    ends = np.searchsorted(system, np.arange(len(sizes) + 1))
+    for n in np.unique(sizes).tolist():
+        members = np.flatnonzero(sizes == n)
+        step = 1 if n > DENSE_NODES else max(1, 4_000_000 // (n * n))
+        for i in range(0, len(members), step):
+            part = members[i:i + step]
+            if n > DENSE_NODES:
+                at = slice(ends[part[0]], ends[part[0] + 1])
+                out[part[0]] = _low_eigenvalues_sparse(n, u[at], v[at], w[at], k)[0]
+                continue
+            counts = ends[part + 1] - ends[part]
+            at = np.repeat(ends[part] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            slot, a, b, x = np.repeat(np.arange(len(part)), counts), u[at], v[at], w[at]
+            m = np.zeros((len(part), n, n))
+            np.add.at(m, (slot, a, b), -x)
+            np.add.at(m, (slot, b, a), -x)
+            np.add.at(m, (slot, a, a), np.abs(x))
+            np.add.at(m, (slot, b, b), np.abs(x))
+            first = min(1, n - 1)
+            for j, values in zip(part.tolist(), np.linalg.eigvalsh(m)[:, first:first + k]):
+                out[j] = values
+    return out
+
+
+class _Shifted:
+    """Asymmetry of several graphs under their own numbering and under every shift of their centers, as flat arrays."""
+
+    def __init__(self, sizes: np.ndarray, u, v, w, center, shift, base, pos):
+        flat = lambda lists, kind: np.concatenate([np.asarray(x, kind) for x in lists])
+        edges = np.array([len(x) for x in u])
+        graph = np.repeat(np.arange(len(sizes)), [len(x) for x in center])
+        self.center = flat(center, object if isinstance(center[0][0], str) else np.asarray(center[0]).dtype)
+        turn = flat(shift, np.int64)
+        new = np.r_[True, (graph[1:] != graph[:-1]) | (self.center[1:] != self.center[:-1]) | (turn[1:] != turn[:-1])]
+        variant = np.cumsum(new) - 1
+        self.variant_graph, self.center = graph[new], self.center[new]
+        # systems: the graphs as they are, then their variants
+        of = np.concatenate([np.arange(len(sizes)), self.variant_graph])
+        self.sizes = sizes[of]
+        start = np.cumsum(self.sizes) - self.sizes
+        order = np.arange(self.sizes.sum()) - np.repeat(start, self.sizes)
+        order[start[len(sizes) + variant] + flat(base, np.int64)] = flat(pos, np.int64)
+        count = edges[of]
+        self.system = np.repeat(np.arange(len(of)), count)
+        at = np.repeat((np.cumsum(edges) - edges)[of] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        a, b = (order[start[self.system] + flat(x, np.int64)[at]] for x in (u, v))
+        self.lo, self.hi, self.weight = np.minimum(a, b), np.maximum(a, b), flat(w, float)[at]
+
+    def scores(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(graph, center, change of asymmetry) per variant."""
+        sides = [_low_of_systems(self.sizes, self.system, self.lo, self.hi, x, k)
+                 for x in _phased(self.lo, self.hi, self.weight, self.sizes[self.system])]
+        asym = np.empty(len(self.sizes))
+        lengths = np.array([len(x) for x in sides[0]])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            asym[at] = _asymmetries(*(np.array([side[i] for i in at]).reshape(len(at), n) for side in sides))
+        graphs = len(self.sizes) - len(self.center)
+        return self.variant_graph, self.center, np.abs(asym[graphs:] - asym[self.variant_graph])
+
+
+def _asymmetries(cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
+    """``spectral_asymmetry`` of each row."""
+    size = (np.abs(cos) + np.abs(sin)).sum(1)
+    return np.where(size < Z.EMPTY, 0.0, np.abs(cos - sin).sum(1) / np.where(size < Z.EMPTY, 1.0, size))
 
 
 def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame, labels: DataFrame,
@@ -346,30 +429,46 @@ def center_scores(nodes_sizes: DataFrame, edges: DataFrame, positions: DataFrame
     """How far each center's shift moves the spectral asymmetry: the larger of both directions.
 
     ``labels``: graph_id, node, label. Output per center: score, is_chiral,
-    confidence, sign.
+    confidence, sign. A graph travels once, as its edges and the moves of its centers; each
+    shifted numbering is applied where the graph is solved.
     """
     small = nodes_sizes.where(F.col("n_nodes") <= max_nodes)
     edges = without_crowded(edges, nodes_sizes, max_nodes)
-    shifted_nodes = shifted_order_per_center(
-        edges, positions,
-        labels.select("graph_id", F.col("node").alias("center")))
-    # two neighbours swap either way, so one direction is enough; the table is read three times below
-    moved = materialize(shifted_nodes.where((F.col("shift") == 1) | (F.col("k") > 2)), "moved")
-    variants = moved.select("graph_id", "center", "shift").distinct()
-    keys = ["graph_id", "center", "shift"]
-    at = lambda end: moved.select(*keys, F.col("node").alias(end), F.col("pos").alias(f"m_{end}"))
-    base_at = lambda end: positions.select("graph_id", F.col("node").alias(end), F.col("pos").alias(f"b_{end}"))
-    based = edges.join(base_at("u"), ["graph_id", "u"]).join(base_at("v"), ["graph_id", "v"])
-    # each variant renumbers the edges of its own graph, which has at most max_nodes nodes
-    changed = based.join(variants, "graph_id").join(at("u"), [*keys, "u"], "left").join(at("v"), [*keys, "v"], "left")
-    pu, pv = F.coalesce("m_u", "b_u"), F.coalesce("m_v", "b_v")
-    shifted_edges = changed.select(*keys, F.least(pu, pv).alias("u"), F.greatest(pu, pv).alias("v"), "w")
-    asym = lambda df: df.withColumn("asym", Z.spectral_asymmetry(F.col("ev_cos"), F.col("ev_sin"))[0])
-    base = asym(_solved(reorder_edges(edges, positions), small, ["graph_id"], k)).select("graph_id", F.col("asym").alias("base_asym"))
-    shifted = asym(_solved(shifted_edges, variants.join(small, "graph_id"), keys, k))
-    # both spectra are solved once: the join needs their asymmetry only
-    best = shifted.join(base, "graph_id").groupBy("graph_id", "center").agg(
-        F.max(F.abs(F.col("asym") - F.col("base_asym"))).alias("score"))
+    shifts = _shifts(edges, positions, labels.select("graph_id", F.col("node").alias("center")))
+    # a graph with many centers is solved in several parts of them, each with its edges
+    parts = small.join(labels.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_c")), "graph_id").select(
+        "graph_id", "n_nodes", F.ceil(8.0 * F.col("_c") * F.col("n_nodes") / SHIFTED_CELLS).alias("_parts"))
+    # two neighbours swap either way, so one direction is enough
+    moved = shifts.where((F.col("shift") == 1) | (F.col("k") > 2)).join(parts, "graph_id").groupBy(
+        "graph_id", "n_nodes", F.pmod(F.xxhash64("center"), "_parts").alias("_part")).agg(
+        F.array_sort(F.collect_list(F.struct("center", "shift", "base", "pos"))).alias("m"))
+    lists = reorder_edges(edges, positions).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "w"))).alias("e"))
+    ready = moved.join(lists, "graph_id").select(
+        "graph_id", "n_nodes", *[F.col(f"e.{c}").alias(c) for c in ("u", "v", "w")],
+        *[F.col(f"m.{c}").alias(c) for c in ("center", "shift", "base", "pos")])
+    kind = positions.schema["node"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<center:{kind},score:double>>")
+    def solve(n: pd.Series, u: pd.Series, v: pd.Series, w: pd.Series, center: pd.Series, shift: pd.Series, base: pd.Series,
+              pos: pd.Series) -> pd.Series:
+        columns = [x.to_list() for x in (u, v, w, center, shift, base, pos)]
+        sizes = n.to_numpy(np.int64)
+        cost = np.array([(1 + len(c)) * (s + len(e)) for s, e, c in zip(sizes, columns[0], columns[3])], np.int64)
+        block = (np.cumsum(cost) - cost) // SHIFTED_CELLS if len(cost) else cost  # graphs worked together stay within a bounded size
+        out: list = [None] * len(sizes)
+        for at in (np.flatnonzero(block == i) for i in np.unique(block)):
+            graph, centers_, change = _Shifted(sizes[at], *([c[i] for i in at] for c in columns)).scores(k)
+            best = pd.DataFrame({"g": graph, "center": centers_, "score": change}).groupby(["g", "center"], as_index=False)["score"].max()
+            for g, c, x in best.itertuples(index=False, name=None):
+                found = {"center": c, "score": x}
+                if out[at[g]] is None:
+                    out[at[g]] = [found]
+                else:
+                    out[at[g]].append(found)
+        return pd.Series(out, dtype=object)
+
+    best = ready.select("graph_id", F.explode(solve("n_nodes", "u", "v", "w", "center", "shift", "base", "pos")).alias("s")).select(
+        "graph_id", "s.center", "s.score")
     signs = labels.select("graph_id", F.col("node").alias("center"),
                           F.when(F.col("label") == "R", 1.0).when(F.col("label") == "S", -1.0).otherwise(0.0).alias("s"))
     chiral = F.col("score") > threshold

@@ -185,3 +185,18 @@ def test_large_graphs_are_solved_from_their_edges(spark):
             assert got == pytest.approx(want.tolist(), abs=1e-6)
     few = {r.graph_id: r.error for r in G.spectra(edges, sizes, dense_nodes=210, max_edges=500).collect()}
     assert {g for g, e in few.items() if e} == {g for g, (n, es) in graphs.items() if n > 210 and len(es) > 500}
+
+
+def test_centers_in_parts_score_alike(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    es = [(1, int(u), int(v), float(rng.randint(1, 4))) for u, v in itertools.combinations(range(14), 2) if rng.rand() < 0.3]
+    es += [(2, 0, 1, 1.0), (2, 1, 2, 2.0), (2, 1, 3, 1.0)]
+    edges = spark.createDataFrame(es, "graph_id long, u int, v int, w double")
+    nodes = [(g, i) for g, n in ((1, 14), (2, 4)) for i in range(n)]
+    pos = spark.createDataFrame([(g, i, i) for g, i in nodes], "graph_id long, node int, pos int")
+    sizes = spark.createDataFrame([(1, 14), (2, 4)], "graph_id long, n_nodes int")
+    labels = spark.createDataFrame([(g, i, "RS"[i % 2]) for g, i in nodes], "graph_id long, node int, label string")
+    run = lambda: {(r.graph_id, r.center): round(r.score, 9) for r in G.center_scores(sizes, edges, pos, labels).collect()}
+    want = run()
+    monkeypatch.setattr(G, "SHIFTED_CELLS", 300)
+    assert len(want) > 5 and run() == want
