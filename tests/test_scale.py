@@ -31,6 +31,40 @@ def test_quantiles_ignore_null_and_nan(spark):
     assert scale.exact_quantiles(df, "x", {"m": 0.5}).first().m == 2.0
 
 
+@pytest.mark.parametrize("margin", [0.1, 0.0, -0.4])
+def test_quantiles_outside_their_bracket(skewed, monkeypatch, margin):
+    """Coarse sketches and brackets that are too narrow: the group is counted whole."""
+    pdf, df = skewed
+    monkeypatch.setattr(scale, "SKETCH_K", 8)
+    monkeypatch.setattr(scale, "SMALL_GROUP", 0)
+    monkeypatch.setattr(scale, "SKETCH_MARGIN", margin)
+    got = scale.exact_quantiles(df, "x", {"a": 0.2, "b": 0.5, "c": 1.0}, ["g"]).toPandas().set_index("g")
+    want = pdf.groupby("g")["x"].quantile([0.2, 0.5, 1.0]).unstack()
+    for name, p in (("a", 0.2), ("b", 0.5), ("c", 1.0)):
+        assert np.allclose(got[name].sort_index(), want[p].sort_index())
+    assert scale.exact_quantiles(df, "x", {"m": 0.5}).first().m == pytest.approx(pdf.x.median())
+
+
+def test_quantiles_of_a_null_group_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 7.0), ("b", None)], "g string, x double")
+    assert {r.g: r.m for r in scale.exact_quantiles(df, "x", {"m": 0.5}, ["g"]).collect()} == {None: 2.0, "a": 7.0}
+    assert [r.m for r in scale.exact_quantiles(df.where("false"), "x", {"m": 0.5}).collect()] in ([], [None])
+
+
+def test_quantiles_read_the_source_twice(spark, tmp_path):
+    """One scan for the sketches, one for the brackets."""
+    spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x")).write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        reads.add(1)
+        yield from batches
+
+    df = spark.read.parquet(str(tmp_path / "t")).coalesce(1).mapInPandas(count, "x double")
+    assert scale.exact_quantiles(df, "x", {"m": 0.5}).first().m == 499.5
+    assert reads.value == 2
+
+
 def test_quantile_of_one_row(spark):
     assert scale.exact_quantiles(spark.createDataFrame([(3.0,)], "x double"), "x", {"m": 0.5}).first().m == 3.0
 
