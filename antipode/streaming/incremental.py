@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,21 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(path).first()[0]
 
 
+def _counters(error: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(error).isNull()).alias("n_ok"),
+            F.count_if(F.col(error).isNotNull()).alias("n_failed")]
+
+
 def progress_row(df: DataFrame, batch_id: int, error: str = "error") -> DataFrame:
     """Counters of one batch."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(error).isNull()).alias("n_ok"),
-        F.count_if(F.col(error).isNotNull()).alias("n_failed"),
-    ).withColumn("batch_no", F.lit(batch_id).cast("long"))
+    return df.agg(*_counters(error)).withColumn("batch_no", F.lit(batch_id).cast("long"))
+
+
+def write_counted(df: DataFrame, path: str, error: str = "error") -> dict[str, int]:
+    """Write ``df`` and return the counters of ``progress_row``, observed by the write itself."""
+    seen = Observation()
+    df.observe(seen, *_counters(error)).write.mode("overwrite").parquet(path)
+    return dict(seen.get)
 
 
 def incremental_enrich(spark: SparkSession, source: str, schema: T.StructType, enrich: Callable[[DataFrame], DataFrame],
@@ -67,10 +76,13 @@ def incremental_enrich(spark: SparkSession, source: str, schema: T.StructType, e
                 (F.col("run_id") != run) | (F.col("batch_id") != batch_id))
             fresh = fresh.join(earlier.select(*keys), list(keys), "left_anti")
         target = f"{out}/run_id={run}/batch_id={batch_id}"
-        enrich(fresh).write.mode("overwrite").parquet(target)
-        if log:
-            progress_row(session.read.parquet(target), batch_id, error).write.mode("overwrite").parquet(
-                f"{log}/run_id={run}/batch_id={batch_id}")
+        if not log:
+            enrich(fresh).write.mode("overwrite").parquet(target)
+            return
+        n = write_counted(enrich(fresh), target, error)
+        session.createDataFrame([(*(n.get(c, 0) for c in ("n_rows", "n_ok", "n_failed")), batch_id)],
+                                "n_rows long, n_ok long, n_failed long, batch_no long").coalesce(1).write.mode("overwrite").parquet(
+            f"{log}/run_id={run}/batch_id={batch_id}")
 
     folder, name = source.rstrip("/").rsplit("/", 1)
     if _is_file(spark, source):

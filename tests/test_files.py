@@ -112,3 +112,23 @@ def test_null_vectors_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([(1, None)], "entity_id long, vec array<double>")
     with pytest.raises(ValueError):
         B.append_vectors(rows, str(tmp_path / "v"), 2, "p")
+
+
+def test_counters_come_from_the_write(spark, tmp_path):
+    """The write counts its own rows: the source is evaluated once."""
+    from antipode.streaming.incremental import progress_row, write_counted
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(100).select(F.when(F.col("id") % 4 == 0, "bad").alias("error"), "id").mapInPandas(count, "error string, id long")
+    n = write_counted(rows, str(tmp_path / "t"))
+    assert n == {"n_rows": 100, "n_ok": 75, "n_failed": 25} and reads.value == 100
+    again = progress_row(spark.read.parquet(str(tmp_path / "t")), 3).first()
+    assert (again.n_rows, again.n_ok, again.n_failed, again.batch_no) == (100, 75, 25, 3)
+    nothing = write_counted(spark.read.parquet(str(tmp_path / "t")).where("false"), str(tmp_path / "none"))
+    assert nothing.get("n_rows", 0) == 0
