@@ -232,9 +232,9 @@ def _rotation(corpus: DataFrame, d: int) -> np.ndarray:
 class _Tile:
     """Best ``k`` corpus rows of a block for a block of queries; counts the coordinates it did not multiply."""
 
-    def __init__(self, asking: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
+    def __init__(self, asking: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, head: int | None = None):
         self.asking, self.q, self.bound, self.k = asking, q, bound.copy(), k
-        self.head = max(1, q.shape[1] // 2)
+        self.head = head or max(1, q.shape[1] // 2)
         self.rest = np.sqrt(np.maximum(0.0, (q[:, self.head:] ** 2).sum(1)))
         self.ids = [np.zeros(0, dtype=object)] * len(q)
         self.sims = [np.zeros(0)] * len(q)
@@ -285,6 +285,21 @@ class _Tile:
         return _frame(np.repeat(self.asking, [len(x) for x in self.sims]), np.concatenate(self.ids), np.concatenate(self.sims))
 
 
+def _best_head(shown: np.ndarray, k: int) -> int:
+    """After how many coordinates to test a pair: where a sample of pairs saves most. Steers the speed only."""
+    n, d = shown.shape
+    if n <= k:
+        return max(1, d // 2)
+    q = shown[:: max(1, n // 128)]
+    bound = np.partition(q @ shown.T, n - k, axis=1)[:, n - k]
+
+    def saved(h: int) -> float:
+        rest = np.sqrt(np.maximum(0.0, (q[:, h:] ** 2).sum(1)))[:, None] * np.sqrt(np.maximum(0.0, (shown[:, h:] ** 2).sum(1)))
+        return float((q[:, :h] @ shown[:, :h].T + rest < bound[:, None]).mean()) * (d - h)
+
+    return max(sorted({max(1, d * i // 16) for i in range(1, 16)}), key=saved)
+
+
 def _by_tiles(queries: DataFrame, corpus: DataFrame, k: int, schema, pivots: int = 0, block: int = 0, effort: bool = False) -> DataFrame:
     """Candidates that hold the ``k`` best per query; with ``effort`` the work done per tile task instead."""
     first = corpus.select(F.size("vec").alias("d")).first()
@@ -295,6 +310,7 @@ def _by_tiles(queries: DataFrame, corpus: DataFrame, k: int, schema, pivots: int
     sample = corpus.select("vec", F.xxhash64("entity_id").alias("_h")).orderBy("_h").limit(
         max(k, min(SAMPLE_ROWS, GROUP_BYTES // (8 * d)))).select("vec").toPandas()
     shown = _unit(_stack(sample["vec"])) @ turn
+    head = _best_head(shown, k)
     q_type, e_type = (schema[c].dataType.simpleString() for c in ("query_id", "entity_id"))
 
     def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,7 +340,7 @@ def _by_tiles(queries: DataFrame, corpus: DataFrame, k: int, schema, pivots: int
     def meet(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(e):
             return pd.DataFrame({"pairs": [], "skipped": [], "coordinates": []}) if effort else _frame([], [], [])
-        tile = _Tile(q["id"].to_numpy(), _joined(q["unit"], d), q["bound"].to_numpy(), k)
+        tile = _Tile(q["id"].to_numpy(), _joined(q["unit"], d), q["bound"].to_numpy(), k, head)
         tile.meet(e["id"].to_numpy(), _joined(e["unit"], d))
         return tile.frame(effort)
 
