@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antipode.functions import labels as L
-from antipode.scale import first_per_group
+from antipode.scale import first_per_group, materialize
 
 
 def with_defined_labels(entities: DataFrame, labels: str = "labels") -> DataFrame:
@@ -139,11 +139,19 @@ def related_pairs(entities: DataFrame, max_flips: int | None = None, uneven_site
     """
     forms = distinct_forms(with_defined_labels(entities))
     cols = ["class_key", "x_id", "y_id", "n_shared", "n_flips"]
+    limit = 0 if max_flips is None else _longest_looked_up(max_flips)
+    # the forms are written once: both sides of the look-up and the longest code read them
+    any_long = False
+    if max_flips is not None:
+        forms = materialize(forms, "forms")
+        any_long = (forms.agg(F.max(F.length("code"))).first()[0] or 0) > limit
 
     def look_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         if max_flips is None:
             return _all_of(left, right, keys).select(*cols)
-        short = F.length("code") <= _longest_looked_up(max_flips)
+        if not any_long:
+            return _by_codes(left, right, keys, max_flips).select(*cols)
+        short = F.length("code") <= limit
         return _by_codes(left.where(short), right.where(short), keys, max_flips).select(*cols).unionByName(
             _by_codes(left.where(~short), right.where(~short), keys, 0).select(*cols)).unionByName(
             _by_chunks(left.where(~short), right.where(~short), keys, max_flips).select(*cols))
