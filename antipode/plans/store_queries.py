@@ -125,6 +125,32 @@ def append_vectors(spark, d):
     return B.read_vectors(spark, path, 64, "default").select("entity_id", "label", "nbits", "params_hash")
 
 
+def some_stored(spark, d):
+    """The vectors, and a store that holds those of the labels below 6."""
+    path = fresh_path(spark, "vectors")
+    v = vectors(spark, d)
+    B.append_vectors(v.where("label < 6"), path, 64, "default")
+    return v, B.read_vectors(spark, path, 64, "default")
+
+
+@query("missing_vectors", "SELECT vec_id AS entity_id, label FROM embeddings WHERE label >= 6 OR label IS NULL")
+def missing_vectors(spark, d):
+    """What a run over all entities still has to compute."""
+    v, stored = some_stored(spark, d)
+    return B.missing(v.select("entity_id", "label"), stored)
+
+
+@query("lookup_vectors", """
+SELECT vec_id AS entity_id, label, round(list_sum(embedding::DOUBLE[]), 9) AS total
+FROM embeddings WHERE label < 6 AND vec_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)""")
+def lookup_vectors(spark, d):
+    """Stored vectors of the parts that were ordered in large lots, whatever the number of lots."""
+    _, stored = some_stored(spark, d)
+    wanted = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("entity_id"))
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
+    return B.lookup_vectors(stored, wanted).select("entity_id", "label", F.round(total, 9).alias("total"))
+
+
 @query("pending", """
 SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 def pending(spark, d):

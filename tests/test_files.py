@@ -190,3 +190,54 @@ def test_state_of_a_new_checkpoint_starts_from_what_others_stored(spark, tmp_pat
     go("a", "cp_a", [(2, "z"), (3, "z")])  # run b began later than run a
     go("b", "cp_b", [(3, "w"), (4, "w")])
     assert sorted((r.id, r.v) for r in spark.read.parquet(out).collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]
+
+
+def exchanges(df):
+    """Lines of the physical plan that move rows, without the scans below them."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_stored_side_is_not_moved(spark, tmp_path):
+    """Look-ups and the search for what is missing move the new side only, and one entity is one bucket."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = str(tmp_path / "v")
+        v = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("entity_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+        B.append_vectors(v(0, 100), path, 2, "p", buckets=16)
+        B.append_vectors(v(50, 150), path, 2, "p")
+        stored = B.read_vectors(spark, path, 2, "p")
+        assert stored.count() == stored.select("entity_id").distinct().count() == 150
+        assert B.bucket_count(stored) == 16
+        wide = v(100, 300).repartition(5)
+        for df, n in ((B.missing(wide, stored), 150), (B.lookup_vectors(stored, wide), 50)):
+            assert exchanges(df) == 1 and df.count() == n
+        assert exchanges(stored.groupBy("entity_id").count()) == 0
+        one = stored.where("entity_id = 7")
+        files = list((tmp_path / "v").rglob("part-*.parquet"))
+        assert len(files) <= 2 * 16  # a batch writes one file per bucket
+        bucket = one.select(F.input_file_name()).first()[0].rsplit("_", 1)[1]
+        for f in files:  # no other bucket is opened
+            if not f.name.endswith(bucket):
+                f.with_name(f".{f.name}.crc").unlink()
+                f.write_bytes(b"not parquet")
+        assert [r.vec for r in one.collect()] == [[7.0, 1.0]]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_store_outlives_the_session_catalog(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = spark.createDataFrame([(1, [0.0, 1.0], "a")], "entity_id long, vec array<double>, note string")
+    assert B.read_vectors(spark, path, 2, "p") is None
+    B.append_vectors(rows, path, 2, "p", buckets=3)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("vectors_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    B.append_vectors(rows.select("note", "vec", (F.col("entity_id") + 1).alias("entity_id")), path, 2, "p")  # columns in any order
+    again = B.read_vectors(spark.newSession(), path, 2, "p")
+    assert sorted((r.entity_id, r.note, r.nbits, r.params_hash) for r in again.collect()) == [(1, "a", 2, "p"), (2, "a", 2, "p")]
+    with pytest.raises(ValueError):
+        B.append_vectors(rows.drop("note"), path, 2, "p")
