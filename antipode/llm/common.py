@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from antipode.scale import materialize
 
@@ -22,12 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` for functions from batches of columns to batches of columns (name to list or array)."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC0415
     from pyspark.sql.pandas.types import to_arrow_schema  # noqa: PLC0415
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(_columns(batches)):

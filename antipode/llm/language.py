@@ -15,6 +15,7 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from antipode.llm.common import map_rows
 
@@ -137,8 +138,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 numbers
     keep = keep or []
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [id_col, *keep])
+    # types, not text: a carried struct may have fields of any name
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in [id_col, *keep]]).add(
+        "lang_pred", "string").add("score", "double").add("shares", T.MapType(T.StringType(), T.DoubleType()))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         m = shared.value
@@ -147,8 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield {id_col: cols[id_col], **{c: cols[c] for c in keep}, "lang_pred": [f[0] for f in found],
                    "score": [f[1] for f in found], "shares": [list(f[2].items()) for f in found]}
 
-    return map_rows(docs.select(id_col, *keep, F.col(text_col).alias("_text")),
-                    schema + ", lang_pred string, score double, shares map<string,double>", work)
+    return map_rows(docs.select(id_col, *keep, F.col(text_col).alias("_text")), schema, work)
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
