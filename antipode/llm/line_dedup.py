@@ -1,15 +1,19 @@
 """Line de-duplication with levelled sorted runs of line hashes. DataFrame operations only.
 
 The index is a set of runs: tables of (line hash, documents, keeper) sorted by hash.
-A batch of documents is reduced to its line hashes, merge-anti-joined with the runs
-to tell new hashes from known ones, and added as a run of its own. As soon as a level
-holds ``fanout`` runs they are compacted into one run of the next level, so a hash is
-rewritten as often as there are levels. A batch costs one sorted pass over the
-runs, however many documents came before it.
+A batch of documents is reduced to its line hashes. Hashes that a run holds are merged with
+it: the batch's entry takes over the count and keeper found so far, so the newest entry of a hash
+is the whole of what is known of it. Hashes that the merge-anti-join finds in no run start from nothing.
+Both are added as a run of the batch's own. As soon as a level
+holds ``fanout`` runs they are compacted into one run of the next level, where the newest entry of a hash stays,
+so a hash is rewritten as often as there are levels. A batch costs one sorted pass over the
+runs, however many documents came before it; no sum over all batches is ever taken.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,33 +24,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class LineRuns:
-    """Levelled runs of line hashes; every run is a written table in the shared folder."""
+    """Levelled runs of line hashes; every run is a written table in the shared folder.
+
+    Runs hold (h1, h2, docs, keeper, batch): what was known of a hash after ``batch``, one row per hash and run.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.batches = spark, fanout, 0
         self.levels: list[list[DataFrame]] = [[]]
 
-    def runs(self) -> DataFrame | None:
-        every = [r for level in self.levels for r in level]
-        out = every[0] if every else None
-        for r in every[1:]:
-            out = out.unionByName(r)
-        return out
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def _write(self, rows: DataFrame) -> DataFrame:
         return materialize(rows.repartition(*HASH).sortWithinPartitions(*HASH), "line_run")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add (h1, h2, docs, keeper), one row per hash; return the run with ``fresh`` on hashes not seen before."""
-        known = self.runs()
-        if known is None:
-            run = batch.withColumn("fresh", F.lit(True))
-        else:
-            # each hash is fresh in one run only, so both joins keep one row per hash
-            seen = known.where("fresh").select(*HASH).hint("merge")
-            run = batch.join(seen, HASH, "left_anti").withColumn("fresh", F.lit(True)).unionByName(
-                batch.join(seen, HASH, "left_semi").withColumn("fresh", F.lit(False)))
-        run = self._write(run)
+        """Add (h1, h2, docs, keeper), one row per hash, of documents not added before; return the new run."""
+        entries = batch.select(*HASH, "docs", "keeper")
+        if self.runs():
+            known = newest(self.runs()).select(*HASH, F.col("docs").alias("_docs"), F.col("keeper").alias("_keeper")).hint("merge")
+            new = entries.join(known.select(*HASH), HASH, "left_anti")
+            again = entries.join(known, HASH).select(
+                *HASH, (F.col("docs") + F.col("_docs")).alias("docs"), F.greatest("keeper", "_keeper").alias("keeper"))
+            entries = new.unionByName(again)
+        run = self._write(entries.withColumn("batch", F.lit(self.batches)))
+        self.batches += 1
         self.levels[0].append(run)
         self._compact()
         return run
@@ -54,22 +57,22 @@ class LineRuns:
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = level[0]
-                for r in level[1:]:
-                    merged = merged.unionByName(r)
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(_summed(merged)))
+                self.levels[i + 1].append(self._write(newest(level)))
                 self.levels[i] = []
 
-    def totals(self) -> DataFrame:
-        """(h1, h2, docs, keeper, fresh) over all batches."""
-        return _summed(self.runs())
+    def entries(self) -> DataFrame:
+        """(h1, h2, docs, keeper) over all batches: the newest entry of each hash."""
+        return newest(self.runs()).drop("batch")
 
 
-def _summed(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"),
-                                   F.bool_or("fresh").alias("fresh"))
+def newest(runs: list[DataFrame]) -> DataFrame:
+    """The latest entry of each hash in some runs, which share no hash within a batch."""
+    if len(runs) == 1:
+        return runs[0]
+    rows = reduce(DataFrame.unionByName, runs)
+    return rows.groupBy(*HASH).agg(F.max(F.struct("batch", "docs", "keeper")).alias("_e")).select(*HASH, "_e.docs", "_e.keeper", "_e.batch")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -107,7 +110,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # the first step spreads a line found everywhere over its documents
         per_doc = lines.where(F.col("batch") == i).groupBy(*HASH, "id").agg(F.lit(1).alias("one"))
         index.add(per_doc.groupBy(*HASH).agg(F.sum("one").alias("docs"), F.max("id").alias("keeper")))
-    hot = materialize(index.totals().where(F.col("docs") >= min_docs).select(*HASH, "keeper"), "hot_lines")
+    hot = materialize(index.entries().where(F.col("docs") >= min_docs).select(*HASH, "keeper"), "hot_lines")
     dropped = (
         lines.join(hot, HASH).where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "row_key").agg(F.collect_set("pos").alias("drops"))
