@@ -54,21 +54,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a kept id and text stay one row; documents without words are kept.
     """
     ship_package(spark)
-    found = minhash.near_duplicates(docs)
-    kept = found.where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rest.dropDuplicates(["doc_id", "text"])
+    rows = _carried(docs)
+    found = minhash.near_duplicates(rows.select("doc_id", "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rest = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return _restored(rest.dropDuplicates(["doc_id", "text"]), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times."""
-    columns = docs.columns
-    copies = mixing.mix_copies(docs).where("copies > 0").select(
+    rows = _carried(docs).withColumn("_key", F.xxhash64("text"))
+    copies = mixing.mix_copies(docs.select("doc_id", "text", "source")).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("copies").alias("_copies")).dropDuplicates(["_id", "_text"])
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(
-        copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in columns])
+    joined = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
+    return _restored(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
