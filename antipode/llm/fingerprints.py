@@ -1,13 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame operations only.
 
-A document is a set of 64-bit digests of its paragraphs (lines, cut after sentence marks). A
-sketch has three rows of cells; each digest is added to one cell per row, as a count, an
-exclusive-or of digests and an exclusive-or of check values. Sketches of two versions subtract
-cell by cell: what they share is gone, and cells left with a single digest give it away. Peeling takes such
-digests out of their other cells, row by row, until all cells are empty. If some stay, the
-pair is tried again with a larger sketch and new hashes.
-
-Cells are rows of a table that is dealt out by document, so building, subtracting and peeling all
+A document is a set of 64-bit digests of its paragraphs (lines, cut after sentence marks, Latin and CJK; a
+piece longer than ``CUT_ABOVE`` is cut further at words, or in a very long word at characters, that their own
+hash picks, so an edit moves no cut elsewhere). A sketch has three rows of cells; each digest is added to one
+cell per row, as a count, an exclusive-or of digests and an exclusive-or of check values. The width of a
+fingerprint grows with its document. To compare two, the wider is folded to the width of the narrower and
+they are subtracted cell by cell: what they share is gone, and cells left with a single digest give it away.
+Peeling takes such digests out of their other cells, row by row, until all cells are empty. If some stay, the
+two texts differ in more than their fingerprints hold, and the pair is tried again with larger sketches and new
+hashes.
+
+Cells are rows of a table that is dealt out by document, so building, folding, subtracting and peeling all
 run where the document lies, without another exchange. Digests are written once; only pairs
 that failed are read again.
 """
@@ -20,16 +23,33 @@ from pyspark.sql import functions as F
 from antipode.llm.common import bucket_of, bucketed, materialize, range_cuts, shuffle_width
 
 ROWS = 3
-#: Cells in a row of the printed fingerprint; a power of two.
-PRINT_WIDTH = 4
+#: Pieces of more code points than this are cut further, words of more than ``WORD_ABOVE`` too.
+CUT_ABOVE, WORD_ABOVE = 160, 64
+#: One word, or one character of a long word, in so many ends a piece.
+WORDS_PER_PIECE, CHARS_PER_PIECE = 12, 24
+MARKS = "[.!?\\n。．！？；｡।]+"
+_CUT = "\x01"
 #: Rounds of peeling; each takes one row of cells, so three passes over all.
 PEELS = 9
 _LOWEST = -(2**63)
 
 
+def _picked(unit: Column, one_in: int) -> Column:
+    return F.when(F.pmod(F.xxhash64(unit), F.lit(one_in)) == 0, F.lit(_CUT)).otherwise(F.lit(""))
+
+
+def _cut_long(piece: Column) -> Column:
+    """Parts of a long piece, cut after words (characters of long words) that their hash picks; white space becomes one space."""
+    by_char = lambda w: F.array_join(F.transform(F.split(w, ""), lambda c: F.concat(c, _picked(c, CHARS_PER_PIECE))), "")
+    word = lambda w: F.concat(F.when(F.char_length(w) > WORD_ABOVE, by_char(w)).otherwise(w), _picked(w, WORDS_PER_PIECE))
+    return F.split(F.array_join(F.transform(F.split(piece, "\\s+"), word), " "), _CUT)
+
+
 def paragraph_digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of a text: pieces between line ends and sentence marks, trimmed."""
-    parts = F.filter(F.transform(F.split(text, "[.!?\\n]+"), lambda p: F.trim(p)), lambda p: p != "")
+    """Distinct digests of the paragraphs of a text: pieces between line ends and sentence marks, long ones cut, trimmed."""
+    parts = F.flatten(F.transform(F.split(text, MARKS), lambda p: F.when(
+        F.char_length(p) > CUT_ABOVE, _cut_long(p)).otherwise(F.array(p))))
+    parts = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -60,20 +80,50 @@ def subtract_cells(pairs: DataFrame, keys: list[str], seed: int) -> DataFrame:
         F.sum("s").alias("n"), F.bit_xor("d").alias("x"), F.bit_xor("c").alias("c"))
 
 
-def printed_sketches(table: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    """Sketches of digest columns with ``PRINT_WIDTH`` cells in a row, as hexadecimal text: (keys, names)."""
-    side = lambda i, col: F.transform(F.col(col), lambda d: F.struct(d.alias("d"), F.lit(i).alias("i")))
-    rows = table.select(*keys, F.inline(F.concat(*[side(i, c) for i, c in enumerate(columns)])))
-    cells = rows.select(*keys, "i", "d", F.explode(F.array(
-        *[_cell(F.col("d"), r, F.lit(PRINT_WIDTH), 0) for r in range(ROWS)])).alias("cell"))
-    cells = cells.groupBy(*keys, "i", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("x"), F.bit_xor(_check(F.col("d"))).alias("c"))
-    text = F.concat(F.hex("cell"), F.lit("."), F.hex("n"), F.lit("."), F.lpad(F.hex("x"), 16, "0"),
-                    F.lpad(F.hex(F.shiftrightunsigned("c", 32)), 8, "0"))
+def sketch_cells(table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Cells of the sketches of digest columns, each as wide as its document asks: (keys, w0.., side, cell, n, x, c).
+
+    ``side`` is the place of the column in ``columns``; ``w0``.. are the widths of all of them.
+    """
+    widths = [_width(F.size(c), 0).alias(f"w{i}") for i, c in enumerate(columns)]
+    side = lambda i, col: F.transform(F.col(col), lambda d: F.struct(d.alias("d"), F.lit(i).alias("side")))
+    rows = table.select(*keys, *widths, F.inline(F.concat(*[side(i, c) for i, c in enumerate(columns)])))
+    own = F.element_at(F.array(*[F.col(f"w{i}") for i in range(len(columns))]), F.col("side") + 1)
+    by = [*keys, *[f"w{i}" for i in range(len(columns))], "side"]
+    cells = rows.select(*by, "d", _check(F.col("d")).alias("c"),
+                        F.explode(F.array(*[_cell(F.col("d"), r, own, 0) for r in range(ROWS)])).alias("cell"))
+    return cells.groupBy(*by, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("x"), F.bit_xor("c").alias("c"))
+
+
+def printed_sketches(cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Fingerprints of the first sides as text, all that ``fold_and_subtract`` needs: width, then cells in order: (keys, names)."""
+    text = F.concat(F.hex("cell"), F.lit("."), F.hex("n"), F.lit("."), F.hex("x"), F.lit("."), F.hex("c"))
     entry = F.struct("cell", text.alias("t"))
-    return cells.groupBy(*keys).agg(*[
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == i, entry))), lambda e: e.t), ":").alias(name)
-        for i, name in enumerate(columns.values())])
+    return cells.where(F.col("side") < len(names)).groupBy(*keys, *[f"w{i}" for i in range(len(names))]).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("side") == i, entry))).alias(f"_{i}") for i in range(len(names))
+    ]).select(*keys, *[
+        F.when(F.size(f"_{i}") == 0, F.lit("")).otherwise(F.concat(
+            F.hex(f"w{i}"), F.lit("|"), F.array_join(F.transform(F.col(f"_{i}"), lambda e: e.t), ":"))).alias(name)
+        for i, name in enumerate(names)])
+
+
+def fold_and_subtract(cells: DataFrame, keys: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Differences of sketches, the wider folded to the narrower: (keys, kind, w, cell, n, x, c); pair ``kind`` is (side, side)."""
+    part = lambda kind, a, b, sign: F.struct(
+        F.lit(kind).alias("kind"), F.least(f"w{a}", f"w{b}").alias("w"), (F.col("n") * sign).alias("n"))
+    uses: dict[int, list[Column]] = {}
+    for kind, (a, b) in enumerate(pairs):
+        uses.setdefault(a, []).append(part(kind, a, b, 1))
+        uses.setdefault(b, []).append(part(kind, a, b, -1))
+    chosen = None
+    for side, structs in uses.items():
+        here = F.col("side") == side
+        chosen = F.when(here, F.array(*structs)) if chosen is None else chosen.when(here, F.array(*structs))
+    rows = cells.select(*keys, "cell", "x", "c", F.inline(chosen))
+    folded = F.floor(F.col("cell") / ROWS).bitwiseAND(F.col("w") - 1) * ROWS + F.col("cell") % ROWS
+    return rows.groupBy(*keys, "kind", "w", folded.alias("cell")).agg(
+        F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
 
 
 def peel(cells: DataFrame, keys: list[str], seed: int, peels: int = PEELS) -> DataFrame:
@@ -149,13 +199,13 @@ def likeness(own: Column, other: Column, only_own: Column, only_other: Column) -
     return F.when(union == 0, F.lit(1.0)).otherwise((own - only_own) / union)
 
 
-def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tries: int | None = None) -> DataFrame:
+def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are.
 
     Output: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty. Texts without a
     paragraph have the empty fingerprint and are alike. Rows that repeat an id
-    are documents of their own. A failed peel is tried again at twice the size until none is left
-    (``tries`` bounds it for tests).
+    are documents of their own; null ids come last. The likenesses come from subtracting the printed fingerprints;
+    a pair that these cannot settle is tried with sketches for the digests of both, then at twice the size until none is left.
     """
     spark = docs.sparkSession
     rows = with_next_text(docs, id_col, text_col)
@@ -167,25 +217,22 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
                        paragraph_digests(F.col("edited")).alias("changed"))
     stored = bucketed(base, "bucket", 2 * shuffle_width(spark))
     by = [*keys, "kind"]
-    found, grow = None, 0
+    sides = ["own", "changed", "next"]
+    prints = sketch_cells(stored, keys, sides)
+    tried = materialize(peel(fold_and_subtract(prints, keys, [(0, 1), (0, 2)]), by, seed=0), "peeled")
     table = stored.select(*keys, F.inline(F.array(
         F.struct(F.lit(0).alias("kind"), "own", F.col("changed").alias("other")),
         F.struct(F.lit(1).alias("kind"), "own", F.col("next").alias("other")))))
-    pending = table
-    while True:
-        sized = pending.withColumn("w", _width(F.size("own") + F.size("other"), grow))
-        tried = materialize(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "peeled")
-        good = tried.where("ok").drop("ok")
-        found = good if found is None else found.unionByName(good)
-        failed = tried.where("not ok").select(*by)
+    found, grow = tried.where("ok").drop("ok"), 0
+    while not (failed := tried.where("not ok").select(*by)).isEmpty():
+        sized = table.join(failed, by, "left_semi").withColumn("w", _width(F.size("own") + F.size("other"), grow))
         grow += 1
-        if failed.isEmpty() or grow == tries:
-            break
-        pending = table.join(failed, by, "left_semi")
+        tried = materialize(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "peeled")
+        found = found.unionByName(tried.where("ok").drop("ok"))
     near = found.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
                                       for k in (0, 1) for c in ("only_a", "only_b")])
-    prints = printed_sketches(stored, keys, {"own": "fingerprint", "changed": "edited_fingerprint"})
-    out = stored.join(near, keys, "left").join(prints, keys, "left")
+    printed = printed_sketches(prints, keys, ["fingerprint", "edited_fingerprint"])
+    out = stored.join(near, keys, "left").join(printed, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         F.when(F.col("id") == _LOWEST, None).otherwise(F.col("id")).alias(id_col), "n_chars", "edited_sha256",
