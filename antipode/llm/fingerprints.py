@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antipode.llm.common import bucket_of, bucketed, materialize, range_cuts, shuffle_width
+from antipode.llm.common import bucket_of, bucketed, range_cuts, shuffle_width
 
 ROWS = 3
 #: Pieces of more code points than this are cut further, words of more than ``WORD_ABOVE`` too.
@@ -85,7 +85,7 @@ def sketch_cells(table: DataFrame, keys: list[str], columns: list[str]) -> DataF
 
     ``side`` is the place of the column in ``columns``; ``w0``.. are the widths of all of them.
     """
-    widths = [_width(F.size(c), 0).alias(f"w{i}") for i, c in enumerate(columns)]
+    widths = [_width(F.size(c), 1).alias(f"w{i}") for i, c in enumerate(columns)]
     side = lambda i, col: F.transform(F.col(col), lambda d: F.struct(d.alias("d"), F.lit(i).alias("side")))
     rows = table.select(*keys, *widths, F.inline(F.concat(*[side(i, c) for i, c in enumerate(columns)])))
     own = F.element_at(F.array(*[F.col(f"w{i}") for i in range(len(columns))]), F.col("side") + 1)
@@ -215,11 +215,12 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
                        edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     base = base.select(*keys, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next",
                        paragraph_digests(F.col("edited")).alias("changed"))
-    stored = bucketed(base, "bucket", 2 * shuffle_width(spark))
+    buckets = 2 * shuffle_width(spark)
+    stored = bucketed(base, "bucket", buckets)
     by = [*keys, "kind"]
     sides = ["own", "changed", "next"]
     prints = sketch_cells(stored, keys, sides)
-    tried = materialize(peel(fold_and_subtract(prints, keys, [(0, 1), (0, 2)]), by, seed=0), "peeled")
+    tried = bucketed(peel(fold_and_subtract(prints, keys, [(0, 1), (0, 2)]), by, seed=0), "bucket", buckets)
     table = stored.select(*keys, F.inline(F.array(
         F.struct(F.lit(0).alias("kind"), "own", F.col("changed").alias("other")),
         F.struct(F.lit(1).alias("kind"), "own", F.col("next").alias("other")))))
@@ -227,16 +228,17 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     while not (failed := tried.where("not ok").select(*by)).isEmpty():
         sized = table.join(failed, by, "left_semi").withColumn("w", _width(F.size("own") + F.size("other"), grow))
         grow += 1
-        tried = materialize(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "peeled")
+        tried = bucketed(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "bucket", buckets)
         found = found.unionByName(tried.where("ok").drop("ok"))
-    near = found.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
+    near = found.repartition(buckets, "bucket").groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
                                       for k in (0, 1) for c in ("only_a", "only_b")])
     printed = printed_sketches(prints, keys, ["fingerprint", "edited_fingerprint"])
-    out = stored.join(near, keys, "left").join(printed, keys, "left")
+    sizes = [F.size(c).alias(f"n_{c}") for c in sides]
+    out = stored.select(*keys, "id", "n_chars", "edited_sha256", *sizes).join(near, keys, "left").join(printed, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         F.when(F.col("id") == _LOWEST, None).otherwise(F.col("id")).alias(id_col), "n_chars", "edited_sha256",
         F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
         F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("changed"), zero("only_a_0"), zero("only_b_0")).alias("near_edited"),
-        likeness(F.size("own"), F.size("next"), zero("only_a_1"), zero("only_b_1")).alias("near_next"))
+        likeness(F.col("n_own"), F.col("n_changed"), zero("only_a_0"), zero("only_b_0")).alias("near_edited"),
+        likeness(F.col("n_own"), F.col("n_next"), zero("only_a_1"), zero("only_b_1")).alias("near_next"))
