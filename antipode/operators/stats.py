@@ -105,15 +105,18 @@ def label_shares(df: DataFrame, labels: str, k: int = 15) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / total).orderBy(F.desc("n"), "label").limit(k)
 
 
-def formula_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+def formula_counts(df: DataFrame, key: str, text: str, number: str = "long") -> DataFrame:
     """Element counts per record for texts of any length: n per (key, element).
 
     Equal tokens of a text are counted before their numbers are read, so the
-    patterns run once over the text and then on short distinct tokens only.
+    patterns run once over the text and then on short distinct tokens only. A
+    number that the type ``number`` cannot hold adds nothing; n is null where
+    an element has no other.
     """
     tokens = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("t"))
     counted = tokens.groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
-    times = F.coalesce(F.nullif(F.regexp_extract("t", TOKEN_PATTERN, 2), F.lit("")).try_cast("long"), F.lit(1))
+    digits = F.regexp_extract("t", TOKEN_PATTERN, 2)
+    times = F.when(digits == "", F.lit(1).cast("long")).otherwise(digits.try_cast(number).cast("long"))
     return counted.groupBy(key, F.regexp_extract("t", TOKEN_PATTERN, 1).alias("element")).agg(
         F.sum(F.col("n") * times).alias("n"))
 
