@@ -174,6 +174,20 @@ def test_filtered_iteration_matches_dense_solver(name):
     assert got == pytest.approx(want.tolist(), abs=1e-6) and residual < 1e-6
 
 
+def test_alike_components_do_not_slow_the_iteration(monkeypatch):
+    """Twenty copies of a graph, weights a little apart: their values lie closer together than one iteration can part soon."""
+    rng = np.random.default_rng(5)
+    n, copies = 100, 20
+    one = sorted({(int(min(i, j)), int(max(i, j))) for i in range(n) for j in rng.integers(0, n, 3) if i != j})
+    es = [(c * n + i, c * n + j, (1.0 + (i * j) % 7) * (1 + 1e-5 * c)) for c in range(copies) for i, j in one]
+    u, v, w = (np.array([e[i] for e in es], dtype=t) for i, t in ((0, np.int64), (1, np.int64), (2, float)))
+    products, multiply = [], G._SparseLaplacian.__matmul__
+    monkeypatch.setattr(G._SparseLaplacian, "__matmul__", lambda m, x: products.append(m.n * x.shape[1]) or multiply(m, x))
+    got, residual = G._low_eigenvalues_sparse(copies * n, u, v, -w, 8)
+    assert got == pytest.approx(np.linalg.eigvalsh(laplacian(copies * n, [(i, j, -x) for i, j, x in es]))[1:9].tolist(), abs=1e-6)
+    assert residual < 1e-6 and sum(products) < 10_000 * copies * n
+
+
 def test_large_graphs_are_solved_from_their_edges(spark):
     graphs = {i: g for i, g in enumerate(sparse_cases().values())}
     edges, sizes = tables(spark, graphs)
