@@ -93,6 +93,26 @@ def code_chunk(code: Column, i: Column, chunks: int) -> Column:
     return F.substring(code, start + 1, F.floor((i + 1) * n / chunks).cast("int") - start)
 
 
+def packed_code(code: Column) -> Column:
+    """A code of at most 62 labels R and S as a number: bit 0 is its last label, set for R."""
+    return F.conv(F.translate(code, "SR", "01"), 2, 10).cast("long")
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def chunk_mask(n: Column, i: int, chunks: int) -> Column:
+    """The bits of ``packed_code`` that ``code_chunk`` takes from a code of ``n`` labels."""
+    return _bit(n - F.floor(F.lit(i) * n / chunks)) - _bit(n - F.floor(F.lit(i + 1) * n / chunks))
+
+
+def with_single_bit_flips(part: Column, mask: Column, n: Column) -> Column:
+    """The number itself and every number that differs from it in one bit of ``mask``, of ``n`` bits."""
+    inside = F.filter(F.transform(F.sequence(F.lit(0), n - 1), _bit), lambda b: mask.bitwiseAND(b) != 0)
+    return F.concat(F.array(part), F.transform(inside, lambda b: part.bitwiseXOR(b)))
+
+
 def common_differences(labels_a: Column, labels_b: Column) -> tuple[Column, Column]:
     """(number of shared positions, number of them with different labels)."""
     a, b = F.map_from_entries(labels_a), F.map_from_entries(labels_b)

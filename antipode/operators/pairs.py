@@ -79,6 +79,8 @@ def _uneven_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Most codes a form may look up one by one; longer codes are looked up by chunks.
 MAX_LOOKUPS = 256
+#: Longest code held as the bits of one long.
+PACKED_SITES = 60
 
 
 def _longest_looked_up(max_flips: int) -> int:
@@ -120,6 +122,31 @@ def _by_chunks(left: DataFrame, right: DataFrame, keys: list[str], max_flips: in
     return flips.where(F.col("n_flips").between(1, max_flips) & (F.col("n_flips") < F.col("n_shared"))).drop("chunk", "part", "x_code", "y_code")
 
 
+def _by_packed_chunks(left: DataFrame, right: DataFrame, keys: list[str], max_flips: int) -> DataFrame:
+    """``_by_chunks`` for codes of at most ``PACKED_SITES`` labels R and S: a code is a long, and a pair that meets costs a few bit operations."""
+    chunks = (max_flips + 2) // 2
+    masks = [f"m{i}" for i in range(chunks)]
+    packed = lambda df, name: df.select(*keys, F.col("id").alias(f"{name}_id"), L.packed_code(F.col("code")).alias(f"{name}_bits"),
+                                        F.length("code").alias("n"), *[L.chunk_mask(F.length("code"), i, chunks).alias(m) for i, m in enumerate(masks)])
+    mask = F.when(F.lit(False), F.lit(None).cast("long"))
+    for i, m in enumerate(masks):
+        mask = mask.when(F.col("chunk") == i, F.col(m))
+    numbered = lambda df, name: packed(df, name).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
+        "part", F.col(f"{name}_bits").bitwiseAND(mask))
+    asked = numbered(left, "x").withColumn("part", F.explode(L.with_single_bit_flips(F.col("part"), mask, F.col("n"))))
+    stored = numbered(right, "y").drop("n", *masks)
+    on = [*keys, "chunk", "part"]
+    named = stored.select(*[F.col(c).alias(f"_y_{c}") for c in on], "y_id", "y_bits")
+    differ = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
+    met = F.lit(True)
+    for c in on:
+        met = met & (F.col(c) == F.col(f"_y_{c}"))
+    met = met & F.bit_count(differ).between(1, max_flips) & (F.bit_count(differ) < F.col("n"))
+    for i, m in enumerate(masks[:-1]):  # not met in an earlier chunk
+        met = met & ((F.col("chunk") <= i) | (F.bit_count(differ.bitwiseAND(F.col(m))) > 1))
+    return asked.join(named, met).select(*keys, "x_id", "y_id", F.col("n").alias("n_shared"), F.bit_count(differ).alias("n_flips"))
+
+
 def _all_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Every pair of different codes: all that share the keys belong to the result, so the join is as large as it is."""
     met = left.select(*keys, F.col("id").alias("x_id"), F.col("code").alias("x_code")).join(
@@ -141,10 +168,13 @@ def related_pairs(entities: DataFrame, max_flips: int | None = None, uneven_site
     cols = ["class_key", "x_id", "y_id", "n_shared", "n_flips"]
     limit = 0 if max_flips is None else _longest_looked_up(max_flips)
     # the forms are written once: both sides of the look-up and the longest code read them
-    any_long = False
+    any_long, by_chunks = False, _by_chunks
     if max_flips is not None:
         forms = materialize(forms, "forms")
-        any_long = (forms.agg(F.max(F.length("code"))).first()[0] or 0) > limit
+        longest, plain = forms.agg(F.max(F.length("code")), F.bool_and(F.col("code").rlike("^[RS]*$"))).first()
+        any_long = (longest or 0) > limit
+        if plain and longest <= PACKED_SITES:
+            by_chunks = _by_packed_chunks
 
     def look_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         if max_flips is None:
@@ -154,7 +184,7 @@ def related_pairs(entities: DataFrame, max_flips: int | None = None, uneven_site
         short = F.length("code") <= limit
         return _by_codes(left.where(short), right.where(short), keys, max_flips).select(*cols).unionByName(
             _by_codes(left.where(~short), right.where(~short), keys, 0).select(*cols)).unionByName(
-            _by_chunks(left.where(~short), right.where(~short), keys, max_flips).select(*cols))
+            by_chunks(left.where(~short), right.where(~short), keys, max_flips).select(*cols))
 
     found = look_up(forms, forms, ["class_key", "n_centers", "sites"]).where(F.col("x_id") < F.col("y_id"))
     if uneven_sites:
