@@ -9,7 +9,8 @@ Three ways to the same result, chosen by checked sizes:
   parallel rests could not lift it to the k-th best that a sample has shown for the query;
 * on request (``way="cells"``), for clustered vectors: both sides are cut into cells around
   pivots. Angles obey the triangle inequality, so a query only visits cells that can hold
-  one of its k nearest. Crowded cells are split into blocks of bounded size.
+  one of its k nearest. Crowded cells are split into blocks of bounded size. Where the queries
+  would visit so many cells that tiles send fewer vectors, tiles are taken.
 
 Similarities are rounded to 12 digits before ranking, so that ties fall to the
 smaller id whatever the order of the additions was.
@@ -34,7 +35,7 @@ SMALL_ROWS = 2000
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 20_000
 ANGLE_SLACK = 1e-6
-GROUP_BYTES = 64 << 20  # vectors of one side of a tile task
+GROUP_BYTES = 16 << 20  # vectors of one side of a tile task, and of the routes a batch sends at once
 TILE_ROWS = 1024  # rows per side multiplied at once: 8 MB of products
 SAMPLE_ROWS = 2048  # corpus rows that give each query its first bound
 DOT_SLACK = 1e-9
@@ -152,36 +153,57 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, schema,
             unit = _unit(_stack(pdf["vec"]))
             angles = np.arccos(np.clip(unit @ centers.T, -1.0, 1.0))
             cell = angles.argmin(axis=1)
-            yield pd.DataFrame({"entity_id": pdf["entity_id"], "unit": list(unit), "cell": cell.astype("int32"),
+            yield pd.DataFrame({"entity_id": pdf["entity_id"], "unit": [row.tobytes() for row in unit], "cell": cell.astype("int32"),
                                 "angle": angles[np.arange(len(cell)), cell]})
 
     placed = materialize(corpus.select("entity_id", "vec").mapInPandas(
-        assign, f"entity_id {e_type}, unit array<double>, cell int, angle double"), "cells")
+        assign, f"entity_id {e_type}, unit binary, cell int, angle double"), "cells")
     # one row per pivot
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
                                        F.max("angle").alias("hi")).toPandas()
     used = stats["cell"].to_numpy()
     size, lo, hi = stats["n"].to_numpy(), stats["lo"].to_numpy(), stats["hi"].to_numpy()
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    d = centers.shape[1]
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, unit vectors, which of the used cells each may have to visit), a bounded number of routes at a time."""
+        rows = max(1, GROUP_BYTES // (8 * d * len(used)))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            unit = _unit(_stack(pdf["vec"]))
-            angles = np.arccos(np.clip(unit @ centers[used].T, -1.0, 1.0))
-            farthest = angles + hi
-            order = np.argsort(farthest, axis=1)
-            enough = np.cumsum(size[order], axis=1) >= k
-            first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(used) - 1)
-            bound = farthest[np.arange(len(unit)), order[np.arange(len(unit)), first]]
-            bound = np.where(enough.any(axis=1), bound, np.inf)
-            nearest = np.maximum(0.0, np.maximum(angles - hi, lo - angles))
-            q, c = np.nonzero(nearest <= bound[:, None] + ANGLE_SLACK)
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "q_unit": [unit[i] for i in q],
-                                "cell": used[c].astype("int32")})
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start:start + rows]
+                unit = _unit(_stack(part["vec"]))
+                angles = np.arccos(np.clip(unit @ centers[used].T, -1.0, 1.0))
+                farthest = angles + hi
+                order = np.argsort(farthest, axis=1)
+                enough = np.cumsum(size[order], axis=1) >= k
+                first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(used) - 1)
+                bound = farthest[np.arange(len(unit)), order[np.arange(len(unit)), first]]
+                bound = np.where(enough.any(axis=1), bound, np.inf)
+                nearest = np.maximum(0.0, np.maximum(angles - hi, lo - angles))
+                yield part["query_id"].to_numpy(), unit, nearest <= bound[:, None] + ANGLE_SLACK
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for asking, _, go in visits(batches):
+            yield pd.DataFrame({"queries": [len(asking)], "routes": [int(go.sum())]})
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for asking, unit, go in visits(batches):
+            q, c = np.nonzero(go)
+            sent = [row.tobytes() for row in unit]
+            yield pd.DataFrame({"query_id": asking[q], "q_unit": [sent[i] for i in q], "cell": used[c].astype("int32")})
 
+    if not len(used):
+        return queries.sparkSession.createDataFrame([], schema)
+    cost = queries.select("query_id", "vec").mapInPandas(count, "queries long, routes long").agg(F.sum("queries").alias("n"), F.sum("routes").alias("routes")).first()
+    side = int(np.ceil(queries.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    tiles = lambda rows: max(2, side, -(-rows * 8 * d // GROUP_BYTES))
+    entities = int(size.sum())
+    if (cost["routes"] or 0) > (cost["n"] or 0) * tiles(entities) + entities * tiles(cost["n"] or 0):
+        # the cells hardly part these vectors: tiles send fewer copies of them
+        return _by_tiles(queries, corpus, k, schema)
     routed = materialize(queries.select("query_id", "vec").mapInPandas(
-        route, f"query_id {q_type}, q_unit array<double>, cell int"), "routes")
+        route, f"query_id {q_type}, q_unit binary, cell int"), "routes")
     asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts = {int(c): (max(1, -(-int(n) // block)), max(1, -(-int(asked.get(int(c), 0)) // block)))
             for c, n in zip(used, size)}
@@ -202,10 +224,13 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, schema,
         if not len(q) or not len(e):
             return _frame([], [], [])
         ids, asking = e["entity_id"].to_numpy(), q["query_id"].to_numpy()
-        sims = _similarity(_stack(q["q_unit"]), _stack(e["unit"]))
-        kept = [_best(row, ids, k) for row in sims]
-        return _frame(np.repeat(asking, [len(p) for p in kept]), ids[np.concatenate(kept)],
-                      np.concatenate([row[p] for row, p in zip(sims, kept)]))
+        left, right = _joined(q["q_unit"], d), _joined(e["unit"], d)
+        kept, values, rows = [], [], max(1, GROUP_BYTES // (8 * len(ids)))
+        for start in range(0, len(left), rows):
+            for row in _similarity(left[start:start + rows], right):
+                kept.append(_best(row, ids, k))
+                values.append(row[kept[-1]])
+        return _frame(np.repeat(asking, [len(p) for p in kept]), ids[np.concatenate(kept)], np.concatenate(values))
 
     keys = ["cell", "q_part", "e_part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)

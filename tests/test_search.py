@@ -62,6 +62,18 @@ def test_all_ways_match_brute_force(spark, way, skip_self):
         assert len({i for i, _ in mine}) == k
 
 
+def test_cells_that_do_not_part_the_vectors_give_way_to_tiles(spark, monkeypatch):
+    """Unclustered vectors: each query would go to nearly all of 60 cells, with a copy of its vector."""
+    m = np.random.RandomState(2).randn(600, 16)
+    corpus = spark.createDataFrame([(i, m[i].tolist()) for i in range(600)], "entity_id long, vec array<double>")
+    queries = corpus.select(F.col("entity_id").alias("query_id"), "vec")
+    written, write = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name="stage": written.append(name) or write(df, name))
+    run = lambda way: {(r.query_id, r.rank): (r.entity_id, round(r.similarity, 9)) for r in S.cosine_topk(queries, corpus, 3, True, way=way, pivots=60).collect()}
+    got = run("cells")
+    assert "routes" not in written and got == run("tiles") and len(got) == 1800
+
+
 def test_projection_is_fixed_and_unit():
     a, b = S.projection_matrix(16, 8), S.projection_matrix(16, 8)
     assert np.array_equal(a, b) and np.allclose(np.linalg.norm(a, axis=0), 1)
