@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from antipode.llm.common import map_rows, materialize, shuffle_width
 
@@ -170,21 +172,23 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shards = materialize(_cut_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part")),
                                      upper_percent), "shards")
     encoded = _with_offset(materialize(_encode(shards), "terms"))
-    columns = encoded.where("shard IS NOT NULL").groupBy("shard").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "offset", "terms"))).alias("runs"))
-    joined = shards.drop("words").join(columns, "shard", "left")
-
-    def exchange(batches: Iterator[dict]) -> Iterator[dict]:
-        for cols in batches:
-            for i in range(len(cols["shard"])):
-                runs = cols["runs"][i].as_py() or []
-                to = np.concatenate([np.empty(0, np.int64), *(r["offset"] + np.frombuffer(r["terms"], "<i4") for r in runs)])
-                kept = {c: cols[c].slice(i, 1) for c in ("shard", "id", "part", "digest", "flags", "row_start", "amount")}
-                yield {**kept, "term": pa.array([to[cols["code"][i].values.to_numpy(zero_copy_only=False)]], pa.list_(pa.int64()))}
-
     types = {f.name: f.dataType.simpleString() for f in shards.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in ("shard", "id", "part", "digest", "flags", "row_start", "amount"))
-    blocks = map_rows(joined, schema + ", term array<long>", exchange)
+    kept = ("shard", "id", "part", "digest", "flags", "row_start", "amount")
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", term array<long>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def exchange(shard: pa.Table, runs: pa.Table) -> pa.Table:
+        order = np.argsort(runs["bucket"].to_numpy())
+        offsets, terms = runs["offset"].to_numpy(), runs["terms"]
+        to = np.concatenate([np.empty(0, np.int64), *(offsets[i] + np.frombuffer(terms[i].as_py(), "<i4") for i in order.tolist())])
+        one = shard.combine_chunks().to_batches()[0]
+        codes = one.column("code")[0].values.to_numpy(zero_copy_only=False)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(
+            [*(one.column(c) for c in kept), pa.array([to[codes]], arrow.field("term").type)], schema=arrow)])
+
+    # one shard at a time reaches a worker: as rows of a join they would come in batches of all that a task reads
+    runs = encoded.where("shard IS NOT NULL").select("shard", "bucket", "offset", "terms")
+    blocks = shards.drop("words").groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(exchange, schema)
 
     def spell(batches: Iterator[dict]) -> Iterator[dict]:
         for cols in batches:

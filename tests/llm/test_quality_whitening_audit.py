@@ -295,3 +295,20 @@ def test_whitening_query_covers_the_table(spark):
     got = QUERIES["op12_whitening"](spark, SF_DIR)
     n = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
     assert got.count() == 4 * n
+
+
+def test_shards_get_their_terms_one_at_a_time(spark, monkeypatch):
+    """Shards of a few documents: terms of the matrix spell the words of each."""
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 40)
+    texts = {i: " ".join(f"w{(i * j) % 17}" for j in range(i % 9)) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (60, None)], "doc_id long, text string").repartition(3)
+    blocks, dictionary = filter_audit.document_term_matrix(docs)
+    assert "FlatMapCoGroupsInArrow" in blocks._jdf.queryExecution().optimizedPlan().toString()
+    word = {r.term: bytes(r.word).decode() for r in dictionary.collect()}
+    found = {}
+    for b in blocks.collect():
+        for i, doc in enumerate(b.id):
+            at = slice(b.row_start[i], b.row_start[i + 1])
+            found[doc] = sorted(zip((word[t] for t in b.term[at]), b.amount[at]))
+    split = {i: (t or "").split() for i, t in {**texts, 60: None}.items()}
+    assert found == {i: sorted((w, t.count(w)) for w in set(t)) for i, t in split.items()}
