@@ -166,6 +166,7 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A block has one row per shard: ``shard``, the lists ``id``, ``part``, ``digest`` and ``flags`` with an entry
     per document, ``row_start`` (one more entry than documents), and per stored entry ``term`` and ``amount``.
+    ``words`` and ``distinct_words`` are the sums and the entries of its rows.
     The dictionary has each word of the corpus once: (``word`` binary, ``term``), numbered from 0 without gaps.
     """
     part = F.col(part_col).cast("string") if part_col else F.lit(None).cast("string")
@@ -174,7 +175,7 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
     encoded = _with_offset(materialize(_encode(shards), "terms"))
     types = {f.name: f.dataType.simpleString() for f in shards.schema}
     kept = ("shard", "id", "part", "digest", "flags", "row_start", "amount")
-    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", term array<long>"
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", term array<long>, words array<long>, distinct_words array<long>"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def exchange(shard: pa.Table, runs: pa.Table) -> pa.Table:
@@ -182,9 +183,12 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
         offsets, terms = runs["offset"].to_numpy(), runs["terms"]
         to = np.concatenate([np.empty(0, np.int64), *(offsets[i] + np.frombuffer(terms[i].as_py(), "<i4") for i in order.tolist())])
         one = shard.combine_chunks().to_batches()[0]
-        codes = one.column("code")[0].values.to_numpy(zero_copy_only=False)
+        values = lambda c: one.column(c)[0].values.to_numpy(zero_copy_only=False)
+        start, running = values("row_start"), np.cumsum(values("amount"), dtype=np.int64)
+        sums = np.diff(np.concatenate([[0], running])[start])
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(
-            [*(one.column(c) for c in kept), pa.array([to[codes]], arrow.field("term").type)], schema=arrow)])
+            [*(one.column(c) for c in kept), listed(to[values("code")]), listed(sums), listed(np.diff(start))], schema=arrow)])
 
     # one shard at a time reaches a worker: as rows of a join they would come in batches of all that a task reads
     runs = encoded.where("shard IS NOT NULL").select("shard", "bucket", "offset", "terms")
@@ -200,17 +204,12 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def row_counts(blocks: DataFrame) -> DataFrame:
-    """(id, part, digest, flags, words, distinct_words) per document: row sums and stored entries of the CSR blocks."""
-    types = {f.name: f.dataType.elementType.simpleString() for f in blocks.schema if f.name in ("id", "part", "digest", "flags")}
+    """(id, part, digest, flags, words, distinct_words) per document: row sums and stored entries of the CSR blocks.
 
-    def work(batches: Iterator[dict]) -> Iterator[dict]:
-        for cols in batches:
-            for i in range(len(cols["shard"])):
-                start = cols["row_start"][i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                running = np.concatenate([[0], np.cumsum(cols["amount"][i].values.to_numpy(zero_copy_only=False), dtype=np.int64)])
-                yield {**{c: cols[c][i].values for c in types}, "words": np.diff(running[start]), "distinct_words": np.diff(start)}
-
-    return map_rows(blocks, ", ".join(f"{c} {t}" for c, t in types.items()) + ", words long, distinct_words long", work)
+    The sums came with the block, so its entries stay where they are and no second worker reads them.
+    """
+    per_document = ("id", "part", "digest", "flags", "words", "distinct_words")
+    return blocks.select(F.inline(F.arrays_zip(*per_document)))
 
 
 # --------------------------------------------------------------------- audit

@@ -312,3 +312,11 @@ def test_shards_get_their_terms_one_at_a_time(spark, monkeypatch):
             found[doc] = sorted(zip((word[t] for t in b.term[at]), b.amount[at]))
     split = {i: (t or "").split() for i, t in {**texts, 60: None}.items()}
     assert found == {i: sorted((w, t.count(w)) for w in set(t)) for i, t in split.items()}
+
+
+def test_row_sums_come_with_the_block(spark):
+    """The entries of a block are not sent to another worker to be counted."""
+    docs = spark.createDataFrame([(1, "a b a", "s"), (2, None, None), (None, "c", "s")], "doc_id long, text string, source string")
+    counts = filter_audit.row_counts(filter_audit.document_term_matrix(docs, part_col="source")[0])
+    assert "MapInArrow" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.part, r.words, r.distinct_words) for r in counts.collect()} == {(1, "s", 3, 2), (2, None, 0, 0), (None, "s", 1, 1)}
