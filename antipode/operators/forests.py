@@ -6,6 +6,10 @@ every tree of every group comes from one pass: rows are sent to the region they
 from the summed bins. A group of any size is spread over its bins, and a pass costs the same for one
 group as for thousands. A forest of depth d takes d passes, however many trees it has.
 
+Groups of up to ``SMALL_GROUP`` rows are grown, and scored, many together: each group's rows meet in a bucket of
+some ``BUCKET_ROWS`` rows, where the sums of all its trees are added up in arrays. Such a row is exchanged once,
+instead of once per tree, feature and level; larger groups take the passes above.
+
 Models that leave a fold out are grown from complements: the sums of all rows of a region minus those
 of the fold left out. Folds whose trees agree so far share their regions, so that the rows of a region
 are added up once for all of them and the number of folds or tags adds bins, not passes over rows.
@@ -18,11 +22,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegralType, StringType, StructField, StructType, _parse_datatype_string
 
 from antipode.operators.stats import binary_metrics, regression_metrics, spearman
 from antipode.scale import broadcast_if_small, materialize
@@ -32,6 +40,8 @@ BINS = 32
 GAIN_DECIMALS = 8
 
 NODES = "array<struct<node:int,feature:int,cut:double,left:double,right:double,gain:double>>"
+#: Rows of a group that one task may hold, rows that groups meet by in a task, and rows whose trees grow together.
+SMALL_GROUP, BUCKET_ROWS, BLOCK_ROWS = 100_000, 250_000, 50_000
 
 
 # ---------------------------------------------------------------------- bins
@@ -53,26 +63,35 @@ def feature_cuts(df: DataFrame, features: str, bins: int = BINS) -> list[list[fl
     return cuts
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles, null as NaN."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def with_bins(df: DataFrame, features: str, cuts: Sequence[Sequence[float]], out: str) -> DataFrame:
     """Add the bin of every feature: 0 if it has no value, else one more than the number of cuts below it."""
     edges = [np.asarray(c, float) for c in cuts]
 
-    @F.pandas_udf("array<smallint>")
-    def bins(column: pd.Series) -> pd.Series:
-        if not len(column):
-            return pd.Series([], dtype=object)
-        x = np.array([np.asarray(v, float) for v in column]).reshape(len(column), -1)
+    @F.arrow_udf("array<smallint>")
+    def bins(column: pa.Array) -> pa.Array:
+        x = _matrix(column)
         found = np.zeros(x.shape, np.int16)
         for f, e in enumerate(edges[: x.shape[1]]):
             found[:, f] = np.where(np.isnan(x[:, f]), 0, 1 + np.searchsorted(e, x[:, f], side="left"))
-        return pd.Series(list(found))
+        ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
     return df.withColumn(out, bins(F.transform(features, lambda v: v.cast("double"))))
 
 
-def _weight(key: Column, tree: Column) -> Column:
-    """How often a row is drawn for a tree: Poisson with mean 1, fixed by the row's key and the tree."""
-    u = F.pmod(F.xxhash64(key, tree), F.lit(1 << 20)) / F.lit(float(1 << 20))
+def _draw(key: Column, tree: Column) -> Column:
+    """A number in [0, 1) fixed by the row's key and the tree."""
+    return F.pmod(F.xxhash64(key, tree), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def _weight(u: Column) -> Column:
+    """How often a row is drawn for a tree: Poisson with mean 1, from its draw."""
     draw, reach, term = F.lit(8), 0.0, float(np.exp(-1))
     steps = []
     for k in range(8):
@@ -117,7 +136,7 @@ def grow(rows: DataFrame, cuts: Sequence[Sequence[float]], depth: int, trees: in
     base = rows.select("group", fold.alias("fold"), "x", F.col("y").cast("double").alias("y"), "key")
     if trees > 1:
         base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        base = base.withColumn("w", _weight(F.col("key"), F.col("tree"))).where("w > 0")
+        base = base.withColumn("w", _weight(_draw(F.col("key"), F.col("tree")))).where("w > 0")
     else:
         base = base.withColumn("tree", F.lit(0)).withColumn("w", F.lit(1.0))
     base = base.withColumn("region", F.lit("")).drop("key")
@@ -179,6 +198,172 @@ def grow(rows: DataFrame, cuts: Sequence[Sequence[float]], depth: int, trees: in
     return whole.groupBy("group", "model").agg(F.max("w").cast("long").alias("n"), F.array_sort(F.collect_list(tree)).alias("trees"))
 
 
+# ---------------------------------------------------- many small groups together
+
+def _best_splits(node: np.ndarray, nodes: int, x: np.ndarray, w: np.ndarray, wy: np.ndarray, features: Sequence[int],
+                 min_leaf: float) -> dict[str, np.ndarray]:
+    """Best split of each of ``nodes`` nodes from the rows' node numbers, bins and weights; gain 0 where there is none."""
+    best = {"gain": np.zeros(nodes), "feature": np.zeros(nodes, np.int32), "bin": np.zeros(nodes, np.int32),
+            "left": np.zeros(nodes), "right": np.zeros(nodes)}
+    for f in features:
+        bins = int(x[:, f].max(initial=0)) + 1
+        cell = node * bins + x[:, f]
+        weight = np.bincount(cell, w, nodes * bins).reshape(nodes, bins)
+        lw, ls = weight.cumsum(1), np.bincount(cell, wy, nodes * bins).reshape(nodes, bins).cumsum(1)
+        rw, rs = lw[:, -1:] - lw, ls[:, -1:] - ls
+        fits = (lw >= min_leaf) & (rw >= min_leaf) & (weight > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(fits, ls * ls / lw + rs * rs / rw - ls[:, -1:] * ls[:, -1:] / lw[:, -1:], 0.0)
+        rounded = np.round(gain, GAIN_DECIMALS)
+        at = (np.arange(nodes), rounded.argmax(1))  # the first bin among equals
+        better = rounded[at] > np.round(best["gain"], GAIN_DECIMALS)
+        one = tuple(i[better] for i in at)
+        best["gain"][better], best["feature"][better], best["bin"][better] = gain[one], f, one[1]
+        best["left"][better], best["right"][better] = ls[one] / lw[one], rs[one] / rw[one]
+    return best
+
+
+def _grown_block(group: np.ndarray, groups: int, x: np.ndarray, y: np.ndarray, weights: np.ndarray, looks: np.ndarray, depth: int,
+                 min_leaf: float) -> dict[str, np.ndarray]:
+    """Trees of all ``groups``: ``w`` and ``value`` per (group, tree); per slot of the heap feature (-1: no split), bin and the rest."""
+    trees, slots = weights.shape[1], (1 << depth) - 1
+    shape = (groups, trees, slots)
+    out = {"w": np.zeros(shape[:2]), "value": np.zeros(shape[:2]), "feature": np.full(shape, -1, np.int32), "bin": np.zeros(shape, np.int32),
+           **{c: np.zeros(shape) for c in ("left", "right", "gain")}}
+    for t in range(trees):
+        at = np.flatnonzero(weights[:, t])
+        g, bins, w = group[at], x[at], weights[at, t].astype(float)
+        wy = w * y[at]
+        out["w"][:, t] = np.bincount(g, w, groups)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out["value"][:, t] = np.bincount(g, wy, groups) / out["w"][:, t]
+        node = np.zeros(len(g), np.int64)  # slot of the heap
+        for _ in range(depth):
+            keys, inverse = np.unique(g * slots + node, return_inverse=True)
+            best = _best_splits(inverse, len(keys), bins, w, wy, np.flatnonzero(looks[t, : x.shape[1]]).tolist(), min_leaf)
+            split = best["gain"] > 0
+            split &= np.round(best["gain"], GAIN_DECIMALS) > 0
+            to = (keys[split] // slots, t, keys[split] % slots)
+            for c, values in best.items():
+                out[c][to] = values[split]
+            on = split[inverse]
+            g, bins, w, wy, node, mine = g[on], bins[on], w[on], wy[on], node[on], inverse[on]
+            node = 2 * node + 1 + (bins[np.arange(len(g)), best["feature"][mine]] > best["bin"][mine])
+    return out
+
+
+def _bucket(rows: int, spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def _grow_small(rows: DataFrame, size: int, cuts: Sequence[Sequence[float]], depth: int, trees: int, min_records: int, min_leaf: int,
+                share: float) -> DataFrame:
+    """(group, n, trees) of groups that fit one task, as ``grow`` makes them; ``size``: rows of all of them."""
+    spark, kind = rows.sparkSession, rows.schema["group"].dataType
+    one = F.transform(F.array(*[_draw(F.col("key"), F.lit(t)) for t in range(trees)]), lambda u: _weight(u).cast("tinyint"))
+    one = one if trees > 1 else F.array(F.lit(1).cast("tinyint"))
+    dealt = rows.select("group", "x", "y", one.alias("w"), F.pmod(F.xxhash64("group"), F.lit(_bucket(size, spark))).alias("bucket"))
+    looks = np.ones((trees, len(cuts)), bool)
+    if trees > 1 and share < 1 and cuts:  # trees x features flags
+        seen = [F.pmod(F.xxhash64(F.lit(t), F.lit(f)), F.lit(10_000)) < int(share * 10_000) for t in range(trees) for f in range(len(cuts))]
+        looks = np.array(spark.range(1).select(F.array(*seen)).first()[0]).reshape(trees, len(cuts))
+    edges = [np.concatenate([[-np.inf], np.asarray(c, float)]) for c in cuts]
+    schema = StructType([StructField("group", kind), *_parse_datatype_string(
+        f"n long, trees array<struct<tree:int,value:double,nodes:{NODES}>>").fields])
+    arrow = to_arrow_schema(schema)
+    tree_type = arrow.field("trees").type.value_type
+    node_type = tree_type.field("nodes").type.value_type
+
+    def block(names: pa.Array, counts: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        grown = _grown_block(group, len(names), x, y, w, looks, depth, min_leaf)
+        kept = grown["w"].ravel() > 0
+        slots = (1 << depth) - 1
+        flat = {c: grown[c].reshape(-1, slots)[kept].ravel() for c in ("feature", "bin", "left", "right", "gain")}
+        cut = np.full(len(flat["bin"]), -np.inf)
+        for f, e in enumerate(edges):
+            mine = flat["feature"] == f
+            cut[mine] = e[flat["bin"][mine]]
+        held = int(kept.sum())
+        columns = [pa.array(np.tile(np.arange(1, slots + 1, dtype=np.int32), held)), pa.array(flat["feature"]), pa.array(cut),
+                   *[pa.array(flat[c]) for c in ("left", "right", "gain")]]
+        nodes = pa.StructArray.from_arrays(columns, fields=list(node_type), mask=pa.array(flat["feature"] < 0))
+        heaps = pa.ListArray.from_arrays(pa.array(np.arange(held + 1, dtype=np.int32) * slots), nodes)
+        number = np.tile(np.arange(w.shape[1], dtype=np.int32), len(names))[kept]
+        forest = pa.StructArray.from_arrays([pa.array(number), pa.array(grown["value"].ravel()[kept]), heaps], fields=list(tree_type))
+        ends = np.concatenate([[0], kept.reshape(len(names), -1).sum(1).cumsum()]).astype(np.int32)
+        batch = pa.RecordBatch.from_arrays([names, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), forest)], schema=arrow)
+        return batch.filter(pa.array(np.diff(ends) > 0))
+
+    def fit(table: pa.Table) -> pa.Table:
+        coded = table["group"].combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        x, w = (_matrix(table[c].combine_chunks())[order].astype(np.int64) for c in ("x", "w"))
+        y = table["y"].to_numpy()[order]
+        counts = np.bincount(code, minlength=len(coded.dictionary))
+        ends = np.cumsum(counts)
+        part = (ends - counts) // BLOCK_ROWS
+        out = []
+        for i in np.unique(part).tolist():
+            of = np.flatnonzero((part == i) & (counts >= min_records))
+            if len(of):
+                rows = np.concatenate([np.arange(ends[j] - counts[j], ends[j]) for j in of.tolist()])
+                out.append(block(coded.dictionary.take(pa.array(of)), counts[of], np.repeat(np.arange(len(of)), counts[of]), x[rows], y[rows], w[rows]))
+        return pa.Table.from_batches(out, schema=arrow)
+
+    return dealt.groupBy("bucket").applyInArrow(fit, schema)
+
+
+def _score_small(df: DataFrame, size: int, models: DataFrame, group: str, features: str, depth: int, out: str) -> DataFrame:
+    """``score_per_group_trees`` of groups that fit one task: rows and models meet by bucket."""
+    bucket = F.pmod(F.xxhash64("_group"), F.lit(_bucket(size, df.sparkSession))).alias("_bucket")
+    rows = df.withColumn("_group", F.col(group)).withColumn("_x", F.transform(features, lambda v: v.cast("double"))).select("*", bucket)
+    kept = models.select(F.col(group).alias("_group"), F.col("trees").alias("_trees")).select("*", bucket)
+    schema = StructType([*df.schema.fields, StructField(out, _parse_datatype_string("double"))])
+    arrow, df_columns = to_arrow_schema(schema), df.columns
+
+    def score(rows: pa.Table, models: pa.Table) -> pa.Table:
+        if not (rows.num_rows and models.num_rows):
+            return arrow.empty_table()
+        known = models["_group"].combine_chunks()
+        model = pc.index_in(rows["_group"].combine_chunks(), value_set=known, skip_nulls=True)
+        valid = pc.is_valid(model)
+        rows, model = rows.filter(valid), model.filter(valid).to_numpy()
+        forests = models["_trees"].combine_chunks()
+        counts = np.diff(forests.offsets.to_numpy())
+        first = np.cumsum(counts) - counts
+        trees = forests.flatten()
+        heaps = trees.field("nodes")
+        begin, slots = heaps.offsets.to_numpy()[:-1], np.diff(heaps.offsets.to_numpy())
+        nodes, start = heaps.values, trees.field("value").to_numpy(zero_copy_only=False)
+        column = lambda c: nodes.field(c).to_numpy(zero_copy_only=False).astype(float)
+        there = pc.is_valid(nodes).to_numpy(zero_copy_only=False)
+        feature = np.where(there, np.nan_to_num(column("feature")), 0).astype(np.int64)
+        cut, left, right = (column(c) for c in ("cut", "left", "right"))
+        lists = rows["_x"].combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        lengths = np.where(pc.is_valid(lists).to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+        flat = np.append(lists.values.to_numpy(zero_copy_only=False), np.nan)
+        total, n = np.zeros(len(model)), counts[model]
+        for t in range(int(n.max(initial=0))):
+            has = np.flatnonzero(t < n)
+            tree = first[model[has]] + t
+            value, slot, on = start[tree].copy(), np.zeros(len(has), np.int64), np.arange(len(has))
+            for _ in range(depth):
+                on = on[slot[on] < slots[tree[on]]]
+                at = begin[tree[on]] + slot[on]
+                on, at = on[there[at]], at[there[at]]
+                f, row = feature[at], has[on]
+                v = flat[np.where(f < lengths[row], offsets[:-1][row] + f, len(flat) - 1)]
+                go = v > cut[at]  # NaN and null go left
+                value[on], slot[on] = np.where(go, right[at], left[at]), 2 * slot[on] + 1 + go
+            total[has] += value
+        return pa.Table.from_arrays([*(rows[c].cast(arrow.field(c).type) for c in df_columns), pa.chunked_array([total / n])], schema=arrow)
+
+    return rows.groupBy("_bucket").cogroup(kept.groupBy("_bucket")).applyInArrow(score, schema)
+
+
 def tree_value(x: Column, tree: Column, depth: int) -> Column:
     """Value of the leaf that the features ``x`` reach."""
     def step(at: Column, _: Column) -> Column:
@@ -216,26 +401,57 @@ def _key(df: DataFrame, key: str | None, trees: int) -> Column:
 
 def fit_per_group_trees(df: DataFrame, group: str, features: str, label: str, depth: int = 3, trees: int = 1, key: str | None = None,
                         min_records: int = 20, min_leaf: int = 5, share: float = 1.0, bins: int = BINS,
-                        cuts: Sequence[Sequence[float]] | None = None, trained: DataFrame | None = None) -> DataFrame:
+                        cuts: Sequence[Sequence[float]] | None = None, trained: DataFrame | None = None,
+                        small: int = SMALL_GROUP) -> DataFrame:
     """A tree or forest per group with enough rows: group, n, trees.
 
     ``n`` counts rows; groups listed in ``trained``, a table with the column ``group``, are skipped.
-    ``cuts`` fixes the cuts per feature.
+    ``cuts`` fixes the cuts per feature. Groups above ``small`` rows are spread over their bins.
     """
     if trained is not None:
         done = trained.select(F.col(group).alias("_done")).distinct()
         df = df.join(done, F.col(group) == F.col("_done"), "left_anti")
     rows, cuts = _rows(df, F.col(group), features, label, _key(df, key, trees), None, cuts, bins)
-    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_records)
-    models = grow(rows.join(counts.select("group"), "group", "left_semi"), cuts, depth, trees, min_leaf, share)
-    return models.drop("n").join(counts, "group").select(F.col("group").alias(group), F.col("_n").alias("n"), "trees")
-
-
-def score_per_group_trees(df: DataFrame, models: DataFrame, group: str, features: str, depth: int = 3, out: str = "predicted") -> DataFrame:
+    counts = materialize(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    few, large = _sizes(counts, small)
+    found = []
+    if few:
+        above = broadcast_if_small(counts.where(F.col("n") > small).select("group"))
+        found.append(_grow_small(rows.join(above, "group", "left_anti") if large else rows, few, cuts, depth, trees, min_records, min_leaf, share))
+    if large or not few:
+        big = counts.where(F.col("n") >= min_records)
+        big = big.where(F.col("n") > small) if few else big
+        # the keys are broadcast: an exchange of the rows by group would bring each group into one task
+        models = grow(rows.join(broadcast_if_small(big.select("group")), "group", "left_semi"), cuts, depth, trees, min_leaf, share)
+        found.append(models.drop("n").join(big, "group").select("group", "n", "trees"))
+    return reduce(DataFrame.unionByName, found).select(F.col("group").alias(group), "n", "trees")
+
+
+def _sizes(counts: DataFrame, small: int) -> tuple[int, int]:
+    """(rows of groups of up to ``small`` rows, number of larger groups) of (group, n); groups whose key is not a plain value count as large."""
+    few, large = counts.agg(F.sum(F.when(F.col("n") <= small, F.col("n"))), F.count_if(F.col("n") > small)).first()
+    plain = isinstance(counts.schema["group"].dataType, (IntegralType, StringType, BooleanType))
+    return (few or 0, large) if plain else (0, 1)
+
+
+def score_per_group_trees(df: DataFrame, models: DataFrame, group: str, features: str, depth: int = 3, out: str = "predicted",
+                          small: int = SMALL_GROUP) -> DataFrame:
     """Prediction of each row by its group's model; rows of groups without one are left out."""
-    kept = models.select(F.col(group).alias("_group"), F.col("trees").alias("_trees"))
-    return df.join(kept, F.col(group) == F.col("_group")).withColumn(
-        out, forest_value(F.col(features), F.col("_trees"), depth)).drop("_group", "_trees")
+    counts = materialize(df.groupBy(F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    few, large = _sizes(counts, small)
+    found = []
+    if few:
+        above = broadcast_if_small(counts.where(F.col("n") > small).select(F.col("group").alias("_above")))
+        held = df.join(above, F.col(group) == F.col("_above"), "left_anti") if large else df
+        found.append(_score_small(held, few, models, group, features, depth, out))
+    if large or not few:
+        kept = models.select(F.col(group).alias("_group"), F.col("trees").alias("_trees"))
+        if few:
+            above = broadcast_if_small(counts.where(F.col("n") > small).select(F.col("group").alias("_above")))
+            kept = kept.join(above, F.col("_group") == F.col("_above"), "left_semi")
+        found.append(df.join(kept, F.col(group) == F.col("_group")).withColumn(
+            out, forest_value(F.col(features), F.col("_trees"), depth)).drop("_group", "_trees"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fit_trees(df: DataFrame, features: str, label: str, depth: int = 3, trees: int = 1, key: str | None = None, min_leaf: int = 5,

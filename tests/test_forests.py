@@ -186,3 +186,24 @@ def test_classifier_and_tag_scores(frame):
     assert set(s) == {"t1", "t2", "t3"} and all(r.rho > 0.5 for r in s.values())
     f = T.fold_scores(rows, "tag", "x", "y", depth=2).collect()
     assert sum(r.n for r in f) == 500 and all(r.r2 > 0.4 for r in f)
+
+
+@pytest.mark.parametrize("trees", [1, 5])
+def test_small_groups_grow_and_score_as_large_ones(frame, trees):
+    """All groups in buckets, all spread over their bins, and some of each give the same trees and predictions."""
+    settings = {"depth": 3, "trees": trees, "key": "id", "share": 0.7 if trees > 1 else 1.0, "min_leaf": 4}
+    got = []
+    for small in (0, 60, 100_000):
+        models = T.fit_per_group_trees(frame, "g", "x", "y", small=small, **settings)
+        kept = {r.g: (r.n, r.trees) for r in models.collect()}
+        scored = {r.id: r.predicted for r in T.score_per_group_trees(frame, models, "g", "x", 3, small=small).collect()}
+        got.append((kept, scored))
+    for kept, scored in got[1:]:
+        assert {g: n for g, (n, _) in kept.items()} == {g: n for g, (n, _) in got[0][0].items()} and "few" not in kept
+        for g, (_, forest) in kept.items():
+            for a, b in zip(forest, got[0][0][g][1], strict=True):
+                assert a.tree == b.tree and a.value == pytest.approx(b.value)
+                for m, n in zip(a.nodes, b.nodes, strict=True):
+                    assert (m is None) == (n is None)
+                    assert m is None or tuple(m)[:3] == tuple(n)[:3] and tuple(m)[3:] == pytest.approx(tuple(n)[3:])
+        assert scored == pytest.approx(got[0][1])
