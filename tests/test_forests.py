@@ -207,3 +207,17 @@ def test_small_groups_grow_and_score_as_large_ones(frame, trees):
                     assert (m is None) == (n is None)
                     assert m is None or tuple(m)[:3] == tuple(n)[:3] and tuple(m)[3:] == pytest.approx(tuple(n)[3:])
         assert scored == pytest.approx(got[0][1])
+
+
+def test_rows_of_one_group_are_not_exchanged_by_it(spark, frame):
+    """All rows as one large group: no exchange brings them together in one task."""
+    seen = []
+    grow = T.grow
+    T.grow = lambda rows, *a: seen.append(rows) or grow(rows, *a)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        T.fit_per_group_trees(frame.withColumn("one", F.lit(0)), "one", "x", "y", depth=1, small=10)
+    finally:
+        T.grow = grow
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in seen[0]._jdf.queryExecution().executedPlan().toString()
