@@ -214,3 +214,40 @@ def test_centers_in_parts_score_alike(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(G, "SHIFTED_CELLS", 300)
     assert len(want) > 5 and run() == want
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_distance_edges_of_small_and_large_structures(spark, monkeypatch, few):
+    """Pairs by brute force, whether structures are cut into cubes or compared whole."""
+    monkeypatch.setattr(G, "FEW_POINTS", few)
+    rng = np.random.default_rng(3)
+    points = [(g, i, *np.round(rng.uniform(0, 3, 3), 1).tolist()) for g, n in ((1, 40), (2, 4), (3, 1), (4, 5)) for i in range(n)]
+    points += [(2, 9, *points[40][2:]), (4, 9, None, 1.0, 1.0)]  # a copy, and one without a place
+    df = spark.createDataFrame(points, "graph_id long, node int, x double, y double, z double")
+    got = G.distance_edges(df, 1.03)
+    copies = got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert (copies == 0) == (few == 64)
+    want = {}
+    for a, b in itertools.combinations([p for p in points if None not in p], 2):
+        d = math.dist(a[2:], b[2:])
+        if a[0] == b[0] and 0.1 < d <= 1.03:
+            want[a[0], min(a[1], b[1]), max(a[1], b[1])] = d
+    assert {(r.graph_id, r.u, r.v): r.d for r in got.collect()} == pytest.approx(want)
+
+
+def test_order_needs_no_join(spark, random_graphs):
+    """Degrees reach the nodes through a window; order and renumbered edges agree with brute force."""
+    edges, _ = tables(spark, random_graphs)
+    nodes = [(g, i, (7 * i + g) % 3, i % 2) for g, (n, _) in random_graphs.items() for i in range(n)]
+    pos = G.canonical_order(spark.createDataFrame(nodes, "graph_id long, node int, atomic int, rank int"), edges)
+    moved = G.reorder_edges(edges, pos)
+    assert "Join" not in pos._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(pos.dtypes) == {"graph_id": "bigint", "node": "int", "pos": "int"}
+    place = {}
+    for g, (n, es) in random_graphs.items():
+        degree = [sum(i in e[:2] for e in es) for i in range(n)]
+        ranked = sorted(range(n), key=lambda i: (-((7 * i + g) % 3), -degree[i], i % 2, i))
+        place.update({(g, i): p for p, i in enumerate(ranked)})
+    assert {(r.graph_id, r.node): r.pos for r in pos.collect()} == place
+    want = sorted((g, *sorted((place[g, u], place[g, v])), w) for g, (_, es) in random_graphs.items() for u, v, w in es)
+    assert sorted(map(tuple, moved.collect())) == want
