@@ -116,3 +116,13 @@ def test_auc_with_ties(spark):
 
 def test_shared_folder_follows_the_session(spark):
     assert scale.fresh_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_rows_of_a_task_are_bounded(spark):
+    """A long table is dealt to more tasks than the shuffle width, a short one is not; numbers stay the same."""
+    df = spark.range(4000).select((F.col("id") % 900).alias("g"), F.col("id").alias("v"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long = scale.group_row_number(df, ["g"], [F.asc("v")], "n", task_rows=100)
+    short = scale.group_row_number(df, ["g"], [F.asc("v")], "n", task_rows=4000 // width + 1)
+    assert long.rdd.getNumPartitions() == 40 > width and "REPARTITION_BY_NUM" not in short._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, short.collect())) == sorted((v % 900, v, v // 900 + 1) for v in range(4000))
