@@ -11,8 +11,8 @@ two texts differ in more than their fingerprints hold, and the pair is tried aga
 hashes.
 
 Cells are rows of a table that is dealt out by document, so building, folding, subtracting and peeling all
-run where the document lies, without another exchange. Digests are written once; only pairs
-that failed are read again.
+run where the document lies, without another exchange. Digests are written once; pairs that failed are read again,
+and the digests are dealt out once more for the fingerprints that are printed.
 """
 
 from __future__ import annotations
@@ -230,11 +230,14 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
         grow += 1
         tried = bucketed(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "bucket", buckets)
         found = found.unionByName(tried.where("ok").drop("ok"))
-    near = found.repartition(buckets, "bucket").groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
+    near = found.repartition(buckets, *keys).groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
                                       for k in (0, 1) for c in ("only_a", "only_b")])
-    printed = printed_sketches(prints, keys, ["fingerprint", "edited_fingerprint"])
+    # the digests are dealt out as the last join needs them, so that no fingerprint, ten times their size, is exchanged
+    placed = stored.select(*keys, "own", "changed").repartition(buckets, *keys)
+    printed = printed_sketches(sketch_cells(placed, keys, sides[:2]), keys, ["fingerprint", "edited_fingerprint"])
     sizes = [F.size(c).alias(f"n_{c}") for c in sides]
-    out = stored.select(*keys, "id", "n_chars", "edited_sha256", *sizes).join(near, keys, "left").join(printed, keys, "left")
+    out = stored.select(*keys, "id", "n_chars", "edited_sha256", *sizes).repartition(buckets, *keys)
+    out = out.join(near, keys, "left").join(printed, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         F.when(F.col("id") == _LOWEST, None).otherwise(F.col("id")).alias(id_col), "n_chars", "edited_sha256",

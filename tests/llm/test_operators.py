@@ -137,6 +137,19 @@ def test_fingerprints(spark, docs, small):
     assert fingerprints.fingerprint_versions(frame(spark, {1: "a. b."}, [(1, "a. b.", None, None, None, 1, "")])).count() == 2
 
 
+def test_fingerprints_are_not_exchanged(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fingerprints.fingerprint_versions(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    below = lambda i: next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+    printed = [i for i, line in enumerate(plan) if "collect_list" in line]
+    assert printed and not any("Exchange" in line and i < k < below(i) for i, line in enumerate(plan) for k in printed)
+
+
 def test_fingerprints_settle_near_versions_and_retry(spark, monkeypatch):
     rng = np.random.default_rng(11)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
