@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,18 @@ def bucketed(df: DataFrame, column: str, buckets: int, **options: str) -> DataFr
     return df.sparkSession.table(name)
 
 
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside join tables bucketed by one of several join keys where they lie, without an exchange."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,5 +103,5 @@ def uniform_of(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-__all__ = ["ASCII_SPACE", "CHUNK_BYTES", "WORD_PATTERN", "bucket_of", "bucketed", "map_rows", "materialize",
+__all__ = ["ASCII_SPACE", "CHUNK_BYTES", "WORD_PATTERN", "bucket_of", "bucketed", "joined_in_place", "map_rows", "materialize",
            "range_cuts", "read_table", "shuffle_width", "spread_files", "uniform_of"]

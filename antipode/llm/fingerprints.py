@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antipode.llm.common import bucket_of, bucketed, range_cuts, shuffle_width
+from antipode.llm.common import bucket_of, bucketed, joined_in_place, range_cuts, shuffle_width
 
 ROWS = 3
 #: Pieces of more code points than this are cut further, words of more than ``WORD_ABOVE`` too.
@@ -31,6 +31,8 @@ MARKS = "[.!?\\n。．！？；｡।]+"
 _CUT = "\x01"
 #: Rounds of peeling; each takes one row of cells, so three passes over all.
 PEELS = 9
+#: Shares of a range of documents; several small shares in a task even out what ranges of long texts would bring into one.
+SHARES = 4
 _LOWEST = -(2**63)
 
 
@@ -208,7 +210,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a pair that these cannot settle is tried with sketches for the digests of both, then at twice the size until none is left.
     """
     spark = docs.sparkSession
-    rows = with_next_text(docs, id_col, text_col)
+    rows = with_next_text(docs, id_col, text_col).withColumn("bucket", F.col("bucket") * SHARES + F.pmod("pos", F.lit(SHARES)))
     keys = ["bucket", "pos"]
     base = rows.select(*keys, "id", F.char_length("text").cast("long").alias("n_chars"),
                        F.col("digests").alias("own"), "next",
@@ -228,7 +230,8 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     while not (failed := tried.where("not ok").select(*by)).isEmpty():
         sized = table.join(failed, by, "left_semi").withColumn("w", _width(F.size("own") + F.size("other"), grow))
         grow += 1
-        tried = bucketed(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "bucket", buckets)
+        with joined_in_place(spark):  # both tables are bucketed alike
+            tried = bucketed(peel(subtract_cells(sized, by, seed=grow), by, seed=grow), "bucket", buckets)
         found = found.unionByName(tried.where("ok").drop("ok"))
     near = found.repartition(buckets, *keys).groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
                                       for k in (0, 1) for c in ("only_a", "only_b")])

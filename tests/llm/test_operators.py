@@ -150,6 +150,22 @@ def test_fingerprints_are_not_exchanged(spark, docs):
     assert printed and not any("Exchange" in line and i < k < below(i) for i, line in enumerate(plan) for k in printed)
 
 
+def test_retried_fingerprints_stay_where_they_are(spark, docs, monkeypatch):
+    before, plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+
+    def keep(df, column, *rest, stored=fingerprints.bucketed):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, column, *rest)
+    monkeypatch.setattr(fingerprints, "bucketed", keep)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert fingerprints.fingerprint_versions(docs).select("near_next").where("near_next > 1").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    retries = plans[2:]
+    assert retries and not any("Exchange" in p for p in retries)
+
+
 def test_fingerprints_settle_near_versions_and_retry(spark, monkeypatch):
     rng = np.random.default_rng(11)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
