@@ -120,9 +120,9 @@ def fit_regressor(spark, d):
 
 @query("fit_global")
 def fit_global(spark, d):
-    rows = document_rows(spark, d)
-    model = M.fit_global(rows.drop("features"), "x", "lang", "label", trees=5)
-    scored = model.transform(rows.drop("features").withColumn("vec_features", array_to_vector(F.col("x"))))
+    rows = materialize(document_rows(spark, d).drop("features"), "training")  # the texts are read once, not in every pass
+    model = M.fit_global(rows, "x", "lang", "label", trees=5)
+    scored = model.transform(rows.withColumn("vec_features", array_to_vector(F.col("x"))))
     return scored.select("doc_id", "lang", F.round("prediction", 4).alias("prediction"))
 
 

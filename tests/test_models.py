@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from antipode.operators import models as M
 from antipode.operators import stats as T
+from antipode.plans import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,8 @@ def test_classifier_scored_by_other_groups(rows):
     tags = M.fold_values(d, "g")[:2]
     few = d.where(F.col("g").isin(tags))
     assert M.classifier_group_out(few, "g", tags, trees=2).first().n == few.count()
+
+
+def test_global_model_reads_the_texts_once(spark):
+    scored = QUERIES["fit_global"](spark, "/root/testdata/sf0.001")
+    assert scored.count() and not any("documents.parquet" in f for f in scored.inputFiles())
