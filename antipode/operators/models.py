@@ -24,6 +24,8 @@ from antipode.operators.stats import binary_metrics, regression_metrics, spearma
 from antipode.scale import group_row_number, materialize
 
 SEED = 42
+#: Feature lists of up to so many numbers are added up by Spark's own aggregates.
+NARROW = 8
 
 
 def assemble_features(df: DataFrame, vec: str, descriptors: Sequence[str], score: str, sign: str,
@@ -89,15 +91,32 @@ def fit_global(df: DataFrame, vec: str, target: str, label: str, trees: int = 20
     ]).fit(data)
 
 
+def _summed_products(rows: DataFrame, size: int) -> DataFrame:
+    """(g, s): sums of the products of (1, x) with itself, row after row, and with y. ``rows``: g, x of ``size`` numbers, y.
+
+    One row per group and map task is exchanged, whatever the order of the rows.
+    """
+    fits = F.when(F.size("x") == size, F.col("x")).otherwise(F.raise_error(F.lit("feature lists of unequal length")))
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(float("nan")))
+    read = rows.withColumn("x", fits).select("g", F.lit(1.0).alias("x0"), *[
+        number(F.col("x")[i]).alias(f"x{i + 1}") for i in range(size)], "y")
+    pairs = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
+    sums = read.groupBy("g").agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+                                 *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"y{i}") for i in range(size + 1)])
+    around = range(size + 1)
+    return sums.select("g", F.array(*[f"p{min(i, j)}_{max(i, j)}" for i in around for j in around], *[f"y{i}" for i in around]).alias("s"))
+
+
 def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: float = 1.0,
                   min_records: int = 20, held: int = 4096, trained: DataFrame | None = None,
                   inverse: bool = False) -> DataFrame:
     """Ridge regression per group: group, n, intercept, coefficients.
 
-    Each task passes its partial sums on once it holds ``held`` groups. Groups listed in ``trained``, a
+    Feature lists of more than ``NARROW`` numbers are added up in Python; each task passes its partial sums on once it holds ``held`` groups. Groups listed in ``trained``, a
     table with the column ``group`` such as earlier models, are skipped. ``inverse`` adds the inverse of
     the penalised X'X, row after row.
     """
+    size = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(F.size(features)).first()
     if trained is not None:
         done = trained.select(F.col(group).alias("_done")).distinct()
         df = df.join(done, F.col(group).eqNullSafe(F.col("_done")), "left_anti")
@@ -133,12 +152,15 @@ def fit_per_group(df: DataFrame, group: str, features: str, label: str, ridge: f
 
     rows = df.select(F.col(group).alias("g"), F.col(features).alias("x"), F.col(label).cast("double").alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    partials = rows.mapInPandas(partial, f"g {g_type}, s array<double>")
-    summed = partials.select("g", F.posexplode("s").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"))
-    # d * d + d numbers per group, whatever its number of rows
-    lists = summed.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    lists = lists.select("g", F.transform("s", lambda x: x["v"]).alias("s")).withColumn("n", F.col("s")[0].cast("long")).where(
-        F.col("n") >= min_records)
+    if size is not None and size[0] <= NARROW:
+        lists = _summed_products(rows, size[0])
+    else:
+        partials = rows.mapInPandas(partial, f"g {g_type}, s array<double>")
+        summed = partials.select("g", F.posexplode("s").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"))
+        # d * d + d numbers per group, whatever its number of rows
+        lists = summed.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+        lists = lists.select("g", F.transform("s", lambda x: x["v"]).alias("s"))
+    lists = lists.withColumn("n", F.col("s")[0].cast("long")).where(F.col("n") >= min_records)
 
     @F.pandas_udf("array<double>")
     def solve(col: pd.Series) -> pd.Series:

@@ -103,3 +103,17 @@ def test_classifier_scored_by_other_groups(rows):
 def test_global_model_reads_the_texts_once(spark):
     scored = QUERIES["fit_global"](spark, "/root/testdata/sf0.001")
     assert scored.count() and not any("documents.parquet" in f for f in scored.inputFiles())
+
+
+def test_narrow_ridge_exchanges_one_row_per_group_and_task(rows, monkeypatch):
+    _, df = rows
+    narrow = M.fit_per_group(df, "g", "x", "y", min_records=5)
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "posexplode" not in plan
+    monkeypatch.setattr(M, "NARROW", 0)
+    wide = {r.g: r for r in M.fit_per_group(df, "g", "x", "y", min_records=5).collect()}
+    found = narrow.collect()
+    assert {r.g for r in found} == set(wide)
+    for r in found:
+        assert (r.n, r.intercept) == (wide[r.g].n, pytest.approx(wide[r.g].intercept, rel=1e-9))
+        assert r.coefficients == pytest.approx(wide[r.g].coefficients, rel=1e-9)
