@@ -36,6 +36,7 @@ def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[d
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x, pa.Array) else pa.array(x, type=f.type)
                  for f, x in zip(arrow, (out[f.name] for f in arrow), strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task would keep it
 
     def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

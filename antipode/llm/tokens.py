@@ -3,7 +3,7 @@
 The vocabulary drops white space before it splits a text, so no token spans two
 words and the ids of a text are the ids of its words in a row. Arrow splits the texts of a
 batch and numbers their distinct words, so Python meets each word once a batch. Each task keeps the
-words it has met with their ids and asks the tokenizers library for the others,
+words it met last with their ids and asks the tokenizers library for the others,
 many at a time. Words that are not plain letters, and texts that could hold a special token or a
 combining mark, are encoded as they stand.
 """
@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words a task remembers before it starts anew; a bound on memory only.
-REMEMBERED = 1_000_000
+#: Words a worker remembers, next to those of one batch; a bound on memory only. The half met last stays when the older half goes.
+REMEMBERED = 200_000
 _LETTERS_PER_CALL = 500
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -45,7 +45,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 2**16 else "<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.remembered, self.known = remembered, {b"": b""}
+        self.remembered, self.known, self.older = remembered, {b"": b""}, {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -88,15 +88,22 @@ class WordEncoder:
             raw = ids.tobytes()
             self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
 
+    def _not_known(self, words: list[bytes]) -> list[bytes]:
+        """The words to learn; older ones that are met again count as met last."""
+        known, older = self.known, self.older
+        rest = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in rest if w in older)
+        return [w for w in rest if w not in older]
+
     def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts as the ids of their words, looked up once per distinct word."""
         # a view: bytes are split at ASCII white space, whether or not they are valid UTF-8
         split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
         numbered = split.values.view(pa.binary()).dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        if len(self.known) > self.remembered:
-            self.known = {b"": b""}
-        self._learn([w for w in words if w not in self.known])
+        if 2 * len(self.known) > self.remembered:
+            self.known, self.older = {b"": b""}, self.known
+        self._learn(self._not_known(words))
         ids = [self.known[w] for w in words]
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // self.dtype.itemsize
         lists = pa.LargeListArray.from_arrays(
