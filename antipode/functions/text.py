@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +55,39 @@ def cell_parameters(text: Column) -> list[Column]:
 def strip_uncertainty(text: Column) -> Column:
     """``1.23(5)`` to ``1.23``."""
     return F.regexp_replace(text, r"\(.*", "")
+
+
+def _fixed(x: float | None, digits: int) -> str:
+    """Java's ``%.<digits>f``: the shortest decimal of a number is rounded half up."""
+    if x is None or not np.isfinite(x):
+        return "null" if x is None else "NaN" if np.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    return f"{Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP):f}" if abs(x) < 1e15 else f"{Decimal(repr(x)):.{digits}f}"
+
+
+def joined_numbers(numbers: Column | str, digits: int) -> Column:
+    """The numbers of an array with so many decimals, as ``format_string`` prints them, with commas between."""
+
+    @F.arrow_udf("string")
+    def text(col: pa.Array) -> pa.Array:
+        flat = col.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        plain = x.tolist() if not flat.null_count else flat.to_pylist()
+        with np.errstate(invalid="ignore", over="ignore"):
+            part = np.modf(np.abs(x) * 10.0**digits)[0]
+            odd = ~(np.abs(x) < 1e8) | (np.abs(part - 0.5) < 1e-4)  # C rounds the binary number, which matters next to a half only
+        whole = {i: _fixed(plain[i], digits) for i in np.flatnonzero(odd).tolist()}
+        out, at, one = [], 0, f"%.{digits}f"
+        odd_before = np.concatenate([[0], np.cumsum(odd)]).tolist()
+        for n in col.value_lengths().to_pylist():
+            if n is None:
+                out.append(None)
+                continue
+            end = at + n
+            if odd_before[end] == odd_before[at]:
+                out.append(",".join([one] * n) % tuple(plain[at:end]))
+            else:
+                out.append(",".join(whole[i] if i in whole else one % plain[i] for i in range(at, end)))
+            at = end
+        return pa.array(out, pa.string())
+
+    return text(numbers)

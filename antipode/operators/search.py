@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -488,14 +489,15 @@ def random_project(df: DataFrame, vec: str, raw_dim: int, nbits: int, out: str =
     """Multiply each vector by the fixed projection matrix; a missing vector stays missing."""
     matrix = projection_matrix(raw_dim, nbits, seed)
 
-    @F.pandas_udf("array<double>")
-    def project(col: pd.Series) -> pd.Series:
-        out: list = [None] * len(col)
-        known = np.flatnonzero(col.notna().to_numpy())
-        if len(known):
-            for i, row in zip(known, _stack(col.iloc[known]) @ matrix):
-                out[i] = row
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<double>")
+    def project(col: pa.Array) -> pa.Array:
+        known = col.is_valid().to_numpy(zero_copy_only=False)
+        values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        if set(col.value_lengths().drop_null().unique().to_pylist()) - {raw_dim}:
+            raise ValueError(f"vectors of {raw_dim} numbers are expected")
+        rows = values.reshape(-1, raw_dim) @ matrix
+        starts = np.concatenate([[0], np.cumsum(known * nbits)]).astype(np.int32)
+        return pa.ListArray.from_arrays(starts, rows.ravel(), mask=pa.array(~known))
 
     return df.withColumn(out, project(F.col(vec)))
 

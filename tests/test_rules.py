@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,18 @@ def test_hill_climb_follows_single_flips(spark):
     assert {r.seed_id for r in trace if r.iteration == 1} == {0, 1, 2}  # seed 3 stopped
     assert all(r.gain == 0 for r in trace if r.iteration == 1)
     assert max(r.iteration for r in trace) == 1
+
+
+def test_joined_numbers_print_as_format_string_without_parsing_a_format_per_number(spark):
+    from antipode.functions.text import joined_numbers
+
+    rng = np.random.default_rng(3)
+    rows = [(i, x) for i, x in enumerate([
+        None, [], [0.0, -0.0, -1e-9, 1e-9], [0.123455, 0.000005, -0.000005, 1.000005, 2.5], [1e7, 123456789.123455, -1e14, 1e16],
+        [float("nan"), float("inf"), float("-inf"), None]] + [(rng.normal(size=4) * 10.0**e).tolist() for e in range(-8, 9)]
+        + [(np.arange(i, i + 50) / 1e6).tolist() for i in range(0, 400, 50)])]
+    df = spark.createDataFrame(rows, "i int, x array<double>")
+    want = F.array_join(F.transform("x", lambda v: F.format_string("%.5f", v)), ",")
+    got = df.select("x", want.alias("want"), joined_numbers("x", 5).alias("got"))
+    assert [(r.x, r.got) for r in got.collect() if r.got != r.want] == []
+    assert "format_string" not in df.select(joined_numbers("x", 5))._jdf.queryExecution().toString()
