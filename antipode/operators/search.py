@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from antipode.functions.vectors import ZERO_NORM, combine_vectors, l2_distance, norm
-from antipode.scale import first_per_group, materialize, top_per_group
+from antipode.scale import first_per_group, materialize, spread, top_per_group
 
 SMALL_BYTES = 32 << 20  # largest vector set sent to every task
 SMALL_ROWS = 2000
@@ -40,6 +40,7 @@ GROUP_BYTES = 16 << 20  # vectors of one side of a tile task, and of the routes
 TILE_ROWS = 1024  # rows per side multiplied at once: 8 MB of products
 SAMPLE_ROWS = 2048  # corpus rows that give each query its first bound
 DOT_SLACK = 1e-9
+NEAR = 1e-11  # similarities this close are told apart by their rounded values
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -465,6 +466,135 @@ def novel_screen(outcomes: DataFrame, vectors: DataFrame, corpus: DataFrame, cut
              (F.coalesce("ee", F.lit(0.0)) / 100 + 0.5).alias("priority"))
 
 
+class _Rivals:
+    """For asked pairs (query, expected row, their similarity): how many rows of a corpus come before the expected one, up to ``limit``."""
+
+    def __init__(self, asked: pd.DataFrame, d: int, limit: int):
+        self.query, self.expected, self.similarity = (asked[c].to_numpy() for c in ("query_id", "expected_id", "similarity"))
+        self.units, self.limit = _joined(asked["unit"], d), limit
+        self.seen = np.zeros(len(asked), np.int64)
+
+    def meet(self, ids: np.ndarray, units: np.ndarray) -> None:
+        for b in range(0, len(units), TILE_ROWS):
+            some, e = ids[b:b + TILE_ROWS], units[b:b + TILE_ROWS]
+            order = np.argsort(some)
+            still = np.flatnonzero(self.seen < self.limit)
+            for a in range(0, len(still), TILE_ROWS):
+                self._meet(still[a:a + TILE_ROWS], some, order, e)
+
+    def _meet(self, at: np.ndarray, ids: np.ndarray, order: np.ndarray, e: np.ndarray) -> None:
+        dots, cosine = self.units[at] @ e.T, 2 * self.similarity[at] - 1
+        place = order[np.minimum(np.searchsorted(ids, self.query[at], sorter=order), len(ids) - 1)]
+        own = np.flatnonzero(ids[place] == self.query[at])
+        dots[own, place[own]] = -2.0  # a query is no rival of its own
+        above = dots > (cosine + 2 * NEAR)[:, None]
+        self.seen[at] += above.sum(1)
+        i, j = np.nonzero((dots >= (cosine - 2 * NEAR)[:, None]) & ~above)
+        if len(i):  # too close to tell without the rounding
+            rounded, known, mine = np.round((np.clip(dots[i, j], -1.0, 1.0) + 1.0) / 2.0, 12), self.similarity[at[i]], self.expected[at[i]]
+            before = (ids[j] != mine) & ((rounded > known) | ((rounded == known) & (ids[j] < mine)))
+            np.add.at(self.seen, at[i[before]], 1)
+
+
+def expected_ranks(queries: DataFrame, corpus: DataFrame, expected: DataFrame, limit: int) -> DataFrame:
+    """Ranks up to ``limit`` of the rows that queries expect, as ``cosine_topk`` would give them without the queries' own rows.
+
+    ``expected``: query_id, expected_id. Output: query_id, entity_id, rank. A pair is settled once ``limit`` rows are known
+    to come before: most are after a sample of the corpus, and only the others meet all of it.
+    """
+    queries = queries.where(norm(F.col("vec")) >= ZERO_NORM)
+    corpus = corpus.where((norm(F.col("vec")) >= ZERO_NORM) & F.col("entity_id").isNotNull())
+    repeated = lambda df, c: not df.groupBy(c).count().where("count > 1").isEmpty()
+    if repeated(corpus, "entity_id") or repeated(queries, "query_id"):  # a rank of such an id is not one place
+        return cosine_topk(queries, corpus, limit, skip_self=True).select("query_id", "entity_id", "rank")
+    first = corpus.select(F.size("vec").alias("d")).first()
+    schema = _result_schema(queries, corpus)
+    q_type, e_type = (schema[c].dataType.simpleString() for c in ("query_id", "entity_id"))
+    if first is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {q_type}, entity_id {e_type}, rank int")
+    d = first["d"]
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                unit = _unit(_stack(pdf["vec"]))
+                dots = np.einsum("pd,pd->p", unit, _unit(_stack(pdf["other"])))
+                yield pd.DataFrame({"query_id": pdf["query_id"], "expected_id": pdf["expected_id"], "unit": [row.tobytes() for row in unit],
+                                    "similarity": np.round((np.clip(dots, -1.0, 1.0) + 1.0) / 2.0, 12)})
+
+    pairs = expected.where(F.col("query_id") != F.col("expected_id")).distinct().join(queries.select("query_id", "vec"), "query_id").join(
+        corpus.select(F.col("entity_id").alias("expected_id"), F.col("vec").alias("other")), "expected_id")
+    pair_kinds = f"query_id {q_type}, expected_id {e_type}"
+    asked = materialize(pairs.select("query_id", "expected_id", "vec", "other").mapInPandas(pair, f"{pair_kinds}, unit binary, similarity double"), "asked")
+    entities, most = corpus.count(), max(1, GROUP_BYTES // (8 * d))
+    for rows in (SAMPLE_ROWS, 16 * SAMPLE_ROWS):
+        if entities > 2 * min(rows, most):
+            asked = _unsettled(asked, corpus, d, limit, min(rows, most))
+    open_pairs = asked.count()
+    if open_pairs <= most:
+        counts = _rivals_of_few(asked, corpus, d, limit, f"{pair_kinds}, seen long")
+    else:
+        counts = _rivals_in_tiles(asked, corpus, d, limit, f"{pair_kinds}, seen long", open_pairs, entities)
+    return counts.groupBy("query_id", "expected_id").agg(F.sum("seen").alias("seen")).where(F.col("seen") < limit).select(
+        "query_id", F.col("expected_id").alias("entity_id"), (F.col("seen") + 1).cast("int").alias("rank"))
+
+
+def _unsettled(asked: DataFrame, corpus: DataFrame, d: int, limit: int, rows: int) -> DataFrame:
+    """Pairs that fewer than ``limit`` of some corpus rows come before."""
+    sample = corpus.select("entity_id", "vec", F.xxhash64("entity_id").alias("_h")).orderBy("_h").limit(rows).select("entity_id", "vec").toPandas()
+    ids, units = sample["entity_id"].to_numpy(), _unit(_stack(sample["vec"]))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                rivals = _Rivals(pdf, d, limit)
+                rivals.meet(ids, units)
+                yield pdf[rivals.seen < limit]
+
+    return materialize(spread(asked).mapInPandas(work, asked.schema), "asked")
+
+
+def _rivals_of_few(asked: DataFrame, corpus: DataFrame, d: int, limit: int, kinds: str) -> DataFrame:
+    """The pairs travel to the corpus."""
+    pairs = asked.toPandas()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rivals = _Rivals(pairs, d, limit)
+        for pdf in batches:
+            if len(pdf):
+                rivals.meet(pdf["entity_id"].to_numpy(), _unit(_stack(pdf["vec"])))
+        yield pairs[["query_id", "expected_id"]].assign(seen=rivals.seen)
+
+    return spread(corpus.select("entity_id", "vec")).mapInPandas(work, kinds)
+
+
+def _rivals_in_tiles(asked: DataFrame, corpus: DataFrame, d: int, limit: int, kinds: str, n_asked: int, n_corpus: int) -> DataFrame:
+    """Both sides meet in tiles of bounded bytes."""
+    e_type = asked.schema["expected_id"].dataType.simpleString()
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"entity_id": pdf["entity_id"], "unit": [row.tobytes() for row in _unit(_stack(pdf["vec"]))]})
+
+    stored = corpus.select("entity_id", "vec").mapInPandas(unit, f"entity_id {e_type}, unit binary")
+    side = max(2, int(np.ceil(asked.sparkSession.sparkContext.defaultParallelism ** 0.5)))
+    nq, ne = (max(side, -(-n * 8 * d // GROUP_BYTES)) for n in (n_asked, n_corpus))
+    piece = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q_part", piece("query_id", nq)).withColumn("e_part", copies(ne))
+    right = stored.withColumn("e_part", piece("entity_id", ne)).withColumn("q_part", copies(nq))
+
+    def meet(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        rivals = _Rivals(q, d, limit)
+        if len(q) and len(e):
+            rivals.meet(e["entity_id"].to_numpy(), _joined(e["unit"], d))
+        return q[["query_id", "expected_id"]].assign(seen=rivals.seen)
+
+    keys = ["q_part", "e_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, kinds)
+
+
 def precision_at_k(results: DataFrame, expected: DataFrame, ks=(1, 3)) -> DataFrame:
     """Share of queries whose expected partner ranks within each k."""
     ranks = expected.join(results.select("query_id", F.col("entity_id").alias("expected_id"), "rank"),

@@ -137,9 +137,9 @@ SELECT count(*) AS n_queries, round(avg(coalesce(rank <= 1, false)::DOUBLE), 9)
        round(avg(coalesce(rank <= 30, false)::DOUBLE), 9) AS precision_at_30
 FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.entity_id = x.expected_id""")
 def precision_at_k(spark, d):
-    found = S.cosine_topk(self_queries(spark, d), vectors(spark, d), 30, skip_self=True)
     key = F.col("entity_id")
     expected = vectors(spark, d).select(key.alias("query_id"), key.bitwiseXOR(F.lit(1).cast("long")).alias("expected_id"))
+    found = S.expected_ranks(self_queries(spark, d), vectors(spark, d), expected, 30)
     p = S.precision_at_k(found, expected, (1, 30))
     return p.select("n_queries", F.round("precision_at_1", 9).alias("precision_at_1"),
                     F.round("precision_at_30", 9).alias("precision_at_30"))

@@ -121,3 +121,35 @@ def test_best_match_without_sign_among_signed_rows(spark):
     ask_two = spark.createDataFrame([(1, [0.9, 0.1]), (2, [1.0, 0.0])], "query_id long, vec array<double>")
     got = S.opposite_sign_topk(ask_two, rows, 2).collect()
     assert [(r.query_id, r.entity_id, r.rank) for r in got] == [(2, 3, 1)]
+
+
+@pytest.mark.parametrize("way, most, rows", [("few", 16 << 20, 2048), ("sampled", 16 << 20, 40), ("tiles", 8 * 12 * 50, 40)])
+def test_expected_ranks_are_those_of_the_whole_search(spark, monkeypatch, way, most, rows):
+    """Copies, zero vectors, near copies of partners, partners that are missing; most pairs end in a sample, the others meet all rows."""
+    rng = np.random.RandomState(8)
+    m = rng.randn(700, 12)
+    m[::7] = m[3]  # a hundred copies: only their ids tell them apart
+    m[100:300] = np.round(m[100:300])
+    m[301:500:2] = m[300:500:2] + 0.01 * rng.randn(100, 12)
+    m[[50, 51, 120]] = 0
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "entity_id long, vec array<double>")
+    queries = corpus.select(F.col("entity_id").alias("query_id"), "vec")
+    expected = spark.createDataFrame([(i, i ^ 1) for i in range(700)] + [(1, 5000), (9, 9), (7, 14), (8, 3), (8, 14)], "query_id long, expected_id long")
+    want = {(r.query_id, r.entity_id): r["rank"] for r in S.cosine_topk(queries, corpus, 30, skip_self=True, way="queries").join(
+        expected.withColumnRenamed("expected_id", "entity_id"), ["query_id", "entity_id"]).collect()}
+    for name, value in (("GROUP_BYTES", most), ("SAMPLE_ROWS", rows), ("TILE_ROWS", 64)):
+        monkeypatch.setattr(S, name, value)
+    rows_of = S.expected_ranks(queries, corpus, expected, 30).collect()
+    assert {(r.query_id, r.entity_id): r["rank"] for r in rows_of} == want and len(rows_of) == len(want) > 150
+
+
+def test_settled_pairs_do_not_meet_the_whole_corpus(spark, monkeypatch):
+    """Unrelated partners: a sample shows thirty better rows for nearly all, so few pairs are left."""
+    m = np.random.RandomState(9).randn(3000, 8)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "entity_id long, vec array<double>")
+    queries = corpus.select(F.col("entity_id").alias("query_id"), "vec")
+    left, few = [], S._rivals_of_few
+    monkeypatch.setattr(S, "SAMPLE_ROWS", 500)
+    monkeypatch.setattr(S, "_rivals_of_few", lambda asked, *rest: left.append(asked.count()) or few(asked, *rest))
+    S.expected_ranks(queries, corpus, queries.select("query_id", F.col("query_id").bitwiseXOR(F.lit(1).cast("long")).alias("expected_id")), 30).collect()
+    assert left and left[0] < 300
