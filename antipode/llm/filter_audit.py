@@ -29,6 +29,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import permutations
 from math import factorial
 
@@ -36,23 +37,45 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from antipode.llm.common import map_rows, materialize, shuffle_width
+from antipode.llm.common import map_rows, materialize
+from antipode.scale import fresh_path
 
 LETTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 # The signs that filter D looks for.
 SIGNS = b"#$%&*|"
 _UPPER = bytes(range(65, 91))
-#: Text behind one shard (a longer document is a shard of its own); words that meet in one task.
-SHARD_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
+#: Text behind one shard (a longer document is a shard of its own); words that meet in one task; rows sent to a Python worker at once.
+SHARD_BYTES, BUCKET_BYTES, BATCH_BYTES = 4_000_000, 4_000_000, 4_000_000
 A, B, C, D, E = (1 << i for i in range(5))
 
 
+# --------------------------------------------------------------------- memory
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send Python workers ``BATCH_BYTES`` at a time, however many rows and however long these are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _stored_apart(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` with each row a row group: writer and reader hold one row, not all that a file has."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("parquet.block.row.count.limit", "1").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ------------------------------------------------------- document-term matrix
 
 class _Shard:
@@ -126,7 +149,8 @@ def _encode(shards: DataFrame) -> DataFrame:
     a shard's words in the order of their codes; the row with shard null lists the bucket's ``words``.
     """
     size = shards.agg(F.sum(F.length("words"))).first()[0] or 0
-    buckets = max(shuffle_width(shards.sparkSession), -(-size // BUCKET_BYTES))
+    # as few as the cores and the bytes ask for: a bucket gets a row of every shard
+    buckets = max(4 * shards.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     cuts = np.array([-(-(i << 32) // buckets) for i in range(1, buckets)], np.uint64)
 
     def deal(batches: Iterator[dict]) -> Iterator[dict]:
@@ -170,9 +194,10 @@ def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The dictionary has each word of the corpus once: (``word`` binary, ``term``), numbered from 0 without gaps.
     """
     part = F.col(part_col).cast("string") if part_col else F.lit(None).cast("string")
-    shards = materialize(_cut_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part")),
-                                     upper_percent), "shards")
-    encoded = _with_offset(materialize(_encode(shards), "terms"))
+    with _small_batches(docs.sparkSession):
+        shards = _stored_apart(_cut_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part")),
+                                           upper_percent), "shards")
+        encoded = _with_offset(materialize(_encode(shards), "terms"))
     types = {f.name: f.dataType.simpleString() for f in shards.schema}
     kept = ("shard", "id", "part", "digest", "flags", "row_start", "amount")
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", term array<long>, words array<long>, distinct_words array<long>"
@@ -223,7 +248,8 @@ def failed_filters(docs: DataFrame, labels: DataFrame | None = None, id_col: str
             + F.when(100 * F.col("distinct_words") < distinct_percent * F.col("words"), B).otherwise(0))
     alike = row_counts(blocks).groupBy("id", F.coalesce("part", F.lit("")).alias("part"), "digest", bits.alias("bits")).agg(
         F.count(F.lit(1)).alias("rows"))
-    alike = materialize(alike, "flagged")
+    with _small_batches(docs.sparkSession):
+        alike = materialize(alike, "flagged")
     # the keeper of a text is found by its id too, so that a text with many copies is spread over them
     keepers = alike.where(F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("id")).withColumn("_keeper", F.lit(True))
     marked = alike.join(keepers, ["digest", "id"], "left")

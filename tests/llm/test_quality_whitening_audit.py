@@ -320,3 +320,29 @@ def test_row_sums_come_with_the_block(spark):
     counts = filter_audit.row_counts(filter_audit.document_term_matrix(docs, part_col="source")[0])
     assert "MapInArrow" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.id, r.part, r.words, r.distinct_words) for r in counts.collect()} == {(1, "s", 3, 2), (2, None, 0, 0), (None, "s", 1, 1)}
+
+
+def test_memory_of_the_audit_follows_rows_not_the_table(spark, monkeypatch):
+    """A file of many shards is read shard by shard, and texts reach a worker some bytes at a time."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 500)
+    monkeypatch.setattr(filter_audit, "BATCH_BYTES", 2_000)
+    before, seen, store = spark.conf.get(name), [], filter_audit._stored_apart
+
+    def stored(df, what):
+        out = store(df, what)
+        seen.extend((f, spark.conf.get(name)) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(filter_audit, "_stored_apart", stored)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(40))) for i in range(300)], "doc_id long, text string").coalesce(1)
+    blocks, _ = filter_audit.document_term_matrix(docs)
+    assert sum(len(b.id) for b in blocks.collect()) == 300
+    files = [p for f, _ in seen for p in glob.glob(f.removeprefix("file://"))]
+    groups = [m.row_group(i).num_rows for m in (pq.ParquetFile(f).metadata for f in files) for i in range(m.num_row_groups)]
+    assert set(groups) == {1} and len(groups) >= 10  # shards end at batches, so batches were small too
+    assert {c for _, c in seen} == {"2000"} and spark.conf.get(name) == before
